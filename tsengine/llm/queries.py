@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
+from tsengine.llm.simhash import op4_simhash
 from tsengine.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op9_media": op9_media,
     "op10_token_counts": op10_token_counts,
