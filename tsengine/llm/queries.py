@@ -6,8 +6,10 @@ from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
 from tsengine.llm.simhash import op4_simhash
 from tsengine.llm.token_counts import op10_token_counts
+from tsengine.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op9_media": op9_media,
