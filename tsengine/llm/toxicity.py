@@ -17,8 +17,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tsengine.llm.common import chunks, fold_column, new_name, once_per_worker, table, utf8
 
@@ -84,9 +85,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(df: DataFrame, key: str, text: str, label: str, most_rows: int = TRAINING_ROWS, epochs: int = 4, bits: int = BITS):
-    """(places, weights, bias) from at most most_rows rows with a label of 0 or 1."""
-    chosen = df.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(label).cast("int").alias("label"), F.col(text).cast("string").alias("text"))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = TRAINING_ROWS, epochs: int = 4, bits: int = BITS):
+    """(places, weights, bias) from the documents whose id has a label of 0 or 1, at most most_rows ids.
+
+    An id with several labels counts as the larger, one with several texts learns from one of them.
+    """
+    marks = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    order = F.xxhash64(F.col("id").cast("string"))
+    ids = docs.select(F.col(key).alias("id")).distinct().join(marks, "id").orderBy(order, "id").limit(most_rows)
 
     def run(batches):
         words = once_per_worker("toxic words", WordHash)
@@ -95,10 +101,10 @@ def train(df: DataFrame, key: str, text: str, label: str, most_rows: int = TRAIN
                 found = [zlib.compress(np.unique(features(t, words, bits)).astype("<u4").tobytes(), 1) for t in utf8(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(found, pa.binary())], ["order", "label", "features"])
 
-    # The ids are chosen first, so that no text beyond the sample is moved.
-    ids = chosen.select("order").orderBy("order").limit(most_rows).agg(F.max("order").alias("last")).first()["last"]
-    rows = chosen.filter(F.col("order") <= F.lit(ids)).mapInArrow(run, "order long, label int, features binary").collect() if ids is not None else []
-    rows = sorted(((r.order, r.label, np.frombuffer(zlib.decompress(r.features), "<u4").astype(np.int64)) for r in rows), key=lambda r: (r[0], r[1], len(r[2])))
+    # Only ids are moved to choose the sample; what is broadcast are the chosen ids, at most most_rows.
+    chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id").select(order.alias("order"), "label", "text")
+    rows = chosen.mapInArrow(run, "order long, label int, features binary").groupBy("order", "label").agg(F.min("features").alias("features")).collect()
+    rows = sorted(((r.order, r.label, np.frombuffer(zlib.decompress(r.features), "<u4").astype(np.int64)) for r in rows), key=lambda r: r[:2])
     model = Ftrl(bits)
     for _ in range(epochs if rows else 0):
         for _, y, at in rows:
@@ -132,21 +138,12 @@ def score(df: DataFrame, text: str, model, name: str = "score") -> DataFrame:
                     scores.append(float(sigmoid(table_[np.unique(at[table_[at] != 0])].sum(dtype=np.float64) + sent.value[2])))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, name])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, DoubleType()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", learned: Column | None = None) -> DataFrame:
-    """The labelled rows to learn from: (key, text, toxic)."""
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(key, "text") if learned is None else docs.filter(learned).select(key, "text")
-    return rows.join(marks, key)
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = fold_column(F.col("doc_id"), 4)
-    model = train(labelled(docs, table(spark, sf_dir, "labels"), learned=remainder != 2), "doc_id", "text", "toxic")
+    model = train(docs.filter(remainder != 2), table(spark, sf_dir, "labels"))
     scored = score(docs, "text", model)
     return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
