@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tsengine.llm.lm import op1_lm
 from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
 from tsengine.llm.simhash import op4_simhash
@@ -9,6 +10,7 @@ from tsengine.llm.token_counts import op10_token_counts
 from tsengine.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
