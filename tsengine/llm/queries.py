@@ -5,11 +5,13 @@ from __future__ import annotations
 from tsengine.llm.lm import op1_lm
 from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
+from tsengine.llm.quality import op6_quality
 from tsengine.llm.simhash import op4_simhash
 from tsengine.llm.token_counts import op10_token_counts
 from tsengine.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
