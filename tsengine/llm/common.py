@@ -66,6 +66,21 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key counts as hot from this share of the rows on, so there are no more hot keys than its inverse.
+HOT_KEYS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left JOIN right USING keys, without sending a hot key's rows to one task.
+
+    right has one row a key; its column weight says how many rows of left the key has at least, and these add up to at
+    most total. Keys with a thousandth of total or more (so at most HOT_KEYS of them) are broadcast, the rest joined.
+    """
+    hot = F.col(weight) * HOT_KEYS >= max(total, 1)
+    some, rest = F.broadcast(right.filter(hot).drop(weight)), right.filter(~hot).drop(weight)
+    return left.join(some, keys).unionByName(left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 _HELD: dict[str, object] = {}
 
 

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from tsengine.llm.chat import op5_chat
 from tsengine.llm.lm import op1_lm
 from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
+from tsengine.llm.pieces import op8_pieces
 from tsengine.llm.quality import op6_quality
 from tsengine.llm.simhash import op4_simhash
 from tsengine.llm.token_counts import op10_token_counts
 from tsengine.llm.toxicity import op2_toxicity
+from tsengine.llm.url_filters import op3_urls
 
 QUERIES = {
-    "op6_quality": op6_quality,
     "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
+    "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
+    "op5_chat": op5_chat,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_pieces": op8_pieces,
     "op9_media": op9_media,
     "op10_token_counts": op10_token_counts,
 }
