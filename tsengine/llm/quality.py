@@ -171,21 +171,25 @@ def learn(patterns: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, text: str) -> DataFrame:
-    """The input with __q (signals), __good (posterior) and __kept; the input is counted once and written between."""
-    counted = signals(df, text)
-    counted = counted.withColumn("__p", votes(F.col("__q")))
-    model = learn(counted.groupBy("__p").agg(F.count("*").alias("n")))
-    judged = counted.crossJoin(F.broadcast(model))  # one row
-    return judged.withColumn("__good", posterior(F.col("__p"), F.col("__m"))).withColumn("__kept", ~base_failed(F.col("__q")) & (F.col("__good") >= KEEP)).drop("__m", "__p")
+    """The input with __q (signals), __p (votes), __good (posterior), __failed (base rules) and __kept. It is counted twice: once for the model."""
+    counted = signals(df, text).withColumn("__p", votes(F.col("__q")))
+    # A cross join with one row: the model.
+    judged = counted.crossJoin(F.broadcast(learn(counted.groupBy("__p").agg(F.count("*").alias("n")))))
+    failed = base_failed(F.col("__q"))
+    return judged.withColumn("__good", posterior(F.col("__p"), F.col("__m"))).withColumn("__failed", failed).withColumn("__kept", ~failed & (F.col("__good") >= KEEP)).drop("__m")
+
+
+def keep(df: DataFrame, text: str) -> DataFrame:
+    """The rows that are kept, with the input's columns."""
+    return judge(df, text).filter("__kept").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted = materialise(signals(docs.select("doc_id", "text"), "text").select("doc_id", "__q"), "signals")
-    counted = counted.withColumn("__p", votes(F.col("__q")))
-    model = learn(counted.groupBy("__p").agg(F.count("*").alias("n")))
-    good = posterior(F.col("__p"), F.col("__m"))
-    failed = base_failed(F.col("__q"))
-    return counted.crossJoin(F.broadcast(model)).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The signals are written once, so that whole texts are counted once.
+    counted = materialise(signals(docs, "text").select("doc_id", "__q"), "signals").withColumn("__p", votes(F.col("__q")))
+    judged = counted.crossJoin(F.broadcast(learn(counted.groupBy("__p").agg(F.count("*").alias("n")))))
+    good, failed = posterior(F.col("__p"), F.col("__m")), base_failed(F.col("__q"))
+    return judged.select(
         "doc_id", *(F.col("__q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & (good >= KEEP)).alias("kept"), F.round(good, 6).alias("good"), F.col("__p").alias("votes")
     )

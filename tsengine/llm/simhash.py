@@ -37,17 +37,20 @@ INDEX_ROWS, PAIRS = 200_000, 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
-    """The fingerprint's bits, most significant first. A fingerprint's first word needs no mixing: it is plain XXH64."""
+def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
+    """The fingerprint's bits, most significant first; with ``distinct``, a shingle counts once. A fingerprint's first word needs no mixing: it is plain XXH64."""
     tokens = text.lower().split()
     if not tokens:
         return bytes(8 * words)
     joined = b" ".join(tokens)
     starts = [0, *accumulate(map((1).__add__, map(len, tokens)))]
     ends = starts[shingle:] if len(tokens) >= shingle else starts[-1:]
-    n, ones, digest = len(ends), np.zeros((words, 64), np.int64), xxhash.xxh64_digest
+    ones, digest = np.zeros((words, 64), np.int64), xxhash.xxh64_digest
+    every = np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)]), ">u8")
+    every = np.unique(every) if distinct else every
+    n = len(every)
     for at in range(0, n, 50_000):
-        hashes = np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + 50_000], ends[at : at + 50_000])]), ">u8")
+        hashes = every[at : at + 50_000]
         for w in range(words):
             mixed = hashes
             if w:
@@ -58,13 +61,13 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> bytes:
     return np.packbits(ones * 2 > n).tobytes()
 
 
-def fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int, words: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int, words: int = 1, distinct: bool = False) -> DataFrame:
     """The key columns and the fingerprint of every whole text."""
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, text):
-                found = [fingerprint(t, shingle, words) for t in utf8(batch.column(text))]
+                found = [fingerprint(t, shingle, words, distinct) for t in utf8(batch.column(text))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.binary())], [*keys, "fingerprint"])
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", fingerprint binary"
@@ -253,6 +256,28 @@ def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int =
     return prints.join(of_node, "fingerprint").select(key, "fingerprint", "component_id")
 
 
+#: For near duplicates on five-word shingles with a similarity of 0.8 or more: such sets' fingerprints of 256 bits differ
+#: in about 39 bits (the angle of a cosine of 2 * 0.8 / 1.8, as a share of half a turn), with a deviation of 6.
+SHINGLE, WORDS, DISTANCE, RUNS = 5, 4, 46, 6
+
+
+def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The input without near duplicates: of each group, the row with the smallest key stays (then the smallest text hash).
+
+    Rows with equal keys and texts are one. Null keys come last.
+    """
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"))
+    docs = df.withColumn("__row", row)
+    prints = materialise(fingerprints(docs, ["__row"], text, SHINGLE, WORDS, distinct=True), "fingerprints")
+    firsts = near_duplicates(prints, "__row", DISTANCE, WORDS, RUNS).filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    first = F.col("__row")
+    names = ["__none", "__key", "__hash"]
+    firsts = firsts.select(first["none"].alias("__none"), F.when(~first["none"], first["key"]).alias("__key"), first["hash"].alias("__hash"))
+    flat = docs.withColumn("__none", first["none"]).withColumn("__key", first["key"]).withColumn("__hash", first["hash"]).drop("__row")
+    found = flat.alias("l").join(firsts.alias("r"), F.expr("l.__hash = r.__hash AND l.__none = r.__none AND l.__key <=> r.__key"), "left_semi")
+    return found.dropDuplicates(names).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = materialise(fingerprints(docs, ["doc_id"], "text", shingle=4), "fingerprints")
