@@ -171,8 +171,8 @@ def learn(patterns: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, text: str) -> DataFrame:
-    """The input with __q (signals), __p (votes), __good (posterior), __failed (base rules) and __kept. It is counted twice: once for the model."""
-    counted = signals(df, text).withColumn("__p", votes(F.col("__q")))
+    """The input with __q (signals), __p (votes), __good (posterior), __failed (base rules) and __kept. It is counted once and written."""
+    counted = materialise(signals(df, text), "signals").withColumn("__p", votes(F.col("__q")))
     # A cross join with one row: the model.
     judged = counted.crossJoin(F.broadcast(learn(counted.groupBy("__p").agg(F.count("*").alias("n")))))
     failed = base_failed(F.col("__q"))

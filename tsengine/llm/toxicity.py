@@ -104,11 +104,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # Only ids are moved to choose the sample; what is broadcast are the chosen ids, at most most_rows.
     chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id").select(order.alias("order"), "label", "text")
     rows = chosen.mapInArrow(run, "order long, label int, features binary").groupBy("order", "label").agg(F.min("features").alias("features")).collect()
-    rows = sorted(((r.order, r.label, np.frombuffer(zlib.decompress(r.features), "<u4").astype(np.int64)) for r in rows), key=lambda r: r[:2])
+    rows = sorted((r.order, r.label, bytes(r.features)) for r in rows)
     model = Ftrl(bits)
     for _ in range(epochs if rows else 0):
-        for _, y, at in rows:
-            model.learn(at, y)
+        for _, y, packed in rows:  # kept packed: a few KB a row
+            model.learn(np.frombuffer(zlib.decompress(packed), "<u4"), y)
     weights = model.weights(slice(None))
     places = np.flatnonzero(weights)
     return places, weights[places], model.bias
