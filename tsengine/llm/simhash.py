@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import chunks, materialise, table, utf8
+from tsengine.llm.common import chunks, join_hot, materialise, table, utf8
 
 SEED, FAN_OUT = 42, 8
 #: Rows of whole buckets that a task indexes at a time, and node pairs that it compares at a time.
@@ -247,13 +247,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int = 1, blocks: int | None = None) -> DataFrame:
     """(key, fingerprint, component_id) from a written table of (key, fingerprint): component_id is the smallest key reachable."""
-    nodes = prints.groupBy("fingerprint").agg(F.min(key).alias("least"))
+    nodes = materialise(prints.groupBy("fingerprint").agg(F.min(key).alias("least"), F.count("*").alias("weight")), "nodes")
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     roots = components(links_between(nodes.select("fingerprint"), max_distance, words, blocks))
-    # nodes: one row per different fingerprint
-    grouped = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = grouped.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
-    return prints.join(of_node, "fingerprint").select(key, "fingerprint", "component_id")
+    # One row per different fingerprint. Large groups and frequent fingerprints are hot keys of the two joins that follow.
+    grouped = materialise(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "weight", F.coalesce("root", "fingerprint").alias("root")), "grouped")
+    of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of_node = join_hot(grouped.select("fingerprint", "weight", "root"), of_root, ["root"], "members", n_nodes).select("fingerprint", "component_id", "weight")
+    return join_hot(prints, of_node, ["fingerprint"], "weight", n_rows).select(key, "fingerprint", "component_id")
 
 
 #: For near duplicates on five-word shingles with a similarity of 0.8 or more: such sets' fingerprints of 256 bits differ
