@@ -70,7 +70,7 @@ def fill_rolling(df: DataFrame, value: str, method: Callable[[pd.Series], float]
     The only way is row by row, so each series goes to one task as a whole; persist_last does the common case natively.
     """
     name = name or value
-    schema = df.withColumn(name, F.lit(0.0)).schema
+    schema = df.withColumn(name, F.lit(None).cast("double")).schema
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date_time")
