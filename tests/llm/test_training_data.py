@@ -174,6 +174,32 @@ def test_keep_one(docs, spark):
     assert simhash.keep_one(docs, "doc_id", "text").columns == docs.columns
 
 
+def jaccard(s, t, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in (words(s), words(t)))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_keep_one_links_only_what_is_similar(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):  # a base and copies that end differently, at similarities from 0.6 to 0.95
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        for share in (1, 0.95, 0.9, 0.82, 0.78, 0.75, 0.7, 0.6):
+            same = round(400 * 2 * share / (1 + share))
+            texts.append(" ".join(base[:same] + [f"v{x}" for x in rng.integers(0, 10**6, 400 - same)]))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order] + [texts[order[0]], "", " ", "a b"]
+    root = list(range(len(texts)))
+    close = sum(0.65 < jaccard(s, t) < 0.8 for i, s in enumerate(texts) for t in texts[:i])
+    for j in range(len(texts)):
+        for i in range(j):
+            if jaccard(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert close > 50 and sorted(r.doc_id for r in simhash.keep_one(df, "doc_id", "text").collect()) == sorted(set(root))
+
+
 def test_quality_signals(docs, empty):
     got = {r.doc_id: r["__q"] for r in quality.signals(docs, "text").collect()}
     for i, t in enumerate(TEXTS):

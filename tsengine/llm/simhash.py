@@ -13,6 +13,10 @@ fixes, and a pair whose accumulated differences pass the bound is dropped with a
 bits can't exceed the bound is linked as a whole, and pairs already in one component are skipped, so a bucket gives a
 star for each of its components and never all pairs.
 
+``keep_one`` takes the index's links as candidates only: two documents are linked if the exact Jaccard similarity of
+their shingle sets is SIMILAR or more. The stars are compared first; a second search gives every candidate pair that
+these left in different components, and all of them are compared.
+
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; repeated
 rows and equal texts share a fingerprint; an empty table gives no rows. Null ids are kept, and count as larger than any
 other id. Only the named columns are read.
@@ -25,7 +29,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.llm.common import chunks, join_hot, materialise, table, utf8
@@ -37,18 +41,23 @@ INDEX_ROWS, PAIRS = 200_000, 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
-    """The fingerprint's bits, most significant first; with ``distinct``, a shingle counts once. A fingerprint's first word needs no mixing: it is plain XXH64."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 of every shingle; of a shorter text, of the whole."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, ">u8")
     joined = b" ".join(tokens)
     starts = [0, *accumulate(map((1).__add__, map(len, tokens)))]
     ends = starts[shingle:] if len(tokens) >= shingle else starts[-1:]
-    ones, digest = np.zeros((words, 64), np.int64), xxhash.xxh64_digest
-    every = np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)]), ">u8")
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)]), ">u8")
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = False) -> bytes:
+    """The fingerprint's bits, most significant first; with ``distinct``, a shingle counts once and a digest of the set follows. A fingerprint's first word needs no mixing: it is plain XXH64."""
+    every = shingles(text, shingle)
     every = np.unique(every) if distinct else every
-    n = len(every)
+    ones, n = np.zeros((words, 64), np.int64), len(every)
     for at in range(0, n, 50_000):
         hashes = every[at : at + 50_000]
         for w in range(words):
@@ -58,7 +67,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1, distinct: bool = Fals
                 mixed = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(MIX[-1])).byteswap()
             bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1)
             ones[w] += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > n).tobytes()
+    return np.packbits(ones * 2 > n).tobytes() + (xxhash.xxh64_digest(every.tobytes()) if distinct else b"")
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str, shingle: int, words: int = 1, distinct: bool = False) -> DataFrame:
@@ -129,10 +138,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, counts.cumsum()[:-1]], counts) + np.arange(counts.sum())
 
 
-def search(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """For rows sorted by bucket and Gray rank: the first row of each row's component among links within its bucket."""
+def descend(bucket: np.ndarray, prints: np.ndarray, most: int, links: Links, apart: bool = False):
+    """For rows sorted by bucket and Gray rank: arrays of two rows each to link, passing over those that links has in one component.
+
+    The caller adds them to links as they come, and gets stars; with ``apart`` it doesn't, and gets every pair of rows
+    that are near each other in a bucket and not in one component.
+    """
     n = len(bucket)
-    links = Links(n)
     levels = [Level(bucket, np.full_like(prints, ~np.uint64(0)), prints, np.arange(n + 1), np.arange(n + 1))]
     while len(levels[-1].bucket) > len(np.unique(bucket)):
         levels.append(levels[-1].parents())
@@ -153,12 +165,15 @@ def search(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
         if not keep.any():
             continue
         a, b, gone, both = a[keep], b[keep], gone[keep], both[keep]
-        whole = gone + popcount(~both) <= most
+        if apart and not height:
+            yield a, b
+            continue
+        whole = (gone + popcount(~both) <= most) & (not apart)
         if whole.any():
             x, y = a[whole], b[whole]
             for node in (x, y):
                 leaves = ranges(level.leaf[node], level.leaf[node + 1] - level.leaf[node])
-                links.add(np.repeat(level.leaf[x], level.leaf[node + 1] - level.leaf[node]), leaves)
+                yield np.repeat(level.leaf[x], level.leaf[node + 1] - level.leaf[node]), leaves
         elif not height:
             continue
         if height and not whole.all():
@@ -170,6 +185,13 @@ def search(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
             for which in (i < j, i == j):  # a node with itself comes first: what it links spares later pairs
                 if which.any():
                     todo.append((height - 1, i[which], j[which], gone[pair][which], both[pair][which]))
+
+
+def search(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
+    """For rows sorted by bucket and Gray rank: the first row of each row's component among links within its bucket."""
+    links = Links(len(bucket))
+    for a, b in descend(bucket, prints, most, links):
+        links.add(a, b)
     return links.label
 
 
@@ -179,15 +201,21 @@ def block_masks(blocks: int) -> list[int]:
 
 
 def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks: int | None = None) -> DataFrame:
-    """(a, b): for each bucket of the index, every linked fingerprint with its component's first one."""
+    """(a, b): for each bucket of the index, every linked fingerprint with its component's first one.
+
+    With a column ``label`` (long), every pair of fingerprints that are near each other in a bucket and differ in it.
+    Bytes of a fingerprint beyond its words tell nodes apart and don't count as distance.
+    """
+    apart = "label" in prints.columns
     masks = block_masks(blocks or max_distance + 1)
     word = [F.conv(F.hex(F.substring("fingerprint", 8 * w + 1, 8)), 16, -10).cast("long") for w in range(words)]
     keys = [F.struct(F.lit(len(masks) * w + i).alias("part"), word[w].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for w in range(words) for i, m in enumerate(masks)]
-    dealt = prints.select("fingerprint", F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint")
+    more = ["label"] if apart else []
+    dealt = prints.select("fingerprint", *more, F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint", *more)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        def linked(part, bits, prints_):
+        def linked(part, bits, prints_, label=None):
             change = np.r_[True, (part[1:] != part[:-1]) | (bits[1:] != bits[:-1])]
             bucket = change.cumsum() - 1
             crowd = np.bincount(bucket)[bucket] > 1  # a bucket of one has nothing to compare
@@ -196,22 +224,33 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
                 return
             order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), part[crowd] // len(masks)]), bucket))
             bucket, x = bucket[order], x[order]
-            label = search(bucket, x, max_distance)
-            found = np.flatnonzero(label != np.arange(len(label)))
             raw = x.astype(">u8")
-            yield pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i in label[found]], pa.binary()), pa.array([raw[i].tobytes() for i in found], pa.binary())], ["a", "b"])
+
+            def out(a, b):
+                return pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i in a], pa.binary()), pa.array([raw[i].tobytes() for i in b], pa.binary())], ["a", "b"])
+
+            if apart:
+                links = Links(len(x))
+                links.label = np.unique(label[crowd][order], return_inverse=True)[1]
+                for a, b in descend(bucket, x[:, :words], max_distance, links, apart=True):
+                    yield out(a, b)
+                return
+            label = search(bucket, x[:, :words], max_distance)
+            found = np.flatnonzero(label != np.arange(len(label)))
+            yield out(label[found], found)
 
         held, rows = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)))
+            prints_ = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), prints_, *(c.to_numpy() for c in batch.columns[3:])))
             rows += batch.num_rows
             if rows >= INDEX_ROWS:
-                part, bits, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                part, bits, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
                 last = np.flatnonzero((part != part[-1]) | (bits != bits[-1]))
                 cut = last[-1] + 1 if len(last) else 0
                 if cut:
-                    yield from linked(part[:cut], bits[:cut], x[:cut])
-                held, rows = [(part[cut:], bits[cut:], x[cut:])], 0
+                    yield from linked(part[:cut], bits[:cut], *(x[:cut] for x in rest))
+                held, rows = [(part[cut:], bits[cut:], *(x[cut:] for x in rest))], 0
         if held:
             yield from linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
@@ -245,11 +284,55 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(star(star(edges, True), False).distinct(), "links")
 
 
-def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int = 1, blocks: int | None = None) -> DataFrame:
-    """(key, fingerprint, component_id) from a written table of (key, fingerprint): component_id is the smallest key reachable."""
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more, from written tables."""
+    top, bottom = SIMILAR
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * bottom >= top * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    n = pairs.count()
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("weight"))
+    held = sets.join(degrees, "fingerprint")
+    of_a, of_b = (held.select(F.col("fingerprint").alias(c), F.col("shingles").alias(x), F.col("size").alias(f"size_{x}"), "weight") for c, x in ("ax", "by"))
+    both = join_hot(join_hot(pairs, of_a, ["a"], "weight", 2 * n), of_b, ["b"], "weight", 2 * n)
+    sizes = F.least("size_x", "size_y") * bottom >= F.greatest("size_x", "size_y") * top  # others can't be that similar
+    return both.filter(sizes).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def similar_links(nodes: DataFrame, sets_of, max_distance: int, words: int, blocks: int | None) -> DataFrame:
+    """(a, b): similar pairs of nodes that connect what all similar pairs among the index's candidates connect.
+
+    sets_of gives (fingerprint, size, shingles) for rows of (fingerprint, least).
+    """
+
+    def candidates(prints: DataFrame) -> DataFrame:
+        found = links_between(prints, max_distance, words, blocks)
+        return materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    stars = candidates(nodes.select("fingerprint"))
+    near = stars.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
+    near = materialise(nodes.select("fingerprint", "least").join(near, "fingerprint"), "near")
+    sets = materialise(sets_of(near), "sets")
+    links = materialise(similar(stars, sets), "similar")
+    labels = near.join(components(links), near["fingerprint"] == F.col("node"), "left").select("fingerprint", F.xxhash64(F.coalesce("root", "fingerprint")).alias("label"))
+    return links.union(similar(candidates(labels), sets))
+
+
+def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int = 1, blocks: int | None = None, sets_of=None) -> DataFrame:
+    """(key, fingerprint, component_id) from a written table of (key, fingerprint): component_id is the smallest key reachable.
+
+    With sets_of (see similar_links), links need similar sets, too.
+    """
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min(key).alias("least"), F.count("*").alias("weight")), "nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    roots = components(links_between(nodes.select("fingerprint"), max_distance, words, blocks))
+    roots = components(similar_links(nodes, sets_of, max_distance, words, blocks) if sets_of else links_between(nodes.select("fingerprint"), max_distance, words, blocks))
     # One row per different fingerprint. Large groups and frequent fingerprints are hot keys of the two joins that follow.
     grouped = materialise(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "weight", F.coalesce("root", "fingerprint").alias("root")), "grouped")
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
@@ -258,8 +341,9 @@ def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int =
 
 
 #: For near duplicates on five-word shingles with a similarity of 0.8 or more: such sets' fingerprints of 256 bits differ
-#: in about 39 bits (the angle of a cosine of 2 * 0.8 / 1.8, as a share of half a turn), with a deviation of 6.
-SHINGLE, WORDS, DISTANCE, RUNS = 5, 4, 46, 6
+#: in about 39 bits (the angle of a cosine of 2 * 0.8 / 1.8, as a share of half a turn), with a deviation of 6. Candidates
+#: may differ in 60; SIMILAR, as a fraction, is what their sets must reach.
+SHINGLE, WORDS, DISTANCE, RUNS, SIMILAR = 5, 4, 60, 6, (4, 5)
 
 
 def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -270,12 +354,24 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"))
     docs = df.withColumn("__row", row)
     prints = materialise(fingerprints(docs, ["__row"], text, SHINGLE, WORDS, distinct=True), "fingerprints")
-    firsts = near_duplicates(prints, "__row", DISTANCE, WORDS, RUNS).filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
-    first = F.col("__row")
-    names = ["__none", "__key", "__hash"]
-    firsts = firsts.select(first["none"].alias("__none"), F.when(~first["none"], first["key"]).alias("__key"), first["hash"].alias("__hash"))
-    flat = docs.withColumn("__none", first["none"]).withColumn("__key", first["key"]).withColumn("__hash", first["hash"]).drop("__row")
-    found = flat.alias("l").join(firsts.alias("r"), F.expr("l.__hash = r.__hash AND l.__none = r.__none AND l.__key <=> r.__key"), "left_semi")
+    names, same = ["__none", "__key", "__hash"], F.expr("l.__hash = r.__hash AND l.__none = r.__none AND l.__key <=> r.__key")
+
+    def flat(df: DataFrame, row: Column) -> DataFrame:
+        return df.withColumn("__none", row["none"]).withColumn("__key", F.when(~row["none"], row["key"])).withColumn("__hash", row["hash"])
+
+    def sets_of(near: DataFrame) -> DataFrame:
+        def run(batches):
+            for whole in batches:
+                for batch in chunks(whole, "text"):
+                    found = [np.unique(shingles(t, SHINGLE).astype(np.uint64)) for t in utf8(batch.column("text"))]
+                    yield pa.RecordBatch.from_arrays([batch.column("fingerprint"), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["fingerprint", "size", "shingles"])
+
+        texts = flat(docs.select("__row", F.col(text).cast("string").alias("text")), F.col("__row"))
+        found = texts.alias("l").join(flat(near, F.col("least")).alias("r"), same).select("fingerprint", "text")
+        return found.mapInArrow(run, "fingerprint binary, size long, shingles binary").dropDuplicates(["fingerprint"])
+
+    firsts = near_duplicates(prints, "__row", DISTANCE, WORDS, RUNS, sets_of).filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    found = flat(docs, F.col("__row")).drop("__row").alias("l").join(flat(firsts, F.col("__row")).select(*names).alias("r"), same, "left_semi")
     return found.dropDuplicates(names).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
