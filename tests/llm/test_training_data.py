@@ -166,6 +166,43 @@ def test_fingerprints_and_components(docs, empty, spark):
     assert simhash.near_duplicates(simhash.fingerprints(empty, ["doc_id"], "text", 4), "doc_id", 4).count() == 0
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**63))
+    values = sorted({base ^ sum(1 << int(x) for x in rng.choice(16, rng.integers(0, 6), replace=False)) for _ in range(1500)})
+    rows = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")), i % 7) for i, v in enumerate(values)], "fingerprint binary, label long").repartition(3)
+    near = {(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 2}
+    label = {v: i % 7 for i, v in enumerate(values)}
+
+    def pairs(df):
+        return {tuple(sorted((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")), reverse=True)) for r in df.collect()}
+
+    def groups(edges):
+        root = {v: v for v in values}
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            if low != high:
+                root = {v: low if x == high else x for v, x in root.items()}
+        return root
+
+    made = simhash.links_between
+    for block_rows in (10**6, 100):
+        assert pairs(made(rows, 2, block_rows=block_rows)) == {(a, b) for a, b in near if label[a] != label[b]}
+        assert groups(pairs(made(rows.select("fingerprint"), 2, block_rows=block_rows))) == groups(near)
+    held = spark.sparkContext.accumulator(0)
+    whole = simhash.search
+
+    def search(bucket, *rest):
+        most = int(np.bincount(bucket).max())
+        held.add(10**6 * (most > 300))
+        held.add(1)
+        return whole(bucket, *rest)
+
+    monkeypatch.setattr(simhash, "search", search)
+    made(rows.select("fingerprint"), 2, block_rows=100).count()
+    assert 0 < held.value < 10**6
+
+
 def test_keep_one(docs, spark):
     near = sentence(9, 300)
     rows = [(50, near), (51, near + " more"), (52, near.upper()), (53, sentence(10, 300)), (53, sentence(10, 300)), (None, near)]

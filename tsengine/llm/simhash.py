@@ -11,7 +11,8 @@ bits, and every ``FAN_OUT`` consecutive nodes get a parent that holds the mask a
 search descends pairs of nodes from the root with itself; each level adds the differences in the bits that it newly
 fixes, and a pair whose accumulated differences pass the bound is dropped with all below it. A pair whose remaining free
 bits can't exceed the bound is linked as a whole, and pairs already in one component are skipped, so a bucket gives a
-star for each of its components and never all pairs.
+star for each of its components and never all pairs. A bucket of more than ``BLOCK_ROWS`` is dealt into blocks by a
+hash; each pair of blocks is a part of its own, so no task holds more than two blocks of a bucket and no pair is missed.
 
 ``keep_one`` takes the index's links as candidates only: two documents are linked if the exact Jaccard similarity of
 their shingle sets is SIMILAR or more. The stars are compared first; a second search gives every candidate pair that
@@ -37,6 +38,8 @@ from tsengine.llm.common import chunks, join_hot, materialise, table, utf8
 SEED, FAN_OUT = 42, 8
 #: Rows of whole buckets that a task indexes at a time, and node pairs that it compares at a time.
 INDEX_ROWS, PAIRS = 200_000, 1 << 18
+#: Rows that a block of a bucket has on average, at most.
+BLOCK_ROWS = 50_000
 #: Fixed odd multipliers that turn a shingle's hash into further independent words.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -138,19 +141,23 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, counts.cumsum()[:-1]], counts) + np.arange(counts.sum())
 
 
-def descend(bucket: np.ndarray, prints: np.ndarray, most: int, links: Links, apart: bool = False):
-    """For rows sorted by bucket and Gray rank: arrays of two rows each to link, passing over those that links has in one component.
+def descend(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, most: int, links: Links, apart: bool = False):
+    """For rows sorted by bucket, side and Gray rank: arrays of two rows each to link, passing over those that links has in one component.
 
+    A bucket with two sides is a pair of blocks: rows of one are compared with those of the other only.
     The caller adds them to links as they come, and gets stars; with ``apart`` it doesn't, and gets every pair of rows
     that are near each other in a bucket and not in one component.
     """
-    n = len(bucket)
+    n, bucket = len(bucket), 2 * bucket + side
     levels = [Level(bucket, np.full_like(prints, ~np.uint64(0)), prints, np.arange(n + 1), np.arange(n + 1))]
     while len(levels[-1].bucket) > len(np.unique(bucket)):
         levels.append(levels[-1].parents())
-    roots = np.arange(len(levels[-1].bucket))
-    none = np.zeros_like(levels[-1].mask)
-    todo = [(len(levels) - 1, roots, roots, popcount(none), none)]
+    of_root = levels[-1].bucket
+    two = np.flatnonzero(of_root[1:] == (of_root[:-1] | 1))  # both sides of a bucket
+    alone = np.setdiff1d(np.arange(len(of_root)), np.r_[two, two + 1])
+    roots, others = np.r_[alone, two], np.r_[alone, two + 1]
+    none = np.zeros_like(levels[-1].mask[roots])
+    todo = [(len(levels) - 1, roots, others, popcount(none), none)]
     while todo:
         height, a, b, gone, fixed = todo.pop()
         most_pairs = PAIRS // FAN_OUT**2 if height else PAIRS
@@ -187,10 +194,10 @@ def descend(bucket: np.ndarray, prints: np.ndarray, most: int, links: Links, apa
                     todo.append((height - 1, i[which], j[which], gone[pair][which], both[pair][which]))
 
 
-def search(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """For rows sorted by bucket and Gray rank: the first row of each row's component among links within its bucket."""
+def search(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
+    """For rows sorted by bucket, side and Gray rank: the first row of each row's component among links within its bucket."""
     links = Links(len(bucket))
-    for a, b in descend(bucket, prints, most, links):
+    for a, b in descend(bucket, side, prints, most, links):
         links.add(a, b)
     return links.label
 
@@ -200,7 +207,7 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << b - a) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks: int | None = None) -> DataFrame:
+def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): for each bucket of the index, every linked fingerprint with its component's first one.
 
     With a column ``label`` (long), every pair of fingerprints that are near each other in a bucket and differ in it.
@@ -212,18 +219,31 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
     keys = [F.struct(F.lit(len(masks) * w + i).alias("part"), word[w].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for w in range(words) for i, m in enumerate(masks)]
     more = ["label"] if apart else []
     dealt = prints.select("fingerprint", *more, F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint", *more)
+    large = dealt.groupBy("part", "bits").agg(F.ceil(F.count("*") / block_rows).alias("cuts")).filter("cuts > 1")
+    own = F.pmod(F.xxhash64("fingerprint", "part"), F.col("cuts"))
+    other = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    dealt = dealt.join(F.broadcast(large), ["part", "bits"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
+    low, high = F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high")
+    dealt = dealt.select("part", "bits", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "fingerprint", *more)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        def linked(part, bits, prints_, label=None):
-            change = np.r_[True, (part[1:] != part[:-1]) | (bits[1:] != bits[:-1])]
-            bucket = change.cumsum() - 1
+        def changes(*keys):
+            return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+
+        def linked(part, bits, low, high, side, prints_, label=None):
+            bucket = np.r_[0, changes(part, bits, low, high).cumsum()]
             crowd = np.bincount(bucket)[bucket] > 1  # a bucket of one has nothing to compare
-            bucket, x = bucket[crowd], prints_[crowd]
+            bucket, side, x = bucket[crowd], side[crowd], prints_[crowd]
+            # A pair of blocks of which one is empty has nothing to compare either: its own rows meet elsewhere.
+            split, both = (low != high)[crowd], np.bincount(bucket, side, minlength=1)[bucket]
+            some = ~split | ((both > 0) & (both < np.bincount(bucket, minlength=1)[bucket]))
+            crowd[crowd] = some
+            bucket, side, x = bucket[some], side[some], x[some]
             if not len(x):
                 return
-            order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), part[crowd] // len(masks)]), bucket))
-            bucket, x = bucket[order], x[order]
+            order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), part[crowd] // len(masks)]), side, bucket))
+            bucket, side, x = bucket[order], side[order], x[order]
             raw = x.astype(">u8")
 
             def out(a, b):
@@ -232,29 +252,31 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
             if apart:
                 links = Links(len(x))
                 links.label = np.unique(label[crowd][order], return_inverse=True)[1]
-                for a, b in descend(bucket, x[:, :words], max_distance, links, apart=True):
+                for a, b in descend(bucket, side, x[:, :words], max_distance, links, apart=True):
                     yield out(a, b)
                 return
-            label = search(bucket, x[:, :words], max_distance)
+            label = search(bucket, side, x[:, :words], max_distance)
             found = np.flatnonzero(label != np.arange(len(label)))
             yield out(label[found], found)
 
         held, rows = [], 0
         for batch in batches:
-            prints_ = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), prints_, *(c.to_numpy() for c in batch.columns[3:])))
+            prints_ = np.frombuffer(b"".join(batch.column(5).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+            held.append((*(c.to_numpy() for c in batch.columns[:5]), prints_, *(c.to_numpy() for c in batch.columns[6:])))
             rows += batch.num_rows
             if rows >= INDEX_ROWS:
-                part, bits, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
-                last = np.flatnonzero((part != part[-1]) | (bits != bits[-1]))
+                every = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = np.flatnonzero(changes(*every[:4]))
                 cut = last[-1] + 1 if len(last) else 0
                 if cut:
-                    yield from linked(part[:cut], bits[:cut], *(x[:cut] for x in rest))
-                held, rows = [(part[cut:], bits[cut:], *(x[cut:] for x in rest))], 0
+                    yield from linked(*(x[:cut] for x in every))
+                held = [tuple(x[cut:] for x in every)]
+                rows -= cut
         if held:
             yield from linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return dealt.repartition(n, "part", "bits").sortWithinPartitions("part", "bits").mapInArrow(run, "a binary, b binary")
+    buckets = ["part", "bits", "low", "high"]
+    return dealt.repartition(n, *buckets).sortWithinPartitions(*buckets).mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
