@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,23 +50,49 @@ def chunks(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session, whose executors are the driver, may do without it: it gets a temporary folder, once.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if not set_dir:
-            set_dir = tempfile.mkdtemp(prefix="tsengine-")
-            spark.sparkContext.setCheckpointDir(set_dir)
-        found = set_dir
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tsengine-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a result to the shared folder and read it back: cuts lineage, and lost executors do not lose it."""
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialise(df: DataFrame, what: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write a result to the shared folder and read it back: cuts lineage, and lost executors do not lose it.
+
+    instead_of: frames that materialise gave and that nothing reads any more; their files are removed once the new ones stand.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tsengine-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    for old in instead_of:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(old))
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return found
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that working columns beside it can't clash with any; ``select("row.*")`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
 #: A key counts as hot from this share of the rows on, so there are no more hot keys than its inverse.
