@@ -4,9 +4,12 @@ A text's fingerprint has ``words`` times 64 bits: each is the majority over its
 are one node. Fingerprints that differ in at most ``max_distance`` bits are linked, and links' connected components are
 the groups.
 
-The index. Its top level, spread over the machines, is keyed by masked bit patterns: every 64-bit word is cut into
-``blocks`` runs of bits, and fingerprints that share one run's pattern meet in one bucket (with one word and more blocks
-than ``max_distance``, no link can be missed). Inside, fingerprints are sorted by Gray rank, so neighbours differ in few
+The index. Its top level, spread over the machines, is keyed by masked bit patterns: fingerprints that share the pattern
+under one mask meet in one bucket. The masks' width follows the count of fingerprints, so that a bucket holds about
+``BUCKET_ROWS`` at any size. Of one word, cut into b runs of bits, the masks are all choices of b - ``max_distance`` runs:
+that many bits can't touch every choice, so no link can be missed. Of more words, the masks are single runs, ``blocks``
+to a word, or, beyond what these can tell apart, drawn bits, as many masks as keep the share of pairs of ``SIMILAR`` texts
+that meet at what the runs give. Inside, fingerprints are sorted by Gray rank, so neighbours differ in few
 bits, and every ``FAN_OUT`` consecutive nodes get a parent that holds the mask and pattern of the bits they share. A
 search descends pairs of nodes from the root with itself; each level adds the differences in the bits that it newly
 fixes, and a pair whose accumulated differences pass the bound is dropped with all below it. A pair whose remaining free
@@ -25,7 +28,9 @@ other id. Only the named columns are read.
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
+import random
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import chunks, join_hot, materialise, table, utf8
+from tsengine.llm.common import chunks, join_hot, materialise, packed, table, utf8
 
 SEED, FAN_OUT = 42, 8
 #: Rows of whole buckets that a task indexes at a time, and node pairs that it compares at a time.
 INDEX_ROWS, PAIRS = 200_000, 1 << 18
 #: Rows that a block of a bucket has on average, at most.
 BLOCK_ROWS = 50_000
+#: Rows that a bucket has on average, and large buckets that are broadcast (24 bytes each); more are joined.
+BUCKET_ROWS, LARGE = 1000, 200_000
 #: Fixed odd multipliers that turn a shingle's hash into further independent words.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -202,11 +209,32 @@ def search(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, most: int)
     return links.label
 
 
-def block_masks(blocks: int) -> list[int]:
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+def run_masks(runs: int) -> list[int]:
+    edges = [round(64 * i / runs) for i in range(runs + 1)]
     return [((1 << b - a) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def masks(rows: int, max_distance: int, words: int = 1, blocks: int | None = None) -> list[tuple[int, ...]]:
+    """The masks of the index for so many fingerprints: for each, the bits of every word that it shows."""
+    if words == 1 and blocks is None:
+        runs = max_distance + 1
+        while rows > BUCKET_ROWS << 64 * (runs - max_distance) // runs and runs < 2 * max_distance + 4:
+            runs += 1
+        return [(sum(chosen),) for chosen in combinations(run_masks(runs), runs - max_distance)]
+    blocks = blocks or max_distance + 1
+    if rows <= BUCKET_ROWS << 64 // blocks:
+        return [tuple(m if w == at else 0 for at in range(words)) for w in range(words) for m in run_masks(blocks)]
+    both = 2 * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])  # the cosine of sets of one size at that similarity
+    same = 1 - math.acos(both) / math.pi  # the chance that a bit is equal
+    missed = (1 - same ** (64 / blocks)) ** (words * blocks)
+    width = min(48, math.ceil(math.log2(rows / BUCKET_ROWS)))
+    rng, out = random.Random(SEED), []
+    for _ in range(math.ceil(math.log(missed) / math.log(1 - same**width))):
+        bits = rng.sample(range(64 * words), width)
+        out.append(tuple(sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)))
+    return out
+
+
 def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b): for each bucket of the index, every linked fingerprint with its component's first one.
 
@@ -214,15 +242,18 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
     Bytes of a fingerprint beyond its words tell nodes apart and don't count as distance.
     """
     apart = "label" in prints.columns
-    masks = block_masks(blocks or max_distance + 1)
+    shown = masks(prints.count(), max_distance, words, blocks)
     word = [F.conv(F.hex(F.substring("fingerprint", 8 * w + 1, 8)), 16, -10).cast("long") for w in range(words)]
-    keys = [F.struct(F.lit(len(masks) * w + i).alias("part"), word[w].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for w in range(words) for i, m in enumerate(masks)]
+    under = lambda m: [word[w].bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x)) for w, x in enumerate(m) if x]
+    keys = [F.struct(F.lit(i).alias("part"), (p[0] if len(p := under(m)) == 1 else F.xxhash64(*p)).alias("bits")) for i, m in enumerate(shown)]
+    ordered_by = np.array([min(range(words), key=lambda w: m[w].bit_count()) for m in shown])  # the word with most bits that a bucket leaves open
     more = ["label"] if apart else []
     dealt = prints.select("fingerprint", *more, F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint", *more)
     large = dealt.groupBy("part", "bits").agg(F.ceil(F.count("*") / block_rows).alias("cuts")).filter("cuts > 1")
     own = F.pmod(F.xxhash64("fingerprint", "part"), F.col("cuts"))
     other = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    dealt = dealt.join(F.broadcast(large), ["part", "bits"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
+    large = materialise(large, "large")
+    dealt = dealt.join(F.broadcast(large) if large.count() <= LARGE else large, ["part", "bits"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
     low, high = F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high")
     dealt = dealt.select("part", "bits", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "fingerprint", *more)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -242,7 +273,7 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
             bucket, side, x = bucket[some], side[some], x[some]
             if not len(x):
                 return
-            order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), part[crowd] // len(masks)]), side, bucket))
+            order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), ordered_by[part[crowd]]]), side, bucket))
             bucket, side, x = bucket[order], side[order], x[order]
             raw = x.astype(">u8")
 
@@ -287,12 +318,12 @@ def components(links: DataFrame) -> DataFrame:
     written table.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             ways = ways.filter(F.col("v") < F.col("u"))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = ways.join(least, "u")
+        least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("u", "m").alias("m"), "weight")
+        moved = join_hot(ways, least, ["u"], "weight", 2 * total)  # the centre of a large star is a hot key
         moved = moved.filter(F.col("v") > F.col("u")) if large else moved.filter(F.col("v") != F.col("m"))
         out = moved.select(F.col("m").alias("a"), F.col("v").alias("b"))
         return out if large else out.union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
@@ -303,7 +334,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         before = now
-        edges = materialise(star(star(edges, True), False).distinct(), "links")
+        # A large star gives one row at most for each edge, so the count of edges bounds both steps.
+        moved = materialise(star(edges, True, now[0]).distinct(), "links")
+        edges = materialise(star(moved, False, now[0]).distinct(), "links", instead_of=[edges, moved])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,15 +404,15 @@ SHINGLE, WORDS, DISTANCE, RUNS, SIMILAR = 5, 4, 60, 6, (4, 5)
 def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     """The input without near duplicates: of each group, the row with the smallest key stays (then the smallest text hash).
 
-    Rows with equal keys and texts are one. Null keys come last.
+    Rows with equal keys and texts are one. Null keys come last. Whole texts move twice at most: once those that have
+    candidates, to be compared, and once all, to be kept or dropped.
     """
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"))
-    docs = df.withColumn("__row", row)
-    prints = materialise(fingerprints(docs, ["__row"], text, SHINGLE, WORDS, distinct=True), "fingerprints")
-    names, same = ["__none", "__key", "__hash"], F.expr("l.__hash = r.__hash AND l.__none = r.__none AND l.__key <=> r.__key")
+    docs = df.select(packed(df).alias("doc"), row.alias("row"), F.col(text).cast("string").alias("text"))
+    prints = materialise(fingerprints(docs, ["row"], "text", SHINGLE, WORDS, distinct=True), "fingerprints")
 
-    def flat(df: DataFrame, row: Column) -> DataFrame:
-        return df.withColumn("__none", row["none"]).withColumn("__key", F.when(~row["none"], row["key"])).withColumn("__hash", row["hash"])
+    def known(row: Column) -> Column:  # one column, never null: all joins and the last step share its partitioning
+        return F.concat(row["hash"].cast("string"), F.when(row["none"], "").otherwise(F.concat(F.lit(":"), row["key"].cast("string")))).alias("id")
 
     def sets_of(near: DataFrame) -> DataFrame:
         def run(batches):
@@ -388,13 +421,12 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
                     found = [np.unique(shingles(t, SHINGLE).astype(np.uint64)) for t in utf8(batch.column("text"))]
                     yield pa.RecordBatch.from_arrays([batch.column("fingerprint"), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["fingerprint", "size", "shingles"])
 
-        texts = flat(docs.select("__row", F.col(text).cast("string").alias("text")), F.col("__row"))
-        found = texts.alias("l").join(flat(near, F.col("least")).alias("r"), same).select("fingerprint", "text")
-        return found.mapInArrow(run, "fingerprint binary, size long, shingles binary").dropDuplicates(["fingerprint"])
+        found = docs.select(known(F.col("row")), "text").join(near.select(known(F.col("least")), "fingerprint"), "id").dropDuplicates(["id"])
+        return found.select("fingerprint", "text").mapInArrow(run, "fingerprint binary, size long, shingles binary")
 
-    firsts = near_duplicates(prints, "__row", DISTANCE, WORDS, RUNS, sets_of).filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
-    found = flat(docs, F.col("__row")).drop("__row").alias("l").join(flat(firsts, F.col("__row")).select(*names).alias("r"), same, "left_semi")
-    return found.dropDuplicates(names).select(*(F.col(f"`{c}`") for c in df.columns))
+    found = near_duplicates(prints, "row", DISTANCE, WORDS, RUNS, sets_of)
+    firsts = found.filter(F.col("row") == F.col("component_id")).select(known(F.col("row"))).distinct()
+    return docs.select(known(F.col("row")), "doc").join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
