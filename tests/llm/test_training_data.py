@@ -258,7 +258,7 @@ def test_em_tells_good_rules_from_bad(spark):
         good = rng.random() < 0.8
         vote = ["0" if rng.random() < 0.3 else "+" if good == (rng.random() < 0.9) else "-" for _ in range(k - 1)] + ["+" if rng.random() < 0.5 else "-"]
         rows["".join(vote)] += 1
-    m = quality.learn(spark.createDataFrame(list(rows.items()), "__p string, n long")).first()["__m"]
+    m = quality.learn(spark.createDataFrame(list(rows.items()), "votes string, n long")).first()["model"]
     assert m.share == pytest.approx(0.8, abs=0.05)
     assert m.good[0] - m.bad[0] > 0.6 and abs(m.good[-1] - m.bad[-1]) < 0.2
 

@@ -8,7 +8,8 @@ posterior probability of being good is at least ``KEEP``.
 
 Defined results: null text has no words; texts without words fail the base rules and are not kept; a text on which all
 rules abstain gets the share of good texts; an empty table gives no rows; repeated rows are judged alike; null ids are
-kept. Texts of any length are counted whole. Working columns are prefixed, so the input's columns can't clash.
+kept. Texts of any length are counted whole. The
+input's columns travel as one struct beside the working columns, so none can clash.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import materialise, table
+from tsengine.llm.common import materialise, packed, table
 
 KEEP, ROUNDS, PRIOR = 0.5, 30, 50.0
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,30 +74,33 @@ def _repeated(words: Column) -> Column:
     return F.coalesce(_let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h) - F.when(F.size(h) > 2, 1).otherwise(0), _let(places(h), covered))), F.lit(0)).cast("long")
 
 
-def signals(df: DataFrame, text: str) -> DataFrame:
-    """The input with struct column __q: word counts and the other counts that rules look at."""
+def counts(df: DataFrame, text: str) -> DataFrame:
+    """(row, q): the input's columns as one struct, and one with word counts and the other counts that rules look at."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: _without(x, WHITE) != "")
-    first = df.withColumn("__w", words).withColumn("__t", _without(t, WHITE)).withColumn("__l", lines)
-    word_chars = F.length("__t").cast("long")
+    first = df.select(packed(df).alias("row"), words.alias("w"), _without(t, WHITE).alias("t"), lines.alias("l"))
+    word_chars = F.length("t").cast("long")
     some = F.greatest(word_chars, F.lit(1))
-    n = F.size("__w").cast("long")
-    return first.withColumn(
-        "__q",
-        F.struct(
-            n.alias("n_words"),
-            word_chars.alias("word_chars"),
-            (F.length("__t") - F.length(_without(F.col("__t"), SYMBOLS))).cast("long").alias("n_symbols"),
-            (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-            _repeated(F.col("__w")).alias("n_repeat_words"),
-            F.size("__l").cast("long").alias("n_lines"),
-            ((F.length("__t") - F.length(_without(F.col("__t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / some).alias("capitals"),
-            ((F.length("__t") - F.length(_without(F.col("__t"), "0123456789"))) / some).alias("digits"),
-            ((F.length("__t") - F.length(_without(F.col("__t"), "!\"'()+,-./:;=?@[\\]^_`{}~"))) / some).alias("marks"),
-            ((n - F.size(F.array_distinct("__w"))) / F.greatest(n, F.lit(1))).alias("reused"),
-        ),
-    ).drop("__w", "__t", "__l")
+    n = F.size("w").cast("long")
+    q = F.struct(
+        n.alias("n_words"),
+        word_chars.alias("word_chars"),
+        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        _repeated(F.col("w")).alias("n_repeat_words"),
+        F.size("l").cast("long").alias("n_lines"),
+        ((F.length("t") - F.length(_without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / some).alias("capitals"),
+        ((F.length("t") - F.length(_without(F.col("t"), "0123456789"))) / some).alias("digits"),
+        ((F.length("t") - F.length(_without(F.col("t"), "!\"'()+,-./:;=?@[\\]^_`{}~"))) / some).alias("marks"),
+        ((n - F.size(F.array_distinct("w"))) / F.greatest(n, F.lit(1))).alias("reused"),
+    )
+    return first.select("row", q.alias("q"))
+
+
+def signals(df: DataFrame, text: str) -> DataFrame:
+    """The input with struct column __q, the signals; an existing column of that name is replaced."""
+    return counts(df.drop("__q"), text).select("row.*", F.col("q").alias("__q"))
 
 
 def votes(q: Column) -> Column:
@@ -138,15 +142,15 @@ def posterior(pattern: Column, model: Column) -> Column:
 
 
 def learn(patterns: DataFrame) -> DataFrame:
-    """One row, one column ``__m``: share of good texts, and each rule's chance to vote good on good and on bad texts.
+    """One row, one column ``model``: share of good texts, and each rule's chance to vote good on good and on bad texts.
 
-    patterns: (__p, n). Given that a rule votes, it votes good with its chance; abstaining tells nothing.
+    patterns: (votes, n). Given that a rule votes, it votes good with its chance; abstaining tells nothing.
     """
-    rows = F.sort_array(F.collect_list(F.struct("__p", "n")))  # at most 3 ** len(RULES) patterns
+    rows = F.sort_array(F.collect_list(F.struct("votes", "n")))  # at most 3 ** len(RULES) patterns
     start = F.struct(F.lit(0.8).alias("share"), F.array(*[F.lit(0.9)] * len(RULES)).alias("good"), F.array(*[F.lit(0.3)] * len(RULES)).alias("bad"))
 
     def step(rows: Column, model: Column) -> Column:
-        weighed = F.transform(rows, lambda r: F.struct(r["__p"].alias("p"), (r["n"] * posterior(r["__p"], model)).alias("g"), (r["n"] * (1 - posterior(r["__p"], model))).alias("b")))
+        weighed = F.transform(rows, lambda r: F.struct(r["votes"].alias("p"), (r["n"] * posterior(r["votes"], model)).alias("g"), (r["n"] * (1 - posterior(r["votes"], model))).alias("b")))
 
         def maximised(w: Column) -> Column:
             def total(of) -> Column:
@@ -167,29 +171,36 @@ def learn(patterns: DataFrame) -> DataFrame:
 
         return _let(weighed, maximised)
 
-    return patterns.agg(rows.alias("__r")).select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda model, _: step(F.col("__r"), model)).alias("__m"))
+    return patterns.agg(rows.alias("rows")).select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda model, _: step(F.col("rows"), model)).alias("model"))
 
 
-def judge(df: DataFrame, text: str) -> DataFrame:
-    """The input with __q (signals), __p (votes), __good (posterior), __failed (base rules) and __kept. It is counted once and written."""
-    counted = materialise(signals(df, text), "signals").withColumn("__p", votes(F.col("__q")))
+def with_posterior(counted: DataFrame) -> DataFrame:
+    """A written table with q (signals) -> the same with votes, good (posterior), failed (base rules) and kept."""
+    voted = counted.withColumn("votes", votes(F.col("q")))
     # A cross join with one row: the model.
-    judged = counted.crossJoin(F.broadcast(learn(counted.groupBy("__p").agg(F.count("*").alias("n")))))
-    failed = base_failed(F.col("__q"))
-    return judged.withColumn("__good", posterior(F.col("__p"), F.col("__m"))).withColumn("__failed", failed).withColumn("__kept", ~failed & (F.col("__good") >= KEEP)).drop("__m")
+    judged = voted.crossJoin(F.broadcast(learn(voted.groupBy("votes").agg(F.count("*").alias("n")))))
+    judged = judged.withColumn("good", posterior(F.col("votes"), F.col("model"))).withColumn("failed", base_failed(F.col("q")))
+    return judged.withColumn("kept", ~F.col("failed") & (F.col("good") >= KEEP)).drop("model")
+
+
+def judge(df: DataFrame, text: str) -> DataFrame:
+    """(row, q, votes, good, failed, kept): the input's columns as one struct, null where the base rules fail, and what is known of each row.
+
+    Whole texts are counted once and written once; the rules learn from all of them.
+    """
+    counted = counts(df, text)
+    return with_posterior(materialise(counted.withColumn("row", F.when(~base_failed(F.col("q")), F.col("row"))), "signals"))
 
 
 def keep(df: DataFrame, text: str) -> DataFrame:
     """The rows that are kept, with the input's columns."""
-    return judge(df, text).filter("__kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    return judge(df, text).filter("kept").select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # The signals are written once, so that whole texts are counted once.
-    counted = materialise(signals(docs, "text").select("doc_id", "__q"), "signals").withColumn("__p", votes(F.col("__q")))
-    judged = counted.crossJoin(F.broadcast(learn(counted.groupBy("__p").agg(F.count("*").alias("n")))))
-    good, failed = posterior(F.col("__p"), F.col("__m")), base_failed(F.col("__q"))
+    judged = with_posterior(materialise(counts(docs, "text").select(F.col("row.doc_id").alias("doc_id"), "q"), "signals"))
     return judged.select(
-        "doc_id", *(F.col("__q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & (good >= KEEP)).alias("kept"), F.round(good, 6).alias("good"), F.col("__p").alias("votes")
+        "doc_id", *(F.col("q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("failed").alias("base_failed"), "kept", F.round("good", 6).alias("good"), "votes"
     )

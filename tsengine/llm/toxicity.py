@@ -1,18 +1,24 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are present or absent: a word, its stem (the first five letters, so that endings share what is learned), two
-words in a row, and two words with one between them, lower-cased, bare of punctuation, hashed into ``2**bits`` places. Training takes a bounded sample of the labelled rows, by a hash of their
-id, and walks it row by row: every coordinate has its own rate, and the L1 bound leaves most weights at exactly zero,
-so the model that is sent to the executors is a few places and weights.
+words in a row, and two words with one between them, lower-cased, bare of punctuation, hashed into ``2**bits`` places.
+Training takes a bounded sample of the labelled rows, by a hash of their id (at most ``TRAINING_ROWS``, and no more of
+them than ``TRAINING_BYTES`` of packed features), and walks it row by row: every coordinate has its own rate, and the L1
+bound leaves most weights at exactly zero, so the model that is sent to the executors is a few places and weights. The
+bias starts at the sample's share of toxic rows, with ``PRIOR`` of ``PRIOR_ROWS`` rows seen before.
 
 Defined results: null and empty texts score as the bias alone; null labels and null ids are not learned from; with no
-labelled rows every score is 0.5 and nothing is predicted toxic by default; repeated rows score alike; whole texts are
-read. Only the named columns are read.
+labelled rows every score is ``PRIOR``, under the threshold, so nothing is predicted toxic; with labels of one kind only
+it stays at that kind's side; repeated rows score alike; whole texts are read. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_right
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +27,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tsengine.llm.common import chunks, fold_column, new_name, once_per_worker, table, utf8
+from tsengine.llm.common import chunks, fold_column, materialise, new_name, once_per_worker, table, utf8
 
 BITS, THRESHOLD, STEM = 20, 0.3, 5
 #: At most so many labelled rows are learned from; they are chosen by a hash of their id.
 TRAINING_ROWS = 12_000
+#: The driver holds at most so many bytes of packed features, and one row more.
+TRAINING_BYTES = 96_000_000
+#: What is believed of the share of toxic rows before any label is seen.
+PRIOR, PRIOR_ROWS = 0.05, 20
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 REMEMBERED = 300_000
 #: Odd multipliers that tell the kinds of features apart.
 NEXT, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class Model(NamedTuple):
+    """Places and weights that are not zero, the bias, and the number of bits that places are hashed into."""
+
+    places: np.ndarray
+    weights: np.ndarray
+    bias: float
+    bits: int
+
+
 class WordHash(dict):
     """Lower-case word -> its hash; stem: the same of its first letters."""
 
@@ -62,9 +81,9 @@ def features(text: bytes, words: WordHash, bits: int = BITS) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, bias: float = 0.0, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
-        self.alpha, self.beta, self.l1, self.l2, self.bias, self.bias_n = alpha, beta, l1, l2, 0.0, 0.0
+        self.alpha, self.beta, self.l1, self.l2, self.bias, self.bias_n = alpha, beta, l1, l2, bias, 0.0
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z = self.z[at]
@@ -85,8 +104,8 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = TRAINING_ROWS, epochs: int = 4, bits: int = BITS):
-    """(places, weights, bias) from the documents whose id has a label of 0 or 1, at most most_rows ids.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = TRAINING_ROWS, epochs: int = 4, bits: int = BITS, most_bytes: int = TRAINING_BYTES) -> Model:
+    """A model from the documents whose id has a label of 0 or 1, at most most_rows ids, and the first of them that fill most_bytes.
 
     An id with several labels counts as the larger, one with several texts learns from one of them.
     """
@@ -103,29 +122,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # Only ids are moved to choose the sample; what is broadcast are the chosen ids, at most most_rows.
     chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id").select(order.alias("order"), "label", "text")
-    rows = chosen.mapInArrow(run, "order long, label int, features binary").groupBy("order", "label").agg(F.min("features").alias("features")).collect()
-    rows = sorted((r.order, r.label, bytes(r.features)) for r in rows)
-    model = Ftrl(bits)
-    for _ in range(epochs if rows else 0):
-        for _, y, packed in rows:  # kept packed: a few KB a row
-            model.learn(np.frombuffer(zlib.decompress(packed), "<u4"), y)
+    rows = materialise(chosen.mapInArrow(run, "order long, label int, features binary").groupBy("order", "label").agg(F.min("features").alias("features")), "sample")
+    # At most most_rows lengths are sent first; then the rows that fit, in the order of the walk.
+    lengths = sorted(tuple(r) for r in rows.select("order", "label", F.length("features")).collect())
+    sums = list(accumulate(n for *_, n in lengths))
+    some = F.lit(True)
+    if sums and sums[-1] > most_bytes:
+        last = lengths[bisect_right(sums, most_bytes)]
+        some = F.struct("order", "label") <= F.struct(F.lit(last[0]), F.lit(last[1]))
+    sample = sorted((r.order, r.label, bytes(r.features)) for r in rows.filter(some).collect())
+    share = (sum(y for _, y, _ in sample) + PRIOR * PRIOR_ROWS) / (len(sample) + PRIOR_ROWS)
+    model = Ftrl(bits, math.log(share / (1 - share)))
+    for _ in range(epochs if sample else 0):
+        for _, y, held in sample:  # kept compressed: a few KB a row
+            model.learn(np.frombuffer(zlib.decompress(held), "<u4"), y)
     weights = model.weights(slice(None))
     places = np.flatnonzero(weights)
-    return places, weights[places], model.bias
+    return Model(places, weights[places], model.bias, bits)
 
 
-def score(df: DataFrame, text: str, model, name: str = "score") -> DataFrame:
-    """The input with a score column from 0 to 1; the model is as train() gives it. An existing column of that name is replaced."""
-    places, weights, bias = model
+def score(df: DataFrame, text: str, model: Model, name: str = "score") -> DataFrame:
+    """The input with a score column from 0 to 1. An existing column of that name is replaced."""
     # At most 2**bits places, whatever the data; L1 leaves a small part of them.
-    sent, held = df.sparkSession.sparkContext.broadcast((places, weights, bias)), new_name("toxic weights")
-    bits = BITS
+    sent, held, bits = df.sparkSession.sparkContext.broadcast(model), new_name("toxic weights"), model.bits
     df = df.drop(name)
     columns = df.columns
 
     def dense():
         out = np.zeros(1 << bits, np.float32)
-        out[sent.value[0]] = sent.value[1]
+        out[sent.value.places] = sent.value.weights
         return out
 
     def run(batches):
@@ -135,7 +160,7 @@ def score(df: DataFrame, text: str, model, name: str = "score") -> DataFrame:
                 scores = []
                 for t in utf8(batch.column(text)):
                     at = features(t, words, bits)
-                    scores.append(float(sigmoid(table_[np.unique(at[table_[at] != 0])].sum(dtype=np.float64) + sent.value[2])))
+                    scores.append(float(sigmoid(table_[np.unique(at[table_[at] != 0])].sum(dtype=np.float64) + sent.value.bias)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, DoubleType()))
