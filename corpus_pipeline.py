@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.llm import packing, quality, simhash, toxicity
-from tsengine.llm.common import materialise, table
+from tsengine.llm.common import free_name, materialise, table
 
 #: SQL can't express the learned stages; the tests compare the result with a plain version of it.
 ORACLE_SQL = None
@@ -25,7 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under the threshold; the labels of those that are left are learned from."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, "text", model, "__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    name = free_name(docs, "toxicity")
+    return toxicity.score(docs, "text", model, name).filter(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
