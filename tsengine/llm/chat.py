@@ -10,7 +10,8 @@ Rows of a conversation are brought together by Spark's shuffle, sorted by turn,
 conversation at a time.
 
 Defined results: null text and null role are empty; a null turn comes first; rows with equal turns are ordered by role,
-then text, repeats included; rows with a null id form one conversation with a null id; an empty table gives no rows.
+then text, repeats included; of rows with a null id nothing is known to belong together, so each is a conversation of
+one turn with a null id (and no task gathers them); an empty table gives no rows.
 Roles other than system, user and assistant are written between brackets, percent-encoded. Only the named columns are
 read, so others may clash.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import groupby
+from itertools import count, groupby
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -103,13 +104,14 @@ def format_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn"
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(turn).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "turn", "role", "text")
+    dealt = rows.filter("key IS NOT NULL").repartition(n, "key").sortWithinPartitions("key", "turn", "role", "text")
 
     def run(batches):
         stream = (row for b in batches for row in zip(b["key"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist(), strict=True))
         keys, texts, masks, held = [], [], [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(texts, pa.string()), pa.array(masks, spans)], [key, "formatted", "loss"])
-        for k, turns in groupby(stream, key=lambda r: r[0]):
+        alone = count()
+        for (k, _), turns in groupby(stream, key=lambda r: (r[0], next(alone) if r[0] is None else 0)):
             rendered = render([(r, t) for _, r, t in turns])
             keys.append(k)
             texts.append(rendered)
@@ -124,7 +126,7 @@ def format_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn"
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow, spans = to_arrow_type(df.schema[key].dataType), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return dealt.mapInArrow(run, f"`{key}` {kind}, formatted string, loss array<struct<start:long,end:long>>")
+    return dealt.unionByName(rows.filter("key IS NULL")).mapInArrow(run, f"`{key}` {kind}, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -1,7 +1,9 @@
 """Media columns: Netpbm and BMP images, area-resized through integral images, kept as NPY tiles with difference hashes.
 
-Defined results: a null image gives null results; bytes that are no Netpbm or BMP image raise ``ValueError`` in
-:func:`decode` and give null results in :func:`media_tiles`. An image may be any size that a binary column holds; the
+Defined results: a null image gives null results; bytes that are no Netpbm or BMP image, samples that are
+too few, no whole numbers or larger than the header's maximum, and images without pixels raise ``ValueError`` in
+:func:`decode` or give null results in :func:`media_tiles`. Null text is empty; equal texts give equal values; an empty
+table gives no rows; null keys are kept. An image may be any size that a binary column holds; the
 integral image is built in blocks of rows, so memory beyond the image itself is bounded by ``BLOCK_ROWS``.
 Only the named columns are read, so other columns of the input, whatever their names, do no harm.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import struct
 import zlib
@@ -23,6 +26,7 @@ from tsengine.llm.common import chunks, table, utf8
 
 BLOCK_ROWS = 8192
 HEADER = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)")
+SAMPLE = re.compile(rb"\d{1,5}")
 MAXVAL = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
 
 
@@ -60,18 +64,25 @@ def _decode_netpbm(image: bytes) -> np.ndarray:
             raise ValueError("a Netpbm image needs a maximum from 1 to 65535")
         most, at = int(found[1]), found.end()
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
     if kind == b"P1":  # digits may stand without spaces between them
-        bits = re.sub(rb"#[^\n]*", b"", image[at:]).translate(None, b" \t\r\n\v\f")
-        out = np.frombuffer(bits, np.uint8, n) == ord("0")
+        bits = re.sub(rb"#[^\n]*", b"", image[at:]).translate(None, b" \t\r\n\v\f")[:n]
+        if len(bits) < n or bits.strip(b"01"):
+            raise ValueError("a plain bitmap needs a 0 or 1 for each pixel")
+        out = np.frombuffer(bits, np.uint8) == ord("0")
     elif kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n]*", b"", image[at:]).split()[:n], dtype=np.uint16)
+        samples = re.sub(rb"#[^\n]*", b"", image[at:]).split()[:n]
+        if len(samples) < n or not all(SAMPLE.fullmatch(x) for x in samples):
+            raise ValueError("a plain image needs a whole number for each sample")
+        out = np.array(samples, dtype=np.int64)
     elif kind == b"P4":
         wide = -(-w // 8)
         rows = np.frombuffer(image, np.uint8, wide * h, at + 1).reshape(h, wide)
         out = np.unpackbits(rows, axis=1)[:, :w] == 0
     else:
         out = np.frombuffer(image, np.uint8 if most < 256 else ">u2", n, at + 1)
+    if kind not in (b"P1", b"P4") and n and out.max() > most:
+        raise ValueError("a sample is larger than the maximum that the header names")
     out = out.reshape(shape)
     return out.astype(np.uint8) * 255 if kind in (b"P1", b"P4") else out.astype(np.uint8 if most < 256 else np.uint16, copy=False)
 
@@ -80,11 +91,15 @@ def _decode_bmp(image: bytes) -> np.ndarray:
     at, (size, w, h, _, depth, packed) = struct.unpack_from("<I", image, 10)[0], struct.unpack_from("<IiiHHI", image, 14)
     if packed or depth not in (8, 24, 32):
         raise ValueError("only uncompressed 8-, 24- and 32-bit BMP")
+    if w < 1 or not h:
+        raise ValueError("a BMP image without pixels")
     wide = (w * depth // 8 + 3) // 4 * 4
     rows = np.frombuffer(image, np.uint8, wide * abs(h), at).reshape(abs(h), wide)[:: -1 if h > 0 else 1, : w * depth // 8]
     if depth != 8:
         return np.ascontiguousarray(rows.reshape(abs(h), w, depth // 8)[:, :, 2::-1])
     n = struct.unpack_from("<I", image, 46)[0] or 256
+    if n > 256:
+        raise ValueError("an 8-bit BMP has at most 256 colours")
     colours = np.zeros((256, 3), np.uint8)
     colours[:n] = np.frombuffer(image, np.uint8, 4 * n, 14 + size).reshape(n, 4)[:, 2::-1]
     out = colours[rows]
@@ -150,70 +165,100 @@ def media_tiles(df: DataFrame, key: str, image: str, resize: tuple[int, int] | N
     """
 
     def run(batches):
-        for batch in batches:
-            for key_value, stored in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                try:
-                    samples = None if stored is None else decode(stored)
-                except (ValueError, struct.error):
-                    samples = None
-                out = [(None, None, None, None)]
-                if samples is not None and samples.size:
-                    if resize:
-                        samples = np.rint(area_resize(samples, *resize)).astype(samples.dtype)
-                    out = [(r, c, npy(x), difference_hash(x)) for r, c, x in tiles(samples, *tile)]
+        for whole in batches:
+            for batch in chunks(whole, image):
+                at, out = [], []
+                for i, stored in enumerate(batch.column(1).to_pylist()):
+                    try:
+                        samples = None if stored is None else decode(stored)
+                    except (ValueError, struct.error):
+                        samples = None
+                    if samples is None or not samples.size:
+                        found = [(None, None, None, None)]
+                    else:
+                        if resize:
+                            samples = np.rint(area_resize(samples, *resize)).astype(samples.dtype)
+                        found = [(r, c, npy(x), difference_hash(x)) for r, c, x in tiles(samples, *tile)]
+                    at += [i] * len(found)
+                    out += found
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([key_value.as_py()] * len(out), batch.schema.field(0).type), *columns], [key, "tile_row", "tile_col", "tile", "tile_hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], [key, "tile_row", "tile_col", "tile", "tile_hash"])
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, tile_row int, tile_col int, tile binary, tile_hash string"
     return df.select(key, image).mapInArrow(run, schema)
 
 
 UNIT, WIDTH, PAD = 576, 24, b"\xff"
+#: Rows of 24 samples in a tile of the registered query; longer texts have several tiles.
+TILE_ROWS = 4096
 
 
 def bytes_as_images(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as a grey Netpbm image 24 samples wide.
 
-    Columns: the key, n_bytes (without padding) and image. Null text counts as empty.
+    Columns: the key and image. Null text counts as empty. No byte of UTF-8 is 255, so the padding can be told from the text.
     """
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, text):
-                texts = utf8(batch.column(text))
                 images = []
-                for x in texts:
+                for x in utf8(batch.column(text)):
                     payload = x + PAD * (-len(x) % UNIT if x else UNIT)
                     images.append(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)))
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(len, texts), pa.int64()), pa.array(images, pa.binary())], [key, "n_bytes", "image"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(images, pa.binary())], [key, "image"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, image binary")
+    return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, image binary")
 
 
-def stored_features(df: DataFrame, key: str) -> DataFrame:
-    """From (key, n_bytes, image): digests of the stored form and of the samples read back, and the features.
+def stored_features(tiled: DataFrame, key: str) -> DataFrame:
+    """From media_tiles' rows: per image, what is read back from its NPY tiles, digests of the stored form, and the features.
 
-    The samples go from Netpbm to an array, into NPY, and are read back from the NPY bytes before anything is computed.
-    ``feature`` is the difference hash of the whole image; ``thumb_sha256`` the digest of its 32 by 32 NPY tile.
+    An image's tiles come one after the other from one task and are read before any shuffle, so that a tile (0, 0) begins
+    an image; they are put together again in that order. ``feature`` is the difference hash of the whole image,
+    ``tile_hashes`` those of its tiles, ``thumb_sha256`` the digest of its 32 by 32 NPY tile.
     """
-    names = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "thumb_sha256": "string"}
+    names = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "n_tiles": "long", "tile_hashes": "string", "thumb_sha256": "string"}
 
-    def one(n, stored):
-        samples = from_npy(npy(decode(stored)))
+    def one(held):
+        stored, hashes = [t for t, _ in held], [h for _, h in held]
+        samples = np.vstack([from_npy(t) for t in stored])
         payload = samples.tobytes()
         thumb = npy(np.rint(area_resize(samples, 32, 32)).astype(np.uint8))
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(samples), hashlib.sha256(thumb).hexdigest()
+        media = hashlib.sha256()
+        for t in stored:
+            media.update(t)
+        return (
+            len(payload.rstrip(PAD)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sum(map(len, stored)), media.hexdigest(),
+            hashes[0] if len(stored) == 1 else difference_hash(samples), len(stored), " ".join(hashes), hashlib.sha256(thumb).hexdigest(),
+        )
 
     def run(batches):
-        for whole in batches:
-            for batch in chunks(whole, "image"):
-                rows = [one(n, x) for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                columns = [pa.array(x, pa.string() if t == "string" else pa.int64()) for x, t in zip(zip(*rows, strict=True), names.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, *names])
+        keys, rows, held = [], [], []
 
-    return df.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in names.items()))
+        def out():
+            columns = [pa.array(x, pa.string() if t == "string" else pa.int64()) for x, t in zip(zip(*rows, strict=True), names.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *columns], [key, *names])
+
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("tile_row", "tile_col", "tile", "tile_hash"))
+            for i, (r, c, tile, found) in enumerate(zip(*columns, strict=True)):
+                if (r, c) == (0, 0):
+                    if held:
+                        rows.append(one(held))
+                        held = []
+                        if len(rows) >= 1000:
+                            yield out()
+                            keys, rows = [], []
+                    keys.append(batch[key].slice(i, 1))
+                held.append((tile, found))
+        if held:
+            rows.append(one(held))
+            yield out()
+
+    return tiled.mapInArrow(run, f"`{key}` {tiled.schema[key].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in names.items()))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"))
-    return stored_features(bytes_as_images(docs, "doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stored_features(media_tiles(bytes_as_images(docs, "doc_id", "text"), "doc_id", "image", resize=None, tile=(TILE_ROWS, WIDTH)), "doc_id")
