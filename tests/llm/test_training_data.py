@@ -170,12 +170,17 @@ def test_large_buckets_are_split(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = int(rng.integers(0, 2**63))
     values = sorted({base ^ sum(1 << int(x) for x in rng.choice(16, rng.integers(0, 6), replace=False)) for _ in range(1500)})
-    rows = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")), i % 7) for i, v in enumerate(values)], "fingerprint binary, label long").repartition(3)
+    prints = [v.to_bytes(8, "big") for v in values]
+    rows = spark.createDataFrame([(bytearray(x),) for x in prints], "fingerprint binary").repartition(3)
     near = {(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 2}
-    label = {v: i % 7 for i, v in enumerate(values)}
+    # Sets of 40 shingles in runs of ten fingerprints: those of one run are similar, those of different runs are not.
+    held = {v: np.unique(np.r_[np.arange(36) + 1000 * (i // 10), 100_000 + 10 * i + np.arange(4)]).astype(np.uint64) for i, v in enumerate(values)}
+    alike = {(a, b) for a, b in near if len(np.intersect1d(held[a], held[b])) * 5 >= 4 * len(np.union1d(held[a], held[b]))}
+    assert 0 < len(alike) < len(near)
+    sets = spark.createDataFrame([(bytearray(x), 40, 36, bytearray(held[v].tobytes())) for x, v in zip(prints, values, strict=True)], "fingerprint binary, size long, shared long, shingles binary")
 
     def pairs(df):
-        return {tuple(sorted((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")), reverse=True)) for r in df.collect()}
+        return {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in df.collect()}
 
     def groups(edges):
         root = {v: v for v in values}
@@ -185,10 +190,13 @@ def test_large_buckets_are_split(spark, monkeypatch):
                 root = {v: low if x == high else x for v, x in root.items()}
         return root
 
-    made = simhash.links_between
+    index = simhash.Index(len(values), 2)
     for block_rows in (10**6, 100):
-        assert pairs(made(rows, 2, block_rows=block_rows)) == {(a, b) for a, b in near if label[a] != label[b]}
-        assert groups(pairs(made(rows.select("fingerprint"), 2, block_rows=block_rows))) == groups(near)
+        assert groups(pairs(simhash.links_between(rows, 2, block_rows=block_rows))) == groups(near)
+        met = simhash.meeting(rows, index, block_rows)
+        assert {bytes(r.fingerprint) for r in met.collect()} == {v.to_bytes(8, "big") for pair in near for v in pair}
+        found = met.join(sets, "fingerprint").select("part", "bits", "fingerprint", "size", "shared", "shingles")
+        assert groups(pairs(simhash.similar(found, index, 320 * block_rows))) == groups(alike)
     held = spark.sparkContext.accumulator(0)
     whole = simhash.search
 
@@ -199,10 +207,28 @@ def test_large_buckets_are_split(spark, monkeypatch):
         return whole(bucket, *rest)
 
     monkeypatch.setattr(simhash, "search", search)
-    made(rows.select("fingerprint"), 2, block_rows=100).count()
+    simhash.links_between(rows, 2, block_rows=100).count()
     assert 0 < held.value < 10**6
 
 
+def test_masks_follow_the_count_of_fingerprints():
+    for rows, wide in ((10**5, 12), (10**7, 13), (10**9, 19)):
+        exact = simhash.masks(rows, 4)
+        assert min(sum(m).bit_count() for m in exact) >= wide  # about a thousand rows a bucket, or fewer
+        rng = np.random.default_rng(rows % 97)
+        for _ in range(200):  # whatever four bits differ, some mask shows none of them
+            change = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not m & change for (m,) in exact)
+        several = simhash.masks(rows, 60, 4, 6)
+        assert rows / 2 ** min(sum(w.bit_count() for w in m) for m in several) <= 2 * simhash.BUCKET_ROWS or rows <= 10**6
+        met = 0
+        for _ in range(300):  # pairs that differ in each bit with the chance that a similarity of 0.8 gives
+            flips = rng.random(256) < 0.1514
+            change = [sum(1 << b for b in range(64) if flips[64 * w + b]) for w in range(4)]
+            met += any(not any(m & c for m, c in zip(mask, change, strict=True)) for mask in several)
+        assert met >= 0.95 * 300
+
+
 def test_keep_one(docs, spark):
     near = sentence(9, 300)
     rows = [(50, near), (51, near + " more"), (52, near.upper()), (53, sentence(10, 300)), (53, sentence(10, 300)), (None, near)]
@@ -339,8 +365,26 @@ def test_toxicity_learns(spark):
     scored = toxicity.score(df.filter("doc_id >= 300"), "text", model).collect()
     right = sum((r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored)
     assert right >= 0.95 * len(scored) and len(model[0]) < 5000
-    untaught = toxicity.train(df.limit(0), df.select("doc_id", "toxic"))
-    assert {r.score for r in toxicity.score(df, "text", untaught).collect()} == {0.5}
+    untaught = toxicity.train(df.limit(0), df.select("doc_id", "toxic"))  # nothing is known: nothing is predicted
+    assert [r.score for r in toxicity.score(df, "text", untaught).select("score").distinct().collect()] == [pytest.approx(toxicity.PRIOR)] and toxicity.PRIOR < toxicity.THRESHOLD
+    clean = toxicity.train(df.filter("toxic = 0"), df.select("doc_id", "toxic"))
+    assert max(r.score for r in toxicity.score(df, "text", clean).collect()) < toxicity.THRESHOLD
+
+
+def test_toxicity_keeps_its_bits_and_bounds(docs, empty, spark):
+    rows = [(i, sentence(i, 30) + (" vile scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (0, None), (0, 1)], "doc_id long, toxic int"))
+    small = toxicity.train(df, labels, bits=16)
+    scored = toxicity.score(df, "text", small).collect()
+    assert small.bits == 16 and sum((r.score >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored) >= 0.95 * len(scored)
+    bounded = toxicity.train(df, labels, most_bytes=5000)  # only the first rows of the walk
+    assert len(bounded.places) < len(toxicity.train(df, labels).places)
+    on_edges = toxicity.score(docs, "text", small, "tox").collect()  # null, empty, long and repeated texts, clashing columns
+    assert len(on_edges) == len(TEXTS) + 1 and {"word", "score", "fingerprint"} <= set(on_edges[0].asDict())
+    same = [r.tox for r in on_edges if r.text == sentence(1)]
+    assert len(same) == 2 and same[0] == same[1] and len({r.tox for r in on_edges if not (r.text or "").strip()}) == 1
+    assert toxicity.score(empty, "text", small).count() == 0
 
 
 def test_pipeline_stages_keep_columns(spark):

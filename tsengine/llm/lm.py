@@ -107,7 +107,7 @@ class Lexicon:
         self.group = np.unique(run, return_inverse=True)[1].astype(np.int64)
         self.groups = int(self.group[-1]) + 1 if len(rest) else 0
         self.first = np.searchsorted(self.group, np.arange(self.groups + 1))
-        self.member_at = np.full(len(words), -1)
+        self.member_at = np.full(len(words) + OTHERS, -1)
         self.member_at[rest] = np.arange(len(rest))
         of_group = np.bincount(self.group, mass, self.groups)
         self.member_share = mass / of_group[self.group] if len(rest) else mass
@@ -136,7 +136,7 @@ class Lexicon:
         """Targets with an end after each text, their places among the groups' words (or -1), the two classes before each (ends before a text), and the texts' starts."""
         ends = sizes.cumsum()
         target = np.insert(self.of_place[at], ends, END)
-        member = np.insert(np.where(at >= 0, self.member_at[at] if len(self.member_at) else -1, -1), ends, -1)
+        member = np.insert(self.member_at[at], ends, -1)
         starts = np.r_[0, (ends + np.arange(1, len(ends) + 1))[:-1]].astype(np.int64)
         one = np.r_[END, target[:-1]]
         two = np.r_[END, END, target[:-2]][: len(target)]

@@ -18,8 +18,9 @@ star for each of its components and never all pairs. A bucket of more than ``BLO
 hash; each pair of blocks is a part of its own, so no task holds more than two blocks of a bucket and no pair is missed.
 
 ``keep_one`` takes the index's links as candidates only: two documents are linked if the exact Jaccard similarity of
-their shingle sets is SIMILAR or more. The stars are compared first; a second search gives every candidate pair that
-these left in different components, and all of them are compared.
+their shingle sets is SIMILAR or more. Only documents that have a candidate go on, and of these only those that share
+enough of their shingles with any other of them to be similar to one at all. Their sets are sent to the buckets they met
+others in, and compared there: no pair leaves a bucket, only the stars of what turned out similar.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; repeated
 rows and equal texts share a fingerprint; an empty table gives no rows. Null ids are kept, and count as larger than any
@@ -41,10 +42,10 @@ from pyspark.sql import functions as F
 from tsengine.llm.common import chunks, join_hot, materialise, packed, table, utf8
 
 SEED, FAN_OUT = 42, 8
-#: Rows of whole buckets that a task indexes at a time, and node pairs that it compares at a time.
-INDEX_ROWS, PAIRS = 200_000, 1 << 18
-#: Rows that a block of a bucket has on average, at most.
-BLOCK_ROWS = 50_000
+#: Bytes of whole buckets that a task indexes at a time, node pairs and shingles that it compares at a time.
+HELD_BYTES, PAIRS, COMPARED = 16_000_000, 1 << 18, 4_000_000
+#: Rows, or bytes of shingle sets, that a block of a bucket has on average, at most.
+BLOCK_ROWS, BLOCK_BYTES = 50_000, 32_000_000
 #: Rows that a bucket has on average, and large buckets that are broadcast (24 bytes each); more are joined.
 BUCKET_ROWS, LARGE = 1000, 200_000
 #: Fixed odd multipliers that turn a shingle's hash into further independent words.
@@ -228,86 +229,178 @@ def masks(rows: int, max_distance: int, words: int = 1, blocks: int | None = Non
     same = 1 - math.acos(both) / math.pi  # the chance that a bit is equal
     missed = (1 - same ** (64 / blocks)) ** (words * blocks)
     width = min(48, math.ceil(math.log2(rows / BUCKET_ROWS)))
+    # Masks are cut from shuffled bits, so those of one shuffle share none. The spread of distances asks for half as many again.
+    wanted = math.ceil(1.5 * math.log(missed) / math.log(1 - same**width))
     rng, out = random.Random(SEED), []
-    for _ in range(math.ceil(math.log(missed) / math.log(1 - same**width))):
-        bits = rng.sample(range(64 * words), width)
-        out.append(tuple(sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)))
-    return out
+    while len(out) < wanted:
+        bits = rng.sample(range(64 * words), 64 * words)
+        for at in range(0, 64 * words - width + 1, width):
+            out.append(tuple(sum(1 << b % 64 for b in bits[at : at + width] if b // 64 == w) for w in range(words)))
+    return out[:wanted]
+
+
+BUCKET = ["part", "bits"]
+BLOCK = [*BUCKET, "low", "high"]
+
+
+class Index:
+    """The index's top level for a number of fingerprints: its masks, and how a task reads its buckets."""
+
+    def __init__(self, rows: int, max_distance: int, words: int = 1, blocks: int | None = None):
+        self.most, self.words, self.masks = max_distance, words, masks(rows, max_distance, words, blocks)
+        # Rows are ordered by the word with most bits that a bucket leaves open.
+        self.ordered_by = np.array([min(range(words), key=lambda w: m[w].bit_count()) for m in self.masks])
+
+    def buckets(self, prints: DataFrame) -> DataFrame:
+        """(part, bits, fingerprint): every fingerprint once for each mask."""
+        word = [F.conv(F.hex(F.substring("fingerprint", 8 * w + 1, 8)), 16, -10).cast("long") for w in range(self.words)]
+        under = lambda m: [word[w].bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x)) for w, x in enumerate(m) if x]
+        keys = [F.struct(F.lit(i).alias("part"), (p[0] if len(p := under(m)) == 1 else F.xxhash64(*p)).alias("bits")) for i, m in enumerate(self.masks)]
+        return prints.select("fingerprint", F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint")
+
+    def read(self, batches):
+        """(table, rows, bucket, side, prints): whole buckets with something to compare; rows are the table's places in the order of bucket, side and Gray rank."""
+        for t in whole_buckets(batches):
+            part, bits, low, high, side = (t[c].to_numpy() for c in (*BLOCK, "side"))
+            x = np.frombuffer(b"".join(t["fingerprint"].to_pylist()), ">u8").astype(np.uint64).reshape(len(t), -1)[:, : self.words]
+            bucket = np.r_[0, changes(part, bits, low, high).cumsum()]
+            # A bucket of one has nothing to compare, nor has a pair of blocks of which one is empty: its own rows meet elsewhere.
+            n, right = np.bincount(bucket), np.bincount(bucket, side)
+            some = np.flatnonzero((n[bucket] > 1) & ((low == high) | ((right > 0) & (right < n))[bucket]))
+            if len(some):
+                rank = gray_rank(x[some, self.ordered_by[part[some]]])
+                rows = some[np.lexsort((rank, side[some], bucket[some]))]
+                yield t, rows, bucket[rows], side[rows], x[rows]
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+
+
+def whole_buckets(batches):
+    """Tables of whole buckets from batches in their order, about HELD_BYTES at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = np.flatnonzero(changes(*(t[k].to_numpy() for k in BLOCK)))
+            if len(last):
+                yield t.slice(0, last[-1] + 1)
+                t = t.slice(last[-1] + 1)
+            held, size = t.to_batches(), t.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def dealt(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows of (part, bits, fingerprint, ...) brought together by bucket; one that weighs more than most is cut into blocks by a hash, and each pair of blocks is a part of its own (low, high, side)."""
+    large = materialise(rows.groupBy(*BUCKET).agg(F.ceil(F.sum(weight) / most).alias("cuts")).filter("cuts > 1"), "large")
+    more = rows.columns[2:]
+    cut = rows.join(F.broadcast(large) if large.count() <= LARGE else large, BUCKET, "left")
+    own = F.coalesce(F.pmod(F.xxhash64("fingerprint", "part"), F.col("cuts")), F.lit(0))
+    other = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    cut = cut.withColumn("own", own).withColumn("other", other)
+    low, high = F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high")
+    cut = cut.select(*BUCKET, low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), *more)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(n, *BLOCK).sortWithinPartitions(*BLOCK)
+
+
+def stars(label: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
+    found = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array([prints[i] for i in label[found]], pa.binary()), pa.array([prints[i] for i in found], pa.binary())], ["a", "b"])
 
 
 def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): for each bucket of the index, every linked fingerprint with its component's first one.
+    """(a, b): for each bucket of the index, every linked fingerprint with its component's first one."""
+    index = Index(prints.count(), max_distance, words, blocks)
+
+    def run(batches):
+        for t, rows, bucket, side, x in index.read(batches):
+            yield stars(search(bucket, side, x, max_distance), t["fingerprint"].take(pa.array(rows)).to_pylist())
+
+    return dealt(index.buckets(prints), F.lit(1), block_rows).mapInArrow(run, "a binary, b binary")
+
+
+def meeting(prints: DataFrame, index: Index, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(part, bits, fingerprint): the fingerprints that have another within the distance, once for each bucket that they share with it.
 
-    With a column ``label`` (long), every pair of fingerprints that are near each other in a bucket and differ in it.
     Bytes of a fingerprint beyond its words tell nodes apart and don't count as distance.
     """
-    apart = "label" in prints.columns
-    shown = masks(prints.count(), max_distance, words, blocks)
-    word = [F.conv(F.hex(F.substring("fingerprint", 8 * w + 1, 8)), 16, -10).cast("long") for w in range(words)]
-    under = lambda m: [word[w].bitwiseAND(F.lit(x - (1 << 64) if x >> 63 else x)) for w, x in enumerate(m) if x]
-    keys = [F.struct(F.lit(i).alias("part"), (p[0] if len(p := under(m)) == 1 else F.xxhash64(*p)).alias("bits")) for i, m in enumerate(shown)]
-    ordered_by = np.array([min(range(words), key=lambda w: m[w].bit_count()) for m in shown])  # the word with most bits that a bucket leaves open
-    more = ["label"] if apart else []
-    dealt = prints.select("fingerprint", *more, F.explode(F.array(*keys)).alias("bucket")).select("bucket.part", "bucket.bits", "fingerprint", *more)
-    large = dealt.groupBy("part", "bits").agg(F.ceil(F.count("*") / block_rows).alias("cuts")).filter("cuts > 1")
-    own = F.pmod(F.xxhash64("fingerprint", "part"), F.col("cuts"))
-    other = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    large = materialise(large, "large")
-    dealt = dealt.join(F.broadcast(large) if large.count() <= LARGE else large, ["part", "bits"], "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-    low, high = F.least("own", "other").cast("int").alias("low"), F.greatest("own", "other").cast("int").alias("high")
-    dealt = dealt.select("part", "bits", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "fingerprint", *more)
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        def changes(*keys):
-            return np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        for t, rows, bucket, side, x in index.read(batches):
+            label = search(bucket, side, x, index.most)
+            near = label != np.arange(len(label))
+            near[label[near]] = True
+            yield from t.select([*BUCKET, "fingerprint"]).take(pa.array(rows[near])).to_batches()
+
+    return dealt(index.buckets(prints), F.lit(1), block_rows).mapInArrow(run, "part int, bits long, fingerprint binary").distinct()
+
+
+def overlaps(ids: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many ids the sets a[i] and b[i] share; set j is ids[start[j] : start[j] + size[j]], none is empty."""
+    out, order = np.empty(len(a), np.int64), np.argsort(a, kind="stable")
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    first = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
+        own = ids[start[a[order[i]]] :][: size[a[order[i]]]]
+        mark[own] = True
+        at, most = order[i:j], max(1, COMPARED // int(size[b[order[i:j]]].max()))
+        for k in range(0, len(at), most):
+            y = b[at[k : k + most]]
+            hits = mark[ids[ranges(start[y], size[y])]]
+            out[at[k : k + most]] = np.add.reduceat(hits, np.r_[0, size[y].cumsum()[:-1]], dtype=np.int64)
+        mark[own] = False
+    return out
 
-        def linked(part, bits, low, high, side, prints_, label=None):
-            bucket = np.r_[0, changes(part, bits, low, high).cumsum()]
-            crowd = np.bincount(bucket)[bucket] > 1  # a bucket of one has nothing to compare
-            bucket, side, x = bucket[crowd], side[crowd], prints_[crowd]
-            # A pair of blocks of which one is empty has nothing to compare either: its own rows meet elsewhere.
-            split, both = (low != high)[crowd], np.bincount(bucket, side, minlength=1)[bucket]
-            some = ~split | ((both > 0) & (both < np.bincount(bucket, minlength=1)[bucket]))
-            crowd[crowd] = some
-            bucket, side, x = bucket[some], side[some], x[some]
-            if not len(x):
-                return
-            order = np.lexsort((gray_rank(x[:, 0] if words == 1 else x[np.arange(len(x)), ordered_by[part[crowd]]]), side, bucket))
-            bucket, side, x = bucket[order], side[order], x[order]
-            raw = x.astype(">u8")
-
-            def out(a, b):
-                return pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i in a], pa.binary()), pa.array([raw[i].tobytes() for i in b], pa.binary())], ["a", "b"])
-
-            if apart:
-                links = Links(len(x))
-                links.label = np.unique(label[crowd][order], return_inverse=True)[1]
-                for a, b in descend(bucket, side, x[:, :words], max_distance, links, apart=True):
-                    yield out(a, b)
-                return
-            label = search(bucket, side, x[:, :words], max_distance)
-            found = np.flatnonzero(label != np.arange(len(label)))
-            yield out(label[found], found)
 
-        held, rows = [], 0
+def similar(rows: DataFrame, index: Index, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b): in each bucket, every fingerprint with the first one of its component among those whose sets are SIMILAR.
+
+    rows: (part, bits, fingerprint, size, shared, shingles); shared is how many of the set's shingles any other set has.
+    Pairs within the distance are compared as they come out of the tree, but for those in one component already.
+    """
+    top, bottom = SIMILAR
+
+    def run(batches):
+        for t, rows, bucket, side, x in index.read(batches):
+            found = t.take(pa.array(rows))
+            size, shared = (found[c].to_numpy() for c in ("size", "shared"))
+            ids = np.unique(np.frombuffer(b"".join(found["shingles"].to_pylist()), np.uint64), return_inverse=True)[1]
+            start, links = np.r_[0, size.cumsum()[:-1]], Links(len(rows))
+            for a, b in descend(bucket, side, x, index.most, links, apart=True):
+                # What both hold of others' shingles bounds what they share; most pairs are settled by that.
+                both = (top + bottom) * np.minimum(shared[a], shared[b]) >= top * (size[a] + size[b])
+                both &= (links.label[a] != links.label[b]) & (size[a] > 0) & (size[b] > 0)
+                a, b = a[both], b[both]
+                if len(a):
+                    enough = (top + bottom) * overlaps(ids, start, size, a, b) >= top * (size[a] + size[b])
+                    links.add(a[enough], b[enough])
+            yield stars(links.label, found["fingerprint"].to_pylist())
+
+    return dealt(rows, 8 * F.col("size"), block_bytes).mapInArrow(run, "a binary, b binary")
+
+
+def with_shared(sets: DataFrame) -> DataFrame:
+    """Sets (fingerprint, size, shingles) -> the same with shared; those that no other set can be similar to are left out."""
+    top, bottom = SIMILAR
+    numbered = materialise(sets.withColumn("number", F.monotonically_increasing_id()), "sets")
+
+    def flat(batches):
         for batch in batches:
-            prints_ = np.frombuffer(b"".join(batch.column(5).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-            held.append((*(c.to_numpy() for c in batch.columns[:5]), prints_, *(c.to_numpy() for c in batch.columns[6:])))
-            rows += batch.num_rows
-            if rows >= INDEX_ROWS:
-                every = [np.concatenate(c) for c in zip(*held, strict=True)]
-                last = np.flatnonzero(changes(*every[:4]))
-                cut = last[-1] + 1 if len(last) else 0
-                if cut:
-                    yield from linked(*(x[:cut] for x in every))
-                held = [tuple(x[cut:] for x in every)]
-                rows -= cut
-        if held:
-            yield from linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    buckets = ["part", "bits", "low", "high"]
-    return dealt.repartition(n, *buckets).sortWithinPartitions(*buckets).mapInArrow(run, "a binary, b binary")
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                held = b"".join(part["shingles"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(held, np.int64)), pa.array(np.repeat(part["number"].to_numpy(), part["size"].to_numpy()))], ["shingle", "number"])
+
+    alone = numbered.select("number", "size", "shingles").mapInArrow(flat, "shingle long, number long").groupBy("shingle").agg(F.count("*").alias("n"), F.max("number").alias("number")).filter("n = 1")
+    alone = alone.groupBy("number").agg(F.count("*").alias("alone"))
+    shared = F.col("size") - F.coalesce("alone", F.lit(0))
+    found = numbered.join(alone, "number", "left").select("fingerprint", "size", shared.alias("shared"), "shingles")
+    return materialise(found.filter(F.col("shared") * bottom >= F.col("size") * top), "sets", instead_of=[numbered])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,45 +432,16 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(star(moved, False, now[0]).distinct(), "links", instead_of=[edges, moved])
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more, from written tables."""
-    top, bottom = SIMILAR
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * bottom >= top * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    n = pairs.count()
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("weight"))
-    held = sets.join(degrees, "fingerprint")
-    of_a, of_b = (held.select(F.col("fingerprint").alias(c), F.col("shingles").alias(x), F.col("size").alias(f"size_{x}"), "weight") for c, x in ("ax", "by"))
-    both = join_hot(join_hot(pairs, of_a, ["a"], "weight", 2 * n), of_b, ["b"], "weight", 2 * n)
-    sizes = F.least("size_x", "size_y") * bottom >= F.greatest("size_x", "size_y") * top  # others can't be that similar
-    return both.filter(sizes).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def similar_links(nodes: DataFrame, sets_of, max_distance: int, words: int, blocks: int | None) -> DataFrame:
-    """(a, b): similar pairs of nodes that connect what all similar pairs among the index's candidates connect.
+def similar_links(nodes: DataFrame, rows: int, sets_of, max_distance: int, words: int, blocks: int | None) -> DataFrame:
+    """(a, b): links that connect what all similar pairs among the index's candidates connect.
 
     sets_of gives (fingerprint, size, shingles) for rows of (fingerprint, least).
     """
-
-    def candidates(prints: DataFrame) -> DataFrame:
-        found = links_between(prints, max_distance, words, blocks)
-        return materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-    stars = candidates(nodes.select("fingerprint"))
-    near = stars.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct()
-    near = materialise(nodes.select("fingerprint", "least").join(near, "fingerprint"), "near")
-    sets = materialise(sets_of(near), "sets")
-    links = materialise(similar(stars, sets), "similar")
-    labels = near.join(components(links), near["fingerprint"] == F.col("node"), "left").select("fingerprint", F.xxhash64(F.coalesce("root", "fingerprint")).alias("label"))
-    return links.union(similar(candidates(labels), sets))
+    index = Index(rows, max_distance, words, blocks)
+    met = materialise(meeting(nodes.select("fingerprint"), index), "met")
+    near = nodes.select("fingerprint", "least").join(met.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    sets = with_shared(sets_of(near))
+    return similar(met.join(sets, "fingerprint").select(*BUCKET, "fingerprint", "size", "shared", "shingles"), index)
 
 
 def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int = 1, blocks: int | None = None, sets_of=None) -> DataFrame:
@@ -387,7 +451,7 @@ def near_duplicates(prints: DataFrame, key: str, max_distance: int, words: int =
     """
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min(key).alias("least"), F.count("*").alias("weight")), "nodes")
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    roots = components(similar_links(nodes, sets_of, max_distance, words, blocks) if sets_of else links_between(nodes.select("fingerprint"), max_distance, words, blocks))
+    roots = components(similar_links(nodes, n_nodes, sets_of, max_distance, words, blocks) if sets_of else links_between(nodes.select("fingerprint"), max_distance, words, blocks))
     # One row per different fingerprint. Large groups and frequent fingerprints are hot keys of the two joins that follow.
     grouped = materialise(nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", "weight", F.coalesce("root", "fingerprint").alias("root")), "grouped")
     of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
@@ -424,9 +488,15 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
         found = docs.select(known(F.col("row")), "text").join(near.select(known(F.col("least")), "fingerprint"), "id").dropDuplicates(["id"])
         return found.select("fingerprint", "text").mapInArrow(run, "fingerprint binary, size long, shingles binary")
 
-    found = near_duplicates(prints, "row", DISTANCE, WORDS, RUNS, sets_of)
-    firsts = found.filter(F.col("row") == F.col("component_id")).select(known(F.col("row"))).distinct()
-    return docs.select(known(F.col("row")), "doc").join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
+    found = near_duplicates(prints, "row", DISTANCE, WORDS, RUNS, sets_of).withColumn("first", F.col("row") == F.col("component_id"))
+    # Rows to leave out are fewer than those to keep. Rows with one key and text are told apart by nothing: they are left out, too, and one of each comes back.
+    of_id = materialise(found.groupBy(known(F.col("row"))).agg(F.bool_or("first").alias("first"), F.count("*").alias("n")).filter("n > 1 OR NOT first"), "left_out")
+    named = docs.select(known(F.col("row")), "doc")
+    kept = named.join(of_id.select("id"), "id", "left_anti")
+    again = of_id.filter("first").select("id")
+    if again.count():
+        kept = kept.unionByName(named.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    return kept.select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
