@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,9 @@ def horizon_from_lags(hours: list[int]) -> str:
 
 def flatten_distinct(lists: Column) -> Column:
     return F.array_distinct(F.flatten(lists))
+
+
+def ordered_distinct(df: DataFrame, column: str, order: str) -> DataFrame:
+    """The different values of a column with their first appearance, in the order of it."""
+    firsts = df.groupBy(column).agg(F.min(order).alias("first"))
+    return firsts.orderBy("first", column).select(column, "first")

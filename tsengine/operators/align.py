@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.values import shift_longitude
@@ -39,27 +39,45 @@ def outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "full")
 
 
+#: Degrees of a block of cells. The ranges of latitude and shifted longitude bound the number of blocks: 24 by 46.
+BLOCK = 8.0
+
+
 def nearest_cells(sites: DataFrame, cells: DataFrame, degrees: float = 2.0) -> DataFrame:
     """(location, y, x): the cell with the smallest squared distance in degrees; ties go to the smallest (y, x).
 
     Both are bucketed by a grid of ``degrees``; a site looks at its own bucket and the eight around it, so the join is on
-    equal buckets and exact for what it finds within ``degrees``. The few sites left look again in a coarser grid.
-    Sites without coordinates are left out.
+    equal buckets and exact for what it finds within ``degrees``. A site left over first weighs the blocks of cells, by
+    their outlines (at most 24 * 46, one broadcast row): it joins only blocks whose nearest edge isn't farther than the
+    farthest corner of another, so no site meets all cells. Sites without coordinates are left out.
     """
     sites = sites.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("longitude", shift_longitude(F.col("longitude")))
     spots = cells.select("y", "x", F.col("latitude").alias("lat"), shift_longitude(F.col("longitude")).alias("lon"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     distance = F.pow(F.col("lat") - F.col("latitude"), 2) + F.pow(F.col("lon") - F.col("longitude"), 2)
-    found = None
-    for size in (degrees, degrees * 8, 720.0):
-        at = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: B023, E731
-        dealt = spots.withColumn("bi", at("lat")).withColumn("bj", at("lon"))
-        left = sites if found is None else sites.join(found, "location", "left_anti")
-        looking = left.withColumn("near", F.explode(around)).withColumn("bi", at("latitude") + F.col("near.i")).withColumn("bj", at("longitude") + F.col("near.j"))
-        best = looking.join(dealt, ["bi", "bj"]).groupBy("location").agg(F.min(F.struct(distance.alias("d"), "y", "x")).alias("b"))
-        best = best.filter(F.col("b.d") <= size**2).select("location", "b.y", "b.x")
-        found = best if found is None else found.unionByName(best)
-    return found
+
+    def dealt(size: float) -> DataFrame:
+        return spots.withColumn("bi", F.floor(F.col("lat") / size).cast("long")).withColumn("bj", F.floor(F.col("lon") / size).cast("long"))
+
+    def best(looking: DataFrame, size: float) -> DataFrame:
+        return looking.join(dealt(size), ["bi", "bj"]).groupBy("location").agg(F.min(F.struct(distance.alias("d"), "y", "x")).alias("b"))
+
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    at = lambda c, near: F.floor(F.col(c) / degrees).cast("long") + F.col(near)
+    close = sites.withColumn("near", F.explode(around)).withColumn("bi", at("latitude", "near.i")).withColumn("bj", at("longitude", "near.j"))
+    found = best(close, degrees).filter(F.col("b.d") <= degrees**2)
+    outlines = dealt(BLOCK).groupBy("bi", "bj").agg(*(f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))))
+    every = outlines.agg(F.collect_list(F.struct("*")).alias("blocks"))
+    apart = lambda x, low, high: F.greatest(low - x, x - high, F.lit(0.0))
+    across = lambda x, low, high: F.greatest(x - low, high - x)
+
+    def squared(block: Column, f) -> Column:
+        return sum((F.pow(f(F.col(c), block[f"{n}_low"], block[f"{n}_high"]), 2) for c, n in (("latitude", "lat"), ("longitude", "lon"))), F.lit(0.0))
+
+    left = sites.join(found, "location", "left_anti").crossJoin(F.broadcast(every))
+    left = left.withColumn("most", F.array_min(F.transform("blocks", lambda b: squared(b, across))))
+    left = left.withColumn("near", F.explode(F.filter("blocks", lambda b: squared(b, apart) <= F.col("most"))))
+    far = best(left.select("location", "latitude", "longitude", F.col("near.bi").alias("bi"), F.col("near.bj").alias("bj")), BLOCK)
+    return found.unionByName(far).select("location", "b.y", "b.x")
 
 
 def at_cells(domain: DataFrame, cells_of: DataFrame, cube: DataFrame, variables: list[str], time: str = "valid_time") -> DataFrame:

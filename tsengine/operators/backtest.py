@@ -51,12 +51,18 @@ def in_folds(df: DataFrame, folds: list[Fold], which: str = "test") -> DataFrame
 
 
 def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scores: bool = False) -> DataFrame:
-    """(fold, which, location, date_time, true, predicted): a fresh model per fold; features are computed once by the caller."""
-    out = None
+    """(fold, which, location, date_time, true, predicted): a fresh model per fold. While models are fitted, the features are held, so that they are computed once."""
+    was_held = df.is_cached
+    if not was_held:
+        df.persist()
+    out, models = None, []
     for f in folds:
         within = lambda a, b: F.col("date_time").between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))
         train, test = df.filter(within(f.train_start, f.train_end)), df.filter(within(f.test_start, f.test_end))
-        model = make().fit(train)
+        models.append((f, train, test, make().fit(train)))
+    if not was_held:
+        df.unpersist()
+    for f, train, test, model in models:
         for which, part in (("test", test), *((("train", train),) if train_scores else ())):
             p = model.predict(part).select(F.lit(f.fold).alias("fold"), F.lit(which).alias("which"), "location", "date_time", F.col(model.label).alias("true"), "predicted")
             out = p if out is None else out.unionByName(p)

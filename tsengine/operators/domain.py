@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,16 @@ class Domain:
         return c.between(F.lit(self.start).cast("timestamp_ntz"), F.lit(self.end).cast("timestamp_ntz"))
 
 
+def with_padding(domain: Domain, steps: int, compute: Callable[[Domain], DataFrame]) -> DataFrame:
+    """What compute gives for the domain with room for so many steps on both sides, less the rows of that room.
+
+    Group and rolling operations see their neighbours that way; the padded bounds reach the scan like any others.
+    """
+    if steps < 0:
+        raise DomainError("padding can't be negative")
+    return compute(domain.pad(steps)).filter(domain.within())
+
+
 def months(df: DataFrame, chosen: list[int]) -> DataFrame:
     return df.filter(F.month("date_time").isin(chosen))
 

@@ -55,6 +55,14 @@ def block_gaps(df: DataFrame, value: str, size: int, n: int | None = None, fract
     return df.groupBy("location").applyInPandas(mark, schema)
 
 
+def gaps_by_column(df: DataFrame, wanted: dict[str, dict], seed: int = 32) -> DataFrame:
+    """A mask synth_gap_{column} for each column, from the arguments of random_gaps or, with a size, of block_gaps; each column draws by a seed of its own."""
+    for i, (column, how) in enumerate(wanted.items()):
+        make = block_gaps if "size" in how else random_gaps
+        df = make(df, column, **{"seed": seed + i, "mask": f"synth_gap_{column}"} | how)
+    return df
+
+
 def with_gaps(df: DataFrame, value: str, mask: str = "synth_gap", name: str = "gapped") -> DataFrame:
     return df.withColumn(name, F.when(~F.col(mask), F.col(value)))
 

@@ -64,14 +64,53 @@ def binary(df: DataFrame, true: str = "true", predicted: str = "predicted", prob
     return df.filter(y.isNotNull() & p.isNotNull()).agg(*(c.alias(k) for k, c in out.items()))
 
 
-def ranking(df: DataFrame, true: str, score: str) -> DataFrame:
-    """(average_precision, dcg) and the detection trade-off's points, by thresholds: scores are counted first, so what is walked in order is one row per different score."""
-    per = df.groupBy(score).agg(F.sum(F.col(true).cast("long")).alias("hits"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    walked = per.select(score, "hits", "n", F.sum("hits").over(w).alias("tp"), F.sum("n").over(w).alias("flagged"))
-    total = per.agg(F.sum("hits").alias("positives"), F.sum("n").alias("all"))
-    rows = walked.join(F.broadcast(total))  # one row
-    return rows.select(score, F.col("tp"), (F.col("flagged") - F.col("tp")).alias("fp"), (F.col("positives") - F.col("tp")).alias("fn"), (F.try_divide(F.col("hits"), F.col("positives")) * F.col("tp") / F.col("flagged")).alias("average_precision_part"))
+def classes(df: DataFrame, true: str = "true", predicted: str = "predicted") -> DataFrame:
+    """(label, precision, recall, f1, support) of every class, from one count of pairs; ratios without a denominator are null."""
+    pairs = confusion(df.filter(F.col(true).isNotNull() & F.col(predicted).isNotNull()), true, predicted)
+    sides = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("label"), F.lit(s).alias("side")) for s, c in (("true", true), ("predicted", predicted))])).alias("x"), (F.col(true) == F.col(predicted)).alias("right"), "n")
+    total = lambda s: F.sum(F.when(F.col("x.side") == s, F.col("n")).otherwise(0))
+    right = F.sum(F.when(F.col("right") & (F.col("x.side") == "true"), F.col("n")).otherwise(0))
+    return sides.groupBy(F.col("x.label").alias("label")).agg(
+        F.try_divide(right, total("predicted")).alias("precision"), F.try_divide(right, total("true")).alias("recall"), F.try_divide(2 * right, total("true") + total("predicted")).alias("f1"), total("true").alias("support")
+    )
+
+
+def trade_off(df: DataFrame, true: str, score: str, ranges: int | None = None) -> DataFrame:
+    """(score, hits, n, tp, fp, fn, before) by falling score: one row per different score, the counts at or above it, and the rows above it.
+
+    Scores are counted first and dealt into ranges by cut points, so that each range is a window of its own; what lies in
+    the ranges above (one row a range) is added.
+    """
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(true).cast("long")).alias("hits"), F.count("*").alias("n"))
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(score, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("score"))) if cuts else F.lit(0)
+    dealt = per.withColumn("range", place)
+    sums = dealt.groupBy("range").agg(F.sum("hits").alias("all_hits"), F.sum("n").alias("all_n"))
+    above = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as ranges
+    offsets = sums.select("range", F.coalesce(F.sum("all_hits").over(above), F.lit(0)).alias("hits_above"), F.coalesce(F.sum("all_n").over(above), F.lit(0)).alias("n_above"), F.sum("all_hits").over(Window.partitionBy()).alias("positives"))
+    w = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tp, flagged = F.sum("hits").over(w) + F.col("hits_above"), F.sum("n").over(w) + F.col("n_above")
+    walked = dealt.join(F.broadcast(offsets), "range").select("score", "hits", "n", tp.alias("tp"), flagged.alias("flagged"), "positives")
+    return walked.select("score", "hits", "n", "tp", (F.col("flagged") - F.col("tp")).alias("fp"), (F.col("positives") - F.col("tp")).alias("fn"), (F.col("flagged") - F.col("n")).alias("before"))
+
+
+def ranking(df: DataFrame, true: str, score: str, ranges: int | None = None) -> DataFrame:
+    """One row (average_precision, dcg) of 0/1 labels under a score; rows of equal scores share their mean discount.
+
+    Null scores are left out; without a positive label both are null.
+    """
+    rows = trade_off(df, true, score, ranges)
+    # A tie of n rows from place k on: the mean of 1 / log2(place + 1) over its places.
+    gain = F.aggregate(F.sequence(F.col("before") + 1, F.col("before") + F.col("n")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i.cast("double") + 1))
+    dcg = F.sum(F.when(F.col("hits") > 0, F.col("hits") / F.col("n") * gain).otherwise(0.0))
+    positives = F.sum("hits")
+    return rows.agg(F.when(positives > 0, F.sum(F.col("hits") * F.col("tp") / (F.col("tp") + F.col("fp"))) / positives).alias("average_precision"), F.when(positives > 0, dcg).alias("dcg"))
+
+
+def wide_predictions(df: DataFrame, locations: list[str], value: str = "predicted") -> DataFrame:
+    """Predictions as a row per time and a column per location."""
+    return df.groupBy("date_time").pivot("location", locations).agg(F.first(value))
 
 
 def peaks(df: DataFrame, value: str, k: int, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.05, 0.25, 0.75, 0.95)
@@ -30,6 +30,18 @@ def feature_stats(df: DataFrame, features: list[str], by_location: bool = False,
     return rows.join(F.broadcast(first) if not by_location else first, keys).groupBy(*keys).agg(*aggs)  # one row per feature
 
 
+def presence_stats(df: DataFrame, features: list[str], by_location: bool = False) -> DataFrame:
+    """What is watched while predicting: feature_stats without mean and quantiles."""
+    return feature_stats(df, features, by_location, None).drop("mean")
+
+
+def observed(df: DataFrame, features: list[str], name: str = "features") -> tuple[DataFrame, Observation]:
+    """The frame, and an observation of how many values of each feature it held once it has been computed: no pass of its own."""
+    watched = Observation(name)
+    counts = [x for f in features for x in (F.count(f).alias(f"{f}_present"), F.min(f).alias(f"{f}_min"), F.max(f).alias(f"{f}_max"))]
+    return df.observe(watched, F.count(F.lit(1)).alias("n_obs"), *counts), watched
+
+
 def range_stats(df: DataFrame, value: str, end: str) -> DataFrame:
     """Per location and for all: last observation, freshness in seconds before ``end`` (for all: the smallest), presence, range, quartiles."""
     v = F.col(value)

@@ -5,10 +5,12 @@ It is an approximation: no shading, no horizon, the isotropic sky model for diff
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.functions.values import clamp, kelvin_to_celsius, let
@@ -78,8 +80,19 @@ def output_watts(at: Column, system: Column) -> Column:
     return let(power, plane=plane)
 
 
-def forecast(weather: DataFrame, sites: DataFrame, systems: dict[str, list[System]], name: str = "pv_physics") -> DataFrame:
-    """(location, date_time, pv_physics): a location's systems added up; null where an input is, or where there are no systems."""
+def read_systems(spark: SparkSession, paths: dict[str, list[str]]) -> dict[str, list[System]]:
+    """location -> its systems, each from a small JSON file of System's fields (what is missing is the default) by a path that Spark can read."""
+    out = {}
+    for location, files in paths.items():
+        out[location] = [System(**json.loads(spark.read.text(f, wholetext=True).first()[0])) for f in files]
+    return out
+
+
+def forecast(weather: DataFrame, sites: DataFrame, systems: dict[str, list[System]], name: str = "pv_physics", solver: Callable[[Column, Column], Column] = output_watts) -> DataFrame:
+    """(location, date_time, pv_physics): a location's systems added up; null where an input is, or where there are no systems.
+
+    solver: a function of the sun and weather (a struct) and of a system's parameters (a struct) to watts.
+    """
     df = prepare(weather).join(sites.select("location", "latitude", "longitude"), "location", "left")
     rows = [(location, [tuple(asdict(s).values()) for s in found]) for location, found in systems.items() if found]
     fields = ", ".join(f"{f}: double" for f in asdict(System()))
@@ -90,5 +103,5 @@ def forecast(weather: DataFrame, sites: DataFrame, systems: dict[str, list[Syste
         whole = whole & F.col(c).isNotNull()
     at = df.join(known, "location", "left").withColumn("sun", sun(F.col("date_time"), F.col("latitude"), F.col("longitude")))
     at = at.withColumn("at", F.struct(F.col("sun.cos_z").alias("cos_z"), F.col("sun.azimuth").alias("azimuth"), *inputs))
-    total = F.aggregate("systems", F.lit(0.0), lambda a, s: a + output_watts(F.col("at"), s))
+    total = F.aggregate("systems", F.lit(0.0), lambda a, s: a + solver(F.col("at"), s))
     return at.select(*KEYS, F.when(whole, total).alias(name))

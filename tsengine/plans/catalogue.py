@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.functions import calendar as cal
-from tsengine.functions.values import difference, tidy
+from tsengine.functions.values import clamp, difference, flatten_distinct, kelvin_to_celsius, ordered_distinct, tidy, zeros_to_null
 from tsengine.operators import aggregates as agg
 from tsengine.operators import align, backtest, features, filters, gaps, metrics, models, monitor, pv, windows
-from tsengine.operators.domain import KEYS, Domain, faults
+from tsengine.operators.domain import KEYS, Domain, faults, with_padding
 from tsengine.sources import series
 from tsengine.streaming import series as streams
 
@@ -102,7 +102,7 @@ def domain_faults(spark, d):
 @query(f"""WITH {E_SQL}, a AS (SELECT event_type AS location, date_trunc('day', ts)::TIMESTAMP AS date_time, min(value) AS value_min, max(value) AS value_max, {r("avg(value)")} AS value_mean, {r("sum(value)")} AS value_sum, {r("median(value)")} AS value_median FROM events GROUP BY 1, 2)
 SELECT g.location, g.date_time, value_min, value_max, value_mean, value_sum, value_median FROM (SELECT location, date_time FROM dom WHERE hour(date_time) = 0) g LEFT JOIN a USING (location, date_time)""")
 def fetch_group_daily(spark, d):
-    raw = series.from_table(table(spark, d, "events"), "event_type", "ts", {"value": "value"})
+    raw = series.from_table(table(spark, d, "events"), "event_type", "ts", {"value": "value"}, Domain(HOURS.start, "2024-01-30 23:59:59.999999"))
     days = agg.aggregate(raw, "day", {"value": ["min", "max", "mean", "sum", "median"]})
     grid = Domain(HOURS.start, HOURS.end, "1 day").grid(spark, event_places(spark, d))
     out = align.select(grid, days, [f"value_{a}" for a in ("min", "max", "mean", "sum", "median")])
@@ -123,15 +123,16 @@ def resample_mean(spark, d):
 
 
 @query("""WITH l AS (SELECT n.n_name AS mapped_location, date_trunc('month', l_shipdate)::TIMESTAMP AS date_time, round(sum(l_quantity), 4) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey GROUP BY 1, 2),
-dom AS (SELECT s_name AS location, s_nationkey, CAST(date_time AS TIMESTAMP) AS date_time FROM supplier, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-01', INTERVAL 1 MONTH) g(date_time))
+dom AS (SELECT s_name AS location, s_nationkey, CAST(date_time AS TIMESTAMP) AS date_time FROM supplier, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH) g(date_time))
 SELECT location, dom.date_time, CASE WHEN n_regionkey <> 0 THEN n_name END AS mapped_location, CASE WHEN n_regionkey <> 0 THEN quantity END AS quantity FROM dom JOIN nation ON n_nationkey = s_nationkey LEFT JOIN l ON l.mapped_location = n_name AND l.date_time = dom.date_time""")
 def mapped_fetch(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     named = s.join(n, s.s_nationkey == n.n_nationkey)
-    li = table(spark, d, "lineitem").join(named, F.col("l_suppkey") == F.col("s_suppkey"))
-    source = li.groupBy(F.col("n_name").alias("location"), agg.bucket(F.col("l_shipdate"), "month").alias("date_time")).agg(F.round(F.sum("l_quantity"), 4).alias("quantity"))
+    # Line items are added up by supplier and month before they meet the suppliers.
+    li = table(spark, d, "lineitem").groupBy("l_suppkey", agg.bucket(F.col("l_shipdate"), "month").alias("date_time")).agg(F.sum("l_quantity").alias("quantity")).join(named, F.col("l_suppkey") == F.col("s_suppkey"))
+    source = li.groupBy(F.col("n_name").alias("location"), "date_time").agg(F.round(F.sum("quantity"), 4).alias("quantity"))
     mapping = named.filter("n_regionkey <> 0").select(F.col("s_name").alias("location"), F.col("n_name").alias("mapped_location"))
-    months = F.explode(F.sequence(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1995-12-01").cast("timestamp_ntz"), F.expr("INTERVAL 1 MONTH")))
+    months = F.explode(F.sequence(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2001-11-01").cast("timestamp_ntz"), F.expr("INTERVAL 1 MONTH")))
     return align.mapped(s.select(F.col("s_name").alias("location"), months.alias("date_time")), mapping, source, ["quantity"])
 
 
@@ -483,15 +484,343 @@ def block_gaps(spark, d):
     return gaps.block_gaps(windows.persist_last(events(spark, d), "value"), "value", 6, n=3)
 
 
-@query()
+CLEAR = "greatest(0.0, sin((hour(date_time) - 6) * 3.14159265 / 12))"
+
+
+def _watts(x: str, tilt: str, capacity: str) -> str:
+    """The published formulas once more, in SQL: incidence, plane of array, cell temperature, direct and alternating current."""
+    t = f"radians({tilt})"
+    incidence = f"({x}.cz * cos({t}) + sin(acos({x}.cz)) * sin({t}) * cos({x}.az - radians(180.0)))"
+    plane = f"((CASE WHEN {x}.cz > 0 THEN {x}.dni * greatest({incidence}, 0.0) ELSE 0.0 END) + {x}.dhi * (1 + cos({t})) / 2 + {x}.ghi * 0.2 * (1 - cos({t})) / 2)"
+    dc = f"({capacity} * {plane} / 1000 * (1 - 0.0047 * ({x}.temp + {plane} * 0.0325 / (1 + 0.1 * {x}.wind) - 25)) * (1 - 14.0757 / 100))"
+    return f"(greatest(least({dc} * 0.96, {capacity} / 1.15), 0.0) * -1000)"
+
+
+PV_SQL = f"""WITH sites AS ({SITES}), g AS (SELECT location, latitude, longitude, CAST(date_time AS TIMESTAMP) AS date_time FROM sites, generate_series(TIMESTAMP '2024-06-01 00:00:00', TIMESTAMP '2024-06-07 23:00:00', INTERVAL 1 HOUR) s(date_time)),
+a AS (SELECT *, 2 * pi() * (dayofyear(date_time) - 1 + (hour(date_time) - 12) / 24.0) / 365 AS day FROM g),
+b AS (SELECT *, 229.18 * (0.000075 + 0.001868 * cos(day) - 0.032077 * sin(day) - 0.014615 * cos(2 * day) - 0.040849 * sin(2 * day)) AS eot, 0.006918 - 0.399912 * cos(day) + 0.070257 * sin(day) - 0.006758 * cos(2 * day) + 0.000907 * sin(2 * day) - 0.002697 * cos(3 * day) + 0.00148 * sin(3 * day) AS decl FROM a),
+c AS (SELECT *, radians((hour(date_time) * 60 + minute(date_time) + eot + 4 * longitude) / 4 - 180) AS angle, radians(latitude) AS lat FROM b),
+x AS (SELECT location, date_time, least(greatest(sin(lat) * sin(decl) + cos(lat) * cos(decl) * cos(angle), -1.0), 1.0) AS cz, atan2(sin(angle), cos(angle) * sin(lat) - tan(decl) * cos(lat)) + pi() AS az, {CLEAR} * 700 AS ghi, {CLEAR} * 500 AS dni, {CLEAR} * 120 AS dhi, 293.15 - 273.15 AS temp, 2.0 AS wind FROM c)
+SELECT location, date_time, CASE location WHEN 'FRANCE' THEN round({_watts("x", "20.0", "6.4")}, 3) + 0.0 WHEN 'KENYA' THEN round({_watts("x", "10.0", "6.4")} + {_watts("x", "20.0", "3.0")}, 3) + 0.0 END AS pv_physics FROM x"""
+
+
+@query(PV_SQL)
 def pv_forecast(spark, d):
     sites = _sites(spark, d)
     grid = Domain("2024-06-01 00:00:00", "2024-06-07 23:00:00").grid(spark, sites.select("location"))
     day = F.greatest(F.lit(0.0), F.sin((F.hour("date_time") - 6) * 3.14159265 / 12))
     weather = grid.select(*KEYS, (day * 700).alias("dswrf"), (day * 500).alias("vbdsf"), (day * 120).alias("vddsf"), F.lit(293.15).alias("t"), F.lit(2.0).alias("gust"))
-    return pv.forecast(weather, sites, {"FRANCE": [pv.System()], "KENYA": [pv.System(tilt=10.0), pv.System(capacity_kw=3.0)]})
+    out = pv.forecast(weather, sites, {"FRANCE": [pv.System()], "KENYA": [pv.System(tilt=10.0), pv.System(capacity_kw=3.0)]})
+    return out.withColumn("pv_physics", tidy(F.col("pv_physics"), 3))
 
 
-@query()
+NOISE = "((('0x' || substr(md5(concat_ws('|', '7', '{i}', location, strftime(date_time, '%Y-%m-%d %H:%M:%S'))), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+HOURS_SQL = "(date_diff('second', TIMESTAMP '2000-01-01', date_time) / 3600.0)"
+
+
+@query(f"""WITH {E_SQL} SELECT location, date_time, {r(f"CASE WHEN location = 'click' THEN 2.0 ELSE 1.0 END * (sin(2 * pi() * {HOURS_SQL} / 24 + pi() / 3) + cos(2 * pi() * {HOURS_SQL} / 168) + 0.1 * sqrt(-2 * ln({NOISE.format(i=1)})) * cos(2 * pi() * {NOISE.format(i=2)}))")} AS value FROM dom""")
 def synthetic_series(spark, d):
-    return series.synthetic(HOURS.grid(spark, event_places(spark, d)), {"click": 2.0}, noise=0.1, seed=7)
+    out = series.synthetic(HOURS.grid(spark, event_places(spark, d)), {"click": 2.0}, noise=0.1, seed=7)
+    return out.withColumn("value", tidy(F.col("value")))
+
+
+LAG_SQL = f"""WITH {E_SQL}, x AS (SELECT *, lag(value, 24) OVER (PARTITION BY location ORDER BY date_time) AS lag_24_hour FROM e), t AS (SELECT * FROM x WHERE value IS NOT NULL AND lag_24_hour IS NOT NULL)"""
+
+
+def _lag_frame(spark, d):
+    return features.FeatureSpec(lags=("24 hours",)).build(spark, HOURS, event_places(spark, d), event_source(spark, d))
+
+
+@query(f"""{LAG_SQL}, m AS (SELECT regr_slope(value, lag_24_hour) AS a, regr_intercept(value, lag_24_hour) AS b FROM t)
+SELECT location, date_time, value, round(a * lag_24_hour + b, 3) AS predicted, CAST(CASE WHEN lag_24_hour IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS feature_score FROM x, m""")
+def model_linear(spark, d):
+    """A linear model with scaled features and label gives the least-squares line."""
+    df = _lag_frame(spark, d)
+    out = models.TimeSeriesModel(["lag_24_hour"], scale_features=True, scale_target=True).fit(df).predict(df, feature_score=True)
+    return out.withColumn("predicted", F.round("predicted", 3)).withColumn("feature_score", F.coalesce("feature_score", F.lit(0.0)))
+
+
+@query(f"""{LAG_SQL}, m AS (SELECT covar_pop(value, lag_24_hour) / (var_pop(lag_24_hour) + 1000.0 / count(*)) AS a, avg(value) AS y, avg(lag_24_hour) AS z FROM t)
+SELECT location, date_time, value, round(y + a * (lag_24_hour - z), 3) AS predicted FROM x, m""")
+def model_ridge(spark, d):
+    """With one feature the slope has a closed form."""
+    df = _lag_frame(spark, d)
+    out = models.TimeSeriesModel(["lag_24_hour"], estimator="ridge", params={"alpha": 1000.0}).fit(df).predict(df)
+    return out.withColumn("predicted", F.round("predicted", 3))
+
+
+TREE = "(VALUES ('sales', 'purchase'), ('sales', 'click'), ('noise', 'error'), ('noise', 'view'), ('noise', 'click')) h(parent, child)"
+
+
+@query(f"""{LAG_SQL}, m AS (SELECT regr_slope(value, lag_24_hour) AS a, regr_intercept(value, lag_24_hour) AS b FROM t WHERE location IN ('purchase', 'click', 'error', 'view')), p AS (SELECT location, date_time, value, a * lag_24_hour + b AS predicted FROM x, m)
+SELECT parent AS location, date_time, round(sum(value), 3) AS value, round(sum(predicted), 3) AS predicted FROM {TREE} JOIN p ON p.location = h.child GROUP BY 1, 2""")
+def hierarchy_model(spark, d):
+    """Fitted and predicted on the children, added up to their parents."""
+    df = _lag_frame(spark, d)
+    tree = spark.createDataFrame([("sales", "purchase"), ("sales", "click"), ("noise", "error"), ("noise", "view"), ("noise", "click")], "parent string, child string")
+    out = models.HierarchyModel(models.TimeSeriesModel(["lag_24_hour"]), tree).fit(df).predict(df)
+    return out.select(*KEYS, F.round("value", 3).alias("value"), F.round("predicted", 3).alias("predicted"))
+
+
+HOUR_FOLDS = backtest.rolling_folds(HOURS, 3, max_train=240, test_size=48)
+HOUR_FOLD_SQL = ", ".join(f"({f.fold}, TIMESTAMP '{f.train_start}', TIMESTAMP '{f.train_end}', TIMESTAMP '{f.test_start}', TIMESTAMP '{f.test_end}')" for f in HOUR_FOLDS)
+RUN_SQL = f"""{LAG_SQL}, k AS (SELECT CAST(a AS INT) AS fold, b, c, d, e FROM (VALUES {HOUR_FOLD_SQL}) v(a, b, c, d, e)),
+m AS (SELECT fold, regr_slope(value, lag_24_hour) AS a, regr_intercept(value, lag_24_hour) AS i FROM t JOIN k ON date_time BETWEEN b AND c GROUP BY 1),
+p AS (SELECT fold, location, date_time, value AS y, m.a * lag_24_hour + m.i AS p FROM x JOIN k ON date_time BETWEEN d AND e JOIN m USING (fold))"""
+
+
+def _run(spark, d):
+    return backtest.run(_lag_frame(spark, d), HOUR_FOLDS, lambda: models.TimeSeriesModel(["lag_24_hour"]))
+
+
+@query(f"""{RUN_SQL} SELECT fold, 'test' AS which, location, date_time, round(y, 6) AS "true", round(p, 3) AS predicted FROM p""")
+def backtest_run(spark, d):
+    return _run(spark, d).withColumn("true", F.round("true", 6)).withColumn("predicted", F.round("predicted", 3))
+
+
+@query(f"""{RUN_SQL}, q AS (SELECT * FROM p WHERE y IS NOT NULL) SELECT location, count(*) AS n, count(*) - count(p) AS n_unpredicted, CASE WHEN count(*) = count(p) THEN round(avg(abs((y - p) / y)), 4) END AS mape, CASE WHEN count(*) = count(p) THEN round(avg(abs(y - p)), 3) END AS mae, CASE WHEN count(*) = count(p) THEN round(median(abs(y - p)), 3) END AS median_abs_error, CASE WHEN count(*) = count(p) THEN round(1 - var_pop(y - p) / var_pop(y), 4) END AS explained_variance, CASE WHEN count(*) = count(p) THEN round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) END AS r2 FROM q GROUP BY 1""")
+def backtest_by_location(spark, d):
+    out = backtest.grouped_metrics(_run(spark, d), "location")
+    return out.select("location", "n", "n_unpredicted", F.round("mape", 4).alias("mape"), F.round("mae", 3).alias("mae"), F.round("median_abs_error", 3).alias("median_abs_error"), F.round("explained_variance", 4).alias("explained_variance"), F.round("r2", 4).alias("r2"))
+
+
+# ---- sources, filters and small parts --------------------------------------------------------------------------------
+@query("""WITH old AS (SELECT n_name AS location, r_name AS m FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey < 15), new AS (SELECT n_name AS location, 'other' AS m FROM nation WHERE n_nationkey > 10)
+SELECT coalesce(new.location, old.location) AS location, coalesce(new.m, old.m) AS mapped_location FROM old FULL JOIN new ON old.location = new.location""")
+def mapping_update(spark, d):
+    n, g = table(spark, d, "nation"), table(spark, d, "region")
+    old = n.filter("n_nationkey < 15").join(g, n.n_regionkey == g.r_regionkey).select(F.col("n_name").alias("location"), F.col("r_name").alias("mapped_location"))
+    return align.merge_mappings(old, n.filter("n_nationkey > 10").select(F.col("n_name").alias("location"), F.lit("other").alias("mapped_location")))
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT * FROM (VALUES ('click', 'web'), ('view', 'web'), ('purchase', 'shop')) v(location, mapped_location))
+SELECT mapped_location, date_trunc('day', date_time)::TIMESTAMP AS date_time, count(value) AS value_count, {r("sum(value)")} AS value_sum, {r("max(value) - min(value)")} AS value_span FROM e LEFT JOIN m USING (location) GROUP BY 1, 2""")
+def mapped_group(spark, d):
+    """Aggregates by a mapped location, one of them a function of a column."""
+
+    def span(v):
+        return F.max(v) - F.min(v)
+
+    m = spark.createDataFrame([("click", "web"), ("view", "web"), ("purchase", "shop")], "location string, mapped_location string")
+    rows = events(spark, d).join(m, "location", "left")
+    out = agg.aggregate(rows, "day", {"value": ["count", "sum", span]}, keys=("mapped_location",))
+    return out.withColumns({c: tidy(F.col(c)) for c in ("value_sum", "value_span")})
+
+
+@query(f"""WITH sites AS ({SITES}), cells AS (SELECT y, x, 21.0 + y AS latitude, 237.0 + x AS longitude FROM range(26) a(y), range(62) b(x)),
+n AS (SELECT location, y, x, row_number() OVER (PARTITION BY location ORDER BY (s.latitude - c.latitude) ** 2 + (s.longitude + 360 - c.longitude) ** 2, y, x) AS i FROM sites s, cells c WHERE location < 'M'),
+g AS (SELECT location, CAST(date_time AS TIMESTAMP) AS date_time FROM sites, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR) t(date_time))
+SELECT g.location, g.date_time, CAST(CASE WHEN hour(g.date_time) <> 18 THEN n.y * 100 + n.x + hour(g.date_time) / 100.0 END AS DOUBLE) AS t FROM g LEFT JOIN n ON n.location = g.location AND n.i = 1""")
+def cube_at_sites(spark, d):
+    """A gridded cube at each site's nearest cell; sites without a cell and times without a reading are null."""
+    sites = _sites(spark, d)
+    times = F.explode(F.array(*[F.lit(f"2024-01-0{a} {h:02d}:00:00").cast("timestamp_ntz") for a, h in ((1, 0), (1, 6), (1, 12), (2, 0))]))
+    cube = _cells(spark).select("y", "x", times.alias("valid_time")).withColumn("t", F.col("y") * 100 + F.col("x") + F.hour("valid_time") / 100)
+    grid = Domain("2024-01-01 00:00:00", "2024-01-02 00:00:00", "6 hours").grid(spark, sites.select("location"))
+    return align.at_cells(grid, align.nearest_cells(sites.filter("location < 'M'"), _cells(spark)), cube, ["t"])
+
+
+DAY_SQL = "SELECT l_shipdate::TIMESTAMP AS utc_time, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS actual, sum(l_quantity) AS forecast FROM lineitem GROUP BY 1"
+
+
+def _loads(spark, d):
+    day = table(spark, d, "lineitem").groupBy(F.col("l_shipdate").alias("utc_time"))
+    return day.agg(F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)).alias("actual"), F.sum("l_quantity").alias("forecast"))
+
+
+@query(f"SELECT 'area' AS location, utc_time AS date_time, nullif(actual, 0) AS actual, nullif(forecast, 0) AS forecast FROM ({DAY_SQL})")
+def area_loads(spark, d):
+    return series.balancing_area(_loads(spark, d), "area", ["actual", "forecast"])
+
+
+@query(f"SELECT 'area' AS location, utc_time AS date_time, CASE WHEN actual <> 0 THEN actual END AS actual, CASE WHEN actual <> 0 THEN forecast END AS predicted FROM ({DAY_SQL})")
+def published_forecast(spark, d):
+    return series.published_forecast(_loads(spark, d), "area", "actual", "forecast")
+
+
+@query(f"WITH {O_SQL} SELECT odom.location, odom.date_time, f.\"true\", f.predicted FROM odom LEFT JOIN (SELECT * FROM f WHERE date_time >= TIMESTAMP '1999-01-01') f ON f.location = odom.location AND f.date_time = odom.date_time")
+def table_model(spark, d):
+    """Predictions read from a table at a domain."""
+    late = order_forecast(spark, d).filter("date_time >= TIMESTAMP_NTZ '1999-01-01'")
+    return models.TableModel(late).fit().predict(orders(spark, d).select(*KEYS))
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, CAST(NULL AS DOUBLE) AS value FROM dom")
+def missing_source(spark, d):
+    return series.missing(HOURS.grid(spark, event_places(spark, d)))
+
+
+SPLIT = "max(value) FILTER (location = '{c}')"
+
+
+@query(f"WITH {E_SQL} SELECT date_time, {SPLIT.format(c='click')} AS click, {SPLIT.format(c='view')} AS view FROM e GROUP BY 1")
+def side_by_side(spark, d):
+    """Meters of a location as columns."""
+    meters = events(spark, d).select(F.lit("site").alias("location"), F.col("location").alias("meter"), "date_time", "value")
+    return series.side_by_side(meters, ["click", "view"]).select("date_time", "click", "view")
+
+
+@query(f"WITH {E_SQL} SELECT date_time, {SPLIT.format(c='click')} AS click, {SPLIT.format(c='error')} AS error FROM e GROUP BY 1")
+def predictions_wide(spark, d):
+    return metrics.wide_predictions(events(spark, d), ["click", "error"], "value")
+
+
+@query("SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, CAST(second(ts) AS BIGINT) AS second, CAST(date_part('microsecond', ts) % 1000000 AS BIGINT) AS microsecond FROM events")
+def clock_parts(spark, d):
+    t = F.col("ts").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", *(cal.part(u, t).alias(u) for u in ("hour", "minute", "second", "microsecond")))
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, {', '.join(f'CAST(location = {chr(39)}{x}{chr(39)} AS INT) AS location__x0_{x}' for x in ('click', 'error', 'purchase', 'signup', 'view'))} FROM dom")
+def location_columns(spark, d):
+    grid = HOURS.grid(spark, event_places(spark, d))
+    return grid.select(*KEYS, *cal.one_hot(F.col("location"), ["click", "error", "purchase", "signup", "view"], "location"))
+
+
+@query(f"WITH {E_SQL} SELECT location, CAST(seconds AS BIGINT) AS seconds, count(*) AS n FROM (SELECT location, date_diff('second', lag(date_time) OVER (PARTITION BY location ORDER BY date_time), date_time) AS seconds FROM src) WHERE seconds IS NOT NULL GROUP BY 1, 2")
+def step_changes(spark, d):
+    return windows.step_changes(event_source(spark, d)).withColumn("seconds", F.col("seconds").cast("long"))
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, CAST(date_diff('second', min(date_time) OVER (PARTITION BY location), date_time) AS BIGINT) AS delta_seconds, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_time) AS BIGINT) AS since FROM src")
+def elapsed_seconds(spark, d):
+    out = windows.from_first(windows.from_first(event_source(spark, d)), "since", "2024-01-01")
+    return out.select(*KEYS, F.col("delta_seconds").cast("long").alias("delta_seconds"), F.col("since").cast("long").alias("since"))
+
+
+def _cut(v: str) -> str:
+    return f"CASE WHEN {v} < 30 THEN 30.0 WHEN {v} > 60 THEN 60.0 ELSE {v} END"
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, {_cut('value')} AS clamped, nullif(round(value / 100), 0) AS halves, {r('value - 273.15')} AS celsius FROM e")
+def clamped_values(spark, d):
+    v = F.col("value")
+    return events(spark, d).select(*KEYS, clamp(v, 30.0, 60.0).alias("clamped"), zeros_to_null(F.round(v / 100)).alias("halves"), tidy(kelvin_to_celsius(v)).alias("celsius"))
+
+
+@query(f"""WITH {E_SQL}, w AS (SELECT location, date_time, value, lag(value) OVER (PARTITION BY location ORDER BY date_time) AS lag_1_hour FROM e)
+SELECT location, date_time, coalesce(value, 0.0) AS value, CAST(NULL AS DOUBLE) AS lag_1_hour FROM w WHERE value IS NOT NULL OR lag_1_hour IS NOT NULL""")
+def filter_chain(spark, d):
+    """Rows without both values dropped by a plain function, one feature dropped, one made null, one filled."""
+    df = features.FeatureSpec(lags=("1 hour", "24 hours")).build(spark, HOURS, event_places(spark, d), event_source(spark, d))
+    names = ["lag_1_hour", "lag_24_hour"]
+    steps = [lambda x: x.filter("value IS NOT NULL OR lag_1_hour IS NOT NULL"), filters.drop_features([1], names), filters.nullify_features(["lag_1_hour"], names), filters.fill_zero(["value"])]
+    return filters.chain(df, steps).select(*KEYS, "value", "lag_1_hour")
+
+
+@query(INTERP.format(r(f"coalesce({LINE}, pv)")))
+def filter_extrapolate(spark, d):
+    return filters.chain(events(spark, d), [filters.interpolate_extrapolate(["value"])]).withColumn("value", tidy(F.col("value")))
+
+
+@query(INTERP.format(r(LINE)))
+def filter_interpolate(spark, d):
+    return filters.chain(events(spark, d), [filters.interpolate_linear(["value"])]).withColumn("value", tidy(F.col("value")))
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, {r('(value - avg(value) OVER ()) / nullif(stddev_pop(value) OVER (), 0)')} AS value FROM e")
+def filter_scaler(spark, d):
+    return filters.chain(events(spark, d), [filters.standard_scaler(["value"])]).withColumn("value", tidy(F.col("value")))
+
+
+@query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS p, lead(value) OVER w AS q FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time)),
+k AS (SELECT location, date_time, coalesce(value, CASE WHEN i = 1 THEN q WHEN p IS NOT NULL AND q IS NOT NULL THEN (p + q) / 2 END) AS value FROM n)
+SELECT location, date_time, {r("last_value(value IGNORE NULLS) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} AS value FROM k""")
+def pre_interpolated(spark, d):
+    """Single gaps are filled from their neighbours before the last observation fills the rest."""
+    first = windows.backfill_singleton(events(spark, d), "value")
+    return windows.persist_last(first, "value").withColumn("value", tidy(F.col("value")))
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY date_time) AS i FROM e),
+f AS (SELECT location, i, value, [value] AS held FROM n WHERE i = 1 UNION ALL SELECT n.location, n.i, coalesce(n.value, list_avg(f.held)), list_append(f.held, coalesce(n.value, list_avg(f.held)))[-4:] FROM f JOIN n ON n.location = f.location AND n.i = f.i + 1)
+SELECT n.location, n.date_time, {r("f.value")} AS value FROM n JOIN f USING (location, i)""")
+def rolling_mean_fill(spark, d):
+    """Gaps take the mean of the four rows before, earlier fills included: the method sees its window."""
+    return windows.fill_rolling(events(spark, d), "value", lambda s: s.mean(), 3).withColumn("value", tidy(F.col("value")))
+
+
+@query(f"""{LONG}, k AS (SELECT feature, count(*) AS n_obs, count(*) - count(value) AS n_missing, min(value) AS min, max(value) AS max, {r("quantile_cont(value, 0.5)")} AS q_0_5, {r("quantile_cont(value, 0.25)")} AS q_0_25, {r("quantile_cont(value, 0.75)")} AS q_0_75 FROM long GROUP BY 1)
+SELECT s AS statistic, CAST(max(v) FILTER (feature = 'value') AS DOUBLE) AS value, CAST(max(v) FILTER (feature = 'lag_1_hour') AS DOUBLE) AS lag_1_hour FROM (SELECT feature, unnest(['n_obs', 'n_missing', 'min', 'max', 'q_0_25', 'q_0_5', 'q_0_75']) AS s, unnest([n_obs::DOUBLE, n_missing::DOUBLE, min, max, q_0_25, q_0_5, q_0_75]) AS v FROM k) GROUP BY 1""")
+def stats_wide(spark, d):
+    """Statistics as a wide frame, with other quantiles asked for."""
+    df = features.FeatureSpec(lags=("1 hour",)).build(spark, HOURS, event_places(spark, d), event_source(spark, d))
+    stats = monitor.feature_stats(df, ["value", "lag_1_hour"], quantiles=(0.5,)).withColumns({c: tidy(F.col(c)) for c in ("q_0_25", "q_0_5", "q_0_75")})
+    return monitor.wide(stats.drop("fraction_missing", "n_trailing_missing", "mean"), ["value", "lag_1_hour"])
+
+
+@query(f"""{LONG}, k AS (SELECT *, max(date_time) FILTER (value IS NOT NULL) OVER (PARTITION BY feature, location) AS last FROM long)
+SELECT feature, location, count(*) AS n_obs, count(*) - count(value) AS n_missing, {r("(count(*) - count(value)) / count(*)")} AS fraction_missing, count(*) FILTER (last IS NULL OR date_time > last) AS n_trailing_missing, min(value) AS min, max(value) AS max FROM k GROUP BY 1, 2""")
+def presence_stats(spark, d):
+    df = features.FeatureSpec(lags=("1 hour",)).build(spark, HOURS, event_places(spark, d), event_source(spark, d))
+    return monitor.presence_stats(df, ["value", "lag_1_hour"], True).withColumn("fraction_missing", tidy(F.col("fraction_missing")))
+
+
+@query(f"""WITH {O_SQL}, yp AS (SELECT location, "true" / 1e5 AS y, predicted / 1e5 AS p FROM f WHERE "true" IS NOT NULL AND predicted IS NOT NULL)
+SELECT location, round(avg(2 * (y * ln(y / p) - y + p)), 5) AS mean_poisson_deviance, round(avg(2 * (ln(p / y) + y / p - 1)), 5) AS mean_gamma_deviance, round(avg((y - p) * (y - p)), 5) AS mean_tweedie_deviance FROM yp GROUP BY 1""")
+def metrics_deviance(spark, d):
+    f = order_forecast(spark, d).select("location", (F.col("true") / 1e5).alias("true"), (F.col("predicted") / 1e5).alias("predicted"))
+    return metrics.scored(f, by=["location"]).select("location", *(F.round(c, 5).alias(c) for c in ("mean_poisson_deviance", "mean_gamma_deviance", "mean_tweedie_deviance")))
+
+
+#: A labelled score that both engines hold: whether an order is dear, by its share of the largest price, and ties from rounding.
+RANKED = """SELECT CAST(o_totalprice > 200000 AS INT) AS y, CAST(o_orderpriority < '3' AS INT) AS p, round(o_totalprice % 1000) / 1000 AS q FROM orders"""
+
+
+def _ranked(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_totalprice") > 200000).cast("int").alias("y"), (F.col("o_orderpriority") < "3").cast("int").alias("p"), (F.round(F.col("o_totalprice") % 1000) / 1000).alias("q"))
+
+
+@query(f"""WITH c AS ({RANKED}), n AS (SELECT count(*) FILTER (y = 1 AND p = 1)::DOUBLE AS tp, count(*) FILTER (y = 0 AND p = 0)::DOUBLE AS tn, count(*) FILTER (y = 0 AND p = 1)::DOUBLE AS fp, count(*) FILTER (y = 1 AND p = 0)::DOUBLE AS fn, count(*)::DOUBLE AS n, avg((q - y) ** 2) AS brier, avg(greatest(0.0, 1 - (2 * y - 1) * (2 * q - 1))) AS hinge, -avg(y * ln(least(greatest(q, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(q, 1e-15), 1 - 1e-15))) AS log_loss FROM c)
+SELECT round((tp + tn) / n, 6) AS accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp + fn), 6) AS jaccard, round((fp + fn) / n, 6) AS hamming, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+round(((tp + tn) / n - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)) / (1 - ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)), 6) AS kappa, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(brier, 6) AS brier, round(log_loss, 5) AS log_loss, round(hinge, 6) AS hinge FROM n""")
+def classifier_metrics(spark, d):
+    out = metrics.binary(_ranked(spark, d), "y", "p", "q")
+    return out.select(*(F.round(c, 5 if c == "log_loss" else 6).alias(c) for c in out.columns))
+
+
+@query(f"""WITH c AS ({RANKED}), s AS (SELECT q, sum(y) AS hits, count(*) AS n FROM c GROUP BY 1), w AS (SELECT q, hits, n, sum(hits) OVER o AS tp, sum(n) OVER o AS flagged, sum(hits) OVER () AS positives FROM s WINDOW o AS (ORDER BY q DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT q, row_number() OVER (ORDER BY q DESC) AS i FROM c), g AS (SELECT q, sum(1 / log2(i + 1)) AS gain FROM k GROUP BY 1)
+SELECT round(sum(hits * tp / flagged) / max(positives), 6) AS average_precision, round(sum(hits / n * gain), 4) AS dcg FROM w JOIN g USING (q)""")
+def ranking_metrics(spark, d):
+    out = metrics.ranking(_ranked(spark, d), "y", "q")
+    return out.select(F.round("average_precision", 6).alias("average_precision"), F.round("dcg", 4).alias("dcg"))
+
+
+@query(f"""WITH c AS ({RANKED}), s AS (SELECT q, sum(y) AS hits, count(*) AS n FROM c GROUP BY 1)
+SELECT q AS score, CAST(sum(hits) OVER o AS BIGINT) AS tp, CAST(sum(n - hits) OVER o AS BIGINT) AS fp, CAST(sum(hits) OVER () - sum(hits) OVER o AS BIGINT) AS fn FROM s WINDOW o AS (ORDER BY q DESC ROWS UNBOUNDED PRECEDING)""")
+def detection_trade_off(spark, d):
+    return metrics.trade_off(_ranked(spark, d), "y", "q").select("score", "tp", "fp", "fn")
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS t, CASE WHEN o_totalprice > 150000 THEN o_orderpriority ELSE '1-URGENT' END AS p FROM orders), l AS (SELECT DISTINCT t AS label FROM c)
+SELECT label, round(count(*) FILTER (t = label AND p = label) / count(*) FILTER (p = label), 6) AS "precision", round(count(*) FILTER (t = label AND p = label) / count(*) FILTER (t = label), 6) AS recall, round(2 * count(*) FILTER (t = label AND p = label) / (count(*) FILTER (t = label) + count(*) FILTER (p = label)), 6) AS f1, count(*) FILTER (t = label) AS support FROM l, c GROUP BY 1""")
+def class_report(spark, d):
+    p = F.when(F.col("o_totalprice") > 150000, F.col("o_orderpriority")).otherwise("1-URGENT")
+    out = metrics.classes(table(spark, d, "orders").select(F.col("o_orderpriority").alias("true"), p.alias("predicted")))
+    return out.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(f"WITH {E_SQL} SELECT location, date_time, {r('avg(value) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS mean FROM (SELECT location, date_time, src.value FROM (SELECT location, CAST(t AS TIMESTAMP) AS date_time FROM (SELECT DISTINCT location FROM dom), generate_series(TIMESTAMP '2024-01-02 22:00:00', TIMESTAMP '2024-01-06 01:00:00', INTERVAL 1 HOUR) g(t)) LEFT JOIN src USING (location, date_time)) QUALIFY date_time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05 23:00:00'")
+def padded_rolling(spark, d):
+    """A rolling mean whose first rows see what lies before the domain."""
+    some = Domain("2024-01-03 00:00:00", "2024-01-05 23:00:00", "1 hour")
+
+    def mean(wide: Domain) -> DataFrame:
+        df = align.select(wide.grid(spark, event_places(spark, d)), event_source(spark, d).filter(wide.within()), ["value"])
+        return df.select(*KEYS, tidy(F.avg("value").over(windows.over().rowsBetween(-2, 0))).alias("mean"))
+
+    return with_padding(some, 2, mean)
+
+
+@query("SELECT o_orderpriority, min(o_orderdate)::TIMESTAMP AS first FROM orders GROUP BY 1")
+def distinct_in_order(spark, d):
+    o = table(spark, d, "orders").select("o_orderpriority", F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    return ordered_distinct(o, "o_orderpriority", "at")
+
+
+@query("SELECT o_custkey, list_sort(list_distinct(flatten(list([o_orderpriority, o_orderstatus])))) AS kinds FROM orders GROUP BY 1")
+def flat_sets(spark, d):
+    lists = F.collect_list(F.array("o_orderpriority", "o_orderstatus"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(flatten_distinct(lists)).alias("kinds"))

@@ -77,7 +77,8 @@ def synthetic(domain: DataFrame, scales: dict[str, float], daily: float = 1.0, w
     """A daily and a weekly wave with noise that depends on location, time and seed alone, whatever the partitions."""
     scale = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in scales.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("location")), F.lit(1.0))
     hours = F.timestamp_diff("SECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("date_time")) / 3600
-    uniform = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "location", "date_time"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), "location", F.date_format("date_time", "yyyy-MM-dd HH:mm:ss")).cast("binary"))
+    uniform = lambda i: (F.conv(F.substring(drawn(i), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
     return domain.select(*KEYS, (scale * (daily * F.sin(2 * math.pi * hours / 24 + math.pi / 3) + weekly * F.cos(2 * math.pi * hours / 168) + noise * normal)).alias("value"))
 
