@@ -54,8 +54,9 @@ class FeatureSpec:
             out += cal.one_hot(cal.day_name(ts), list(cal.DAYS), "day_of_week")
         if self.business_day:
             out.append(cal.is_business_day(ts, cal.us_holidays(self.first_year, self.last_year)).alias("is_business_day"))
+        unit = min(domain.seconds, 3600)  # periods are hours, whatever the step
         for p in self.harmonics:
-            s, c = cal.harmonics(ts, p, self.zero, domain.seconds, self.compat_truncate)
+            s, c = cal.harmonics(ts, p * 3600 / unit, self.zero, unit, self.compat_truncate)
             out += [s.alias(f"harmonic_{p:g}_sin"), c.alias(f"harmonic_{p:g}_cos")]
         if self.locations:
             out += cal.one_hot(F.col("location"), list(self.locations), "location")
