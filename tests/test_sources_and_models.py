@@ -224,6 +224,17 @@ def test_watched_models_and_ranges(spark):
     assert seen.get["f_present"] == 22 and seen.get["n_obs"] == 24
 
 
+def test_spread_quantiles_are_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [("x", START + dt.timedelta(hours=i), float(a), float(b) if i % 3 else None) for i, (a, b) in enumerate(zip(rng.normal(size=301), rng.integers(0, 4, 301), strict=True))]
+    df = spark.createDataFrame(rows, "location string, date_time timestamp_ntz, a double, b double").repartition(3)
+    names = [f"q_{q}" for q in ("0_05", "0_25", "0_75", "0_95")]
+    plain, spread = ({r.feature: [r[n] for n in names] for r in monitor.feature_stats(df, ["a", "b"], ranges=k).collect()} for k in (None, 9))
+    assert plain["a"] == pytest.approx(np.quantile([r[2] for r in rows], [0.05, 0.25, 0.75, 0.95]).tolist())
+    assert spread == {k: pytest.approx(v) for k, v in plain.items()}
+    assert monitor.feature_stats(df.limit(0), ["a"], ranges=4).count() == 0
+
+
 def test_search_and_selection(spark):
     df = lined(spark, 96).withColumn("noise", F.pmod(F.xxhash64("date_time"), F.lit(7)).cast("double"))
     folds = backtest.rolling_folds(Domain("2021-05-17 00:00:00", "2021-05-20 23:00:00"), 2, test_size=24)

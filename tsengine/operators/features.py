@@ -42,14 +42,15 @@ class FeatureSpec:
         return domain.shift(f"{longest[0]} {longest[1]}", extend=True)
 
     def build(self, spark: SparkSession, domain: Domain, locations, source: DataFrame, weather: DataFrame | None = None) -> DataFrame:
-        """(location, date_time, features ..., label) on the domain: label and lags share one read of the source and one window."""
-        wide = self.extended(domain)
-        grid = wide.grid(spark, locations)
-        df = align.select(grid, source.filter(wide.within()), [self.label])
+        """(location, date_time, features ..., label) on the domain: label and lags share one read of the source and one aggregation by place and time."""
+        read, lags = source.filter(self.extended(domain).within()), self.names()[: len(self.lags)]
+        if self.lags:
+            read = windows.lag_rows(read, self.label, list(self.lags), domain)
+        df = align.select(domain.grid(spark, locations), read, [self.label, *lags])
         if self.weather:
             df = df.join(weather.filter(domain.within()).select(*KEYS, *self.weather), KEYS, "left")
         ts = F.col("date_time")
-        out = [*KEYS, *(windows.lag_columns(self.label, list(self.lags), domain) if self.lags else []), *self.weather]
+        out = [*KEYS, *lags, *self.weather]
         if self.day_of_week:
             out += cal.one_hot(cal.day_name(ts), list(cal.DAYS), "day_of_week")
         if self.business_day:
@@ -60,7 +61,7 @@ class FeatureSpec:
             out += [s.alias(f"harmonic_{p:g}_sin"), c.alias(f"harmonic_{p:g}_cos")]
         if self.locations:
             out += cal.one_hot(F.col("location"), list(self.locations), "location")
-        return df.select(*out, self.label).filter(domain.within())
+        return df.select(*out, self.label)
 
 
 def meter_hourly(lags: tuple[str, ...] = ("24 hours", "168 hours"), **more) -> FeatureSpec:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,47 @@ def long(df: DataFrame, features: list[str]) -> DataFrame:
     return df.unpivot(["location", "date_time"], features, "feature", "value")
 
 
-def feature_stats(df: DataFrame, features: list[str], by_location: bool = False, quantiles: tuple[float, ...] | None = QUANTILES) -> DataFrame:
+def spread_quantiles(df: DataFrame, features: list[str], wanted: list[float], ranges: int) -> DataFrame:
+    """(feature, q_...): exact quantiles of each feature over all rows, without holding a feature's values in one task.
+
+    Values are dealt into ranges by approximate cut points; the ranges' counts tell which ranges the quantiles lie in, and
+    only these are put in order, each by itself. What is sent to the driver are cut points, counts of ranges (features
+    times ranges) and two values for each quantile. df is read three times; persist it if it is costly.
+    """
+    cuts = dict(zip(features, df.approxQuantile(features, [i / ranges for i in range(1, ranges)], 0.5 / ranges), strict=True))
+    known = F.create_map(*[x for f in features for x in (F.lit(f), F.array(*map(F.lit, sorted(set(cuts[f])))).cast("array<double>"))])
+    rows = df.unpivot([], features, "feature", "value").filter("value IS NOT NULL")
+    dealt = rows.withColumn("range", F.size(F.filter(F.element_at(known, F.col("feature")), lambda c: c <= F.col("value"))))
+    sizes: dict[str, list] = {f: [] for f in features}
+    for r in dealt.groupBy("feature", "range").agg(F.count("*").alias("n")).orderBy("feature", "range").collect():
+        sizes[r.feature].append((r["range"], r.n))
+    places = []  # feature, name, range, place in the range from 1, weight
+    for f, held in sizes.items():
+        n = sum(x for _, x in held)
+        for q in wanted if n else []:
+            at = q * (n - 1)
+            for rank, weight in ((math.floor(at), 1 - at % 1), (math.floor(at) + 1, at % 1)):
+                for number, x in held:
+                    if 0 <= rank < x and weight:
+                        places.append((f, f"q_{q:g}".replace(".", "_"), number, rank + 1, weight))
+                    rank -= x
+    chosen = df.sparkSession.createDataFrame(places, "feature string, name string, range int, place int, weight double")
+    some = dealt.join(F.broadcast(chosen.select("feature", "range").distinct()), ["feature", "range"], "left_semi")  # at most two for each quantile
+    ordered = some.withColumn("place", F.row_number().over(Window.partitionBy("feature", "range").orderBy("value")))
+    found = ordered.join(F.broadcast(chosen), ["feature", "range", "place"])
+    return found.groupBy("feature").pivot("name", [f"q_{q:g}".replace(".", "_") for q in wanted]).agg(F.sum(F.col("value") * F.col("weight")))
+
+
+def feature_stats(df: DataFrame, features: list[str], by_location: bool = False, quantiles: tuple[float, ...] | None = QUANTILES, ranges: int | None = None) -> DataFrame:
     """Per feature (and location): n_obs, n_missing, fraction_missing, n_trailing_missing, mean, min, max and quantiles.
 
     The quartiles are always among the quantiles. Trailing missing rows are those after the last observation in time.
+    A quantile holds the different values of its group in one task; where those of a whole feature are too many for that,
+    ``ranges`` has them taken by spread_quantiles.
     """
+    if ranges and quantiles is not None and not by_location:
+        stats = feature_stats(df, features, False, None)
+        return stats.join(F.broadcast(spread_quantiles(df, features, sorted({*quantiles, 0.25, 0.75}), ranges)), "feature", "left")  # one row per feature
     keys = ["feature", *(["location"] if by_location else [])]
     rows = long(df, features)
     seen = F.when(F.col("value").isNotNull(), F.col("date_time"))

@@ -33,6 +33,21 @@ def lag_columns(value: str, lags: list[str] | None, domain: Domain, prefix: str
     return out
 
 
+def lag_rows(source: DataFrame, value: str, lags: list[str], domain: Domain) -> DataFrame:
+    """(location, date_time, value, a column per lag): each reading is counted at its own time and at those where it is a lag.
+
+    One aggregation by place and time, without a window: a place with most of the rows is no task of its own. Readings
+    must be one per place and time. Rows outside the domain come along; a join to its grid leaves them out.
+    """
+    steps = [(n * UNITS[unit], f"lag_{n}_{unit}") for n, unit in ((parse_step(x) if not x.startswith("0") else (0, "hour")) for x in lags)]
+    for seconds, name in steps:
+        if seconds % domain.seconds:
+            raise ValueError(f"{name} is no multiple of the step {domain.step}")
+    places = [F.struct(F.lit(i).alias("i"), (F.col("date_time") + F.make_dt_interval(secs=F.lit(s))).alias("at")) for i, (s, _) in enumerate([(0, value), *steps])]
+    moved = source.select("location", F.col(value).cast("double").alias("v"), F.explode(F.array(*places)).alias("x"))
+    return moved.groupBy("location", F.col("x.at").alias("date_time")).agg(*(F.max(F.when(F.col("x.i") == i, F.col("v"))).alias(name) for i, name in enumerate([value, *(n for _, n in steps)])))
+
+
 def _ends(value: str, by) -> tuple[Column, ...]:
     w = over(by)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
