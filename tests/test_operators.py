@@ -59,6 +59,16 @@ def test_interpolation(spark, trailing, leading, wanted):
     assert {k: got[k] for k in wanted} == wanted
 
 
+def test_blocks_are_the_whole_series(spark):
+    """Gaps longer than blocks, blocks without an observation, and series that begin or end with nothing."""
+    values = {"a": (None, None, 1, None, None, None, None, None, None, 8, None), "b": (4, *(None,) * 10), "c": (None,) * 11, "d": tuple(range(11))}
+    df = frame(spark, values)
+    for trailing, leading in ((False, False), (True, False), (True, True)):
+        whole = read(windows.interpolate(df, "value", trailing=trailing, leading=leading))
+        assert whole == read(windows.interpolate(df, "value", trailing=trailing, leading=leading, block="3 hours"))
+    assert read(windows.persist_last(df, "value")) == read(windows.persist_last(df, "value", block="2 hours"))
+
+
 def test_singletons_and_persistence(spark):
     got = read(windows.backfill_singleton(frame(spark, GAPS), "value"))
     assert got["d"] == (4, 4, 3, 2) and got["e"] == (2, 4, 6, 8) and got["b"] == (2, None, None, 8) and got["f"] == (3, 5, 7, None)
@@ -76,11 +86,11 @@ def test_convolution_and_ranks(spark):
 
 
 def test_mode_and_impute_sum(spark):
-    df = frame(spark, {"Atlantic": (1, 2, 3, None, 4, None), "Pacific": (6, None, 8, 8, 10, 0), "Aral": (None,) * 6, "citnalta": (None, 4, None, 3, 2, 1)})
+    df = frame(spark, {"ties": (5, 9, None, 7, 3, None), "twice": (2, 6, 6, None, 1, 0), "nothing": (None,) * 6, "late": (None, None, 8, 2, 2, 8)})
     modes = {r.location: r.mode for r in agg.first_mode(df.filter("value IS NOT NULL"), "value", ["location"]).collect()}
-    assert modes == {"Atlantic": 1, "Pacific": 8, "citnalta": 4}
-    sums = {r.location: (r.s, r.f) for r in df.groupBy("location").agg(agg.impute_sum(F.col("value")).alias("s"), agg.impute_sum(F.col("value"), fill=99.9).alias("f")).collect()}
-    assert sums["Atlantic"][0] == 15 and sums["Pacific"][0] == pytest.approx(38.4) and sums["Aral"] == (None, 99.9)
+    assert modes == {"ties": 5, "twice": 6, "late": 8}  # of equally frequent values the first seen
+    sums = {r.location: (r.s, r.f) for r in df.groupBy("location").agg(agg.impute_sum(F.col("value")).alias("s"), agg.impute_sum(F.col("value"), fill=7.5).alias("f")).collect()}
+    assert sums["ties"][0] == 36 and sums["twice"][0] == pytest.approx(18) and sums["late"] == (30, 30) and sums["nothing"] == (None, 7.5)
 
 
 def test_hour_functions_on_short_days(spark):

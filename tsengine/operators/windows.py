@@ -1,4 +1,4 @@
-"""Sequence operations along each location's time axis. All are windows by location; keyed results need no order."""
+"""Sequence operations along each location's time axis: windows by location, or by blocks of a location where one is long; keyed results need no order."""
 
 from __future__ import annotations
 
@@ -48,22 +48,45 @@ def lag_rows(source: DataFrame, value: str, lags: list[str], domain: Domain) ->
     return moved.groupBy("location", F.col("x.at").alias("date_time")).agg(*(F.max(F.when(F.col("x.i") == i, F.col("v"))).alias(name) for i, name in enumerate([value, *(n for _, n in steps)])))
 
 
-def _ends(value: str, by) -> tuple[Column, ...]:
-    w = over(by)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    here = F.struct(F.row_number().over(w).alias("i"), F.col(value).alias("v"))
-    return w, back, ahead, here
-
+def neighbours(df: DataFrame, value: str, by=BY, block: str | None = None) -> DataFrame:
+    """The frame with structs __here, __before and __after, (i, v): the row's place and value, and the nearest observations at or before and at or after it.
 
-def interpolate(df: DataFrame, value: str, name: str | None = None, trailing: bool = False, leading: bool = False, by=BY) -> DataFrame:
-    """Linear by row position between observations; trailing and leading gaps are filled with the nearest one on request."""
-    w, back, ahead, _ = _ends(value, by)
-    numbered = df.withColumn("__i", F.row_number().over(w)).withColumn("__s", F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).cast("double").alias("v"))))
-    p, n = F.last("__s", ignorenulls=True).over(back), F.first("__s", ignorenulls=True).over(ahead)
-    both = numbered.withColumn("__p", p).withColumn("__n", n)
-    line = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col("__i") - F.col("__p.i")) / (F.col("__n.i") - F.col("__p.i"))
-    found = F.coalesce(F.col(value).cast("double"), line, *([F.col("__p.v")] if trailing else []), *([F.when(F.col("__p").isNull(), F.col("__n.v"))] if leading else []))
-    return both.withColumn(name or value, found).drop("__i", "__s", "__p", "__n")
+    By windows over each location as a whole; with a block such as '30 days', over each block of a location, so that a
+    long series is many tasks: only a block's count and its first and last observation are put in order by location.
+    Locations must not be null then.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    here = lambda offset: F.struct((F.col("__i") + offset).alias("i"), F.col(value).cast("double").alias("v"))
+    if not block:
+        w, zero = over(by), F.lit(0)
+        numbered = df.withColumn("__i", F.row_number().over(w)).withColumn("__here", here(zero))
+    else:
+        n, unit = parse_step(block)
+        elapsed = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("date_time"))
+        w = Window.partitionBy(*keys, "__block").orderBy("date_time")
+        numbered = df.withColumn("__block", F.floor(elapsed / (n * UNITS[unit]))).withColumn("__i", F.row_number().over(w))
+        seen = F.when(F.col(value).isNotNull(), here(F.lit(0)))
+        per = numbered.groupBy(*keys, "__block").agg(F.count("*").alias("n"), F.min(seen).alias("first"), F.max(seen).alias("last"))
+        blocks = Window.partitionBy(*keys).orderBy("__block")
+        earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+        per = per.withColumn("__offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("__offset")).alias("i"), F.col(f"{c}.v").alias("v")))
+        per = per.select(*keys, "__block", "__offset", F.last(moved("last"), ignorenulls=True).over(earlier).alias("__earlier"), F.first(moved("first"), ignorenulls=True).over(later).alias("__later"))
+        numbered = numbered.join(per, [*keys, "__block"]).withColumn("__here", here(F.col("__offset")))
+    seen = F.when(F.col(value).isNotNull(), F.col("__here"))
+    before = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if block:
+        before, after = F.coalesce(before, "__earlier"), F.coalesce(after, "__later")
+    return numbered.withColumn("__before", before).withColumn("__after", after).drop("__i", "__block", "__offset", "__earlier", "__later")
+
+
+def interpolate(df: DataFrame, value: str, name: str | None = None, trailing: bool = False, leading: bool = False, by=BY, block: str | None = None) -> DataFrame:
+    """Linear by row position between observations; trailing and leading gaps are filled with the nearest one on request. block: see neighbours."""
+    both = neighbours(df, value, by, block)
+    line = F.col("__before.v") + (F.col("__after.v") - F.col("__before.v")) * (F.col("__here.i") - F.col("__before.i")) / (F.col("__after.i") - F.col("__before.i"))
+    found = F.coalesce(F.col(value).cast("double"), line, *([F.col("__before.v")] if trailing else []), *([F.when(F.col("__before").isNull(), F.col("__after.v"))] if leading else []))
+    return both.withColumn(name or value, found).drop("__here", "__before", "__after")
 
 
 def backfill_singleton(df: DataFrame, value: str, name: str | None = None, by=BY) -> DataFrame:
@@ -74,8 +97,10 @@ def backfill_singleton(df: DataFrame, value: str, name: str | None = None, by=BY
     return df.withColumn(name or value, F.coalesce(F.col(value), fill))
 
 
-def persist_last(df: DataFrame, value: str, name: str | None = None, by=BY) -> DataFrame:
-    """The last observation carried forward."""
+def persist_last(df: DataFrame, value: str, name: str | None = None, by=BY, block: str | None = None) -> DataFrame:
+    """The last observation carried forward. block: see neighbours."""
+    if block:
+        return neighbours(df, value, by, block).withColumn(name or value, F.col("__before.v")).drop("__here", "__before", "__after")
     return df.withColumn(name or value, F.last(value, ignorenulls=True).over(over(by).rowsBetween(Window.unboundedPreceding, 0)))
 
 

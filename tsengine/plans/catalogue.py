@@ -273,7 +273,7 @@ def interp_extrap(spark, d):
 
 @query(INTERP.format(r(f"coalesce({LINE}, pv, nv)")))
 def interp_both(spark, d):
-    return windows.interpolate(events(spark, d), "value", trailing=True, leading=True).withColumn("value", tidy(F.col("value")))
+    return windows.interpolate(events(spark, d), "value", trailing=True, leading=True, block="7 days").withColumn("value", tidy(F.col("value")))
 
 
 @query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS p, lead(value) OVER w AS q FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time))
@@ -284,7 +284,7 @@ def backfill_singleton(spark, d):
 
 @query(f"WITH {E_SQL} SELECT location, date_time, last_value(value IGNORE NULLS) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e")
 def persistence_fill(spark, d):
-    return windows.persist_last(events(spark, d), "value")
+    return windows.persist_last(events(spark, d), "value", block="7 days")
 
 
 @query(f"WITH {E_SQL} SELECT location, date_time, last_value(value IGNORE NULLS) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e")
