@@ -43,15 +43,15 @@ from tsengine.llm.common import chunks, fold_column, materialise, new_name, once
 
 #: Classes of one word, of words that are not held, and of groups at most; a group has at least MEMBERS words on average.
 SINGLES, OTHERS, GROUPS, MEMBERS = 1400, 64, 560, 16
-#: Dimensions of classes and of a group's words, noise words of a batch of classes and of a word of a group.
-DIMENSIONS, INNER, NOISE, INNER_NOISE, BATCH, RATE = 24, 16, 32, 4, 2048, 0.05
+#: Dimensions of classes and of a group's words, noise words of a batch for each, tokens of a batch.
+DIMENSIONS, INNER, NOISE, BATCH, RATE = 20, 16, 32, 4096, 0.06
 #: A word with at least this share of the training tokens is held in the tasks.
 HOT_SHARE = 1e-6
 SMOOTH = 0.1
 END = OTHERS
 COUNTED = 300_000
 #: Training tokens of a replica, replicas at most (beyond, each has more tokens), rounds of several replicas, and parts of the model that are averaged apart.
-EACH, REPLICAS, ROUNDS, BLOCKS = 4_000_000, 8192, 3, 32
+EACH, REPLICAS, ROUNDS, BLOCKS = 8_000_000, 8192, 3, 32
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -110,7 +110,7 @@ class Lexicon:
         self.member_at = np.full(len(words) + OTHERS, -1)
         self.member_at[rest] = np.arange(len(rest))
         of_group = np.bincount(self.group, mass, self.groups)
-        self.member_share = mass / of_group[self.group] if len(rest) else mass
+        self.member_share = mass / mass.sum() if len(rest) else mass  # among all words of groups
         backwards = np.arange(OTHERS)[::-1]
         first_group = OTHERS + 1 + self.singles
         of_word = np.r_[np.arange(self.singles) + OTHERS + 1, np.zeros(len(rest), np.int64)]
@@ -156,10 +156,9 @@ class Model:
         self.log_noise = np.log(lexicon.unigram).astype(np.float32)
         self.bias, self.noise = self.log_noise.copy(), lexicon.unigram.cumsum()
         self.inner, self.member = (rng.normal(0, 0.1, (n, INNER)).astype(np.float32) for n in (k, inside))
-        self.log_share = np.log(lexicon.member_share).astype(np.float32)
+        self.log_share, self.inner_noise = np.log(lexicon.member_share).astype(np.float32), lexicon.member_share.cumsum()
         self.member_bias = self.log_share.copy()
         self.group, self.first = lexicon.group, lexicon.first
-        self.shares = np.r_[0.0, lexicon.member_share.cumsum()]  # a group's shares add up to 1
         self.squares = [np.full(x.shape, 1e-8, np.float32) for x in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
@@ -202,26 +201,25 @@ class Model:
             self.learn_members(member[some], one[some], n, rng)
 
     def learn_members(self, member: np.ndarray, one: np.ndarray, n: np.float32, rng: np.random.Generator) -> None:
-        """The same for words of groups: the noise words of each are drawn from its own group."""
-        low, high = self.first[self.group[member]], self.first[self.group[member] + 1]
-        drawn = np.searchsorted(self.shares, self.shares[low][:, None] + rng.random((len(member), INNER_NOISE)) * (self.shares[high] - self.shares[low])[:, None], "right") - 1
-        every = np.c_[member, np.clip(drawn, low[:, None], high[:, None] - 1)]
-        queries, vectors = self.inner[one], self.member[every]
-        odds = np.einsum("ij,ikj->ik", queries, vectors) + (self.member_bias - self.log_share)[every] - np.float32(math.log(INNER_NOISE))
-        pull = -sigmoid(odds)
-        pull[:, 0] += 1
-        pull *= n
-        for i, rows, steps in (
-            (4, one, np.einsum("ik,ikj->ij", pull, vectors)),
-            (5, every.ravel(), (pull[:, :, None] * queries[:, None, :]).reshape(-1, INNER)),
-            (6, every.ravel(), pull.ravel()),
-        ):
-            x, square = self.parameters()[i], self.squares[i]
-            order = np.argsort(rows, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-            at, step = rows[order][first], np.add.reduceat(steps[order], first, axis=0)
-            square[at] += step * step
-            x[at] += np.float32(RATE) * step / np.sqrt(square[at])
+        """The same for words of groups, against noise from all of them: what is learned of all holds within each group."""
+        drawn = np.minimum(np.searchsorted(self.inner_noise, rng.random(NOISE)), len(self.member_bias) - 1)
+        queries, vectors, drawn_vectors = self.inner[one], self.member[member], self.member[drawn]
+        log_k = np.float32(math.log(NOISE))
+        good = sigmoid(log_k + self.log_share[member] - np.einsum("ij,ij->i", queries, vectors) - self.member_bias[member]) * n
+        bad = -sigmoid(queries @ drawn_vectors.T + (self.member_bias - self.log_share)[drawn] - log_k) * n
+        words = np.r_[member, drawn]
+        self.step(4, one, good[:, None] * vectors + bad @ drawn_vectors)
+        self.step(5, words, np.r_[good[:, None] * queries, bad.T @ queries])
+        self.step(6, words, np.r_[good, bad.sum(axis=0)])
+
+    def step(self, i: int, rows: np.ndarray, steps: np.ndarray) -> None:
+        """Adds steps to some rows of a parameter, whose number of rows grows with the vocabulary: the others aren't touched."""
+        x, square = self.parameters()[i], self.squares[i]
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+        at, step = rows[order][first], np.add.reduceat(steps[order], first, axis=0)
+        square[at] += step * step
+        x[at] += np.float32(RATE) * step / np.sqrt(square[at])
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """Log10 scores by (class before, target), (class two before, target), log10 normalisers by both classes before, and those of groups by the class before."""
@@ -299,25 +297,27 @@ def train(df: DataFrame, lexicon: Lexicon) -> Model:
         for block, (n, values) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(values / n).astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
+    nothing = [np.zeros(0, np.int64)] * 4
     for number in range(rounds):
         start = spark.sparkContext.broadcast(model.flat())
 
         def walk(batches, number=number, start=start):
             held, walker = once_per_worker(name, lambda: sent.value), None
-            waiting, seen, rng = [], 0, None
+            waiting, left, size, seen, rng = [], nothing, 0, 0, None
 
             def step(whole: bool):
-                nonlocal waiting, seen
-                every = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+                nonlocal waiting, left, seen
+                sizes = np.array([len(x) for x in waiting], np.int64)
+                fresh = held.sequences(np.concatenate([np.frombuffer(x, "<i4") for x in waiting]).astype(np.int64), sizes // 4)[:4] if waiting else [np.zeros(0, np.int64)] * 4
+                every = [np.concatenate(x) for x in zip(left, fresh, strict=True)]
                 n = len(every[0]) // BATCH * BATCH if whole else len(every[0])
                 for i in range(0, n, BATCH):
                     walker.learn(*(x[i : min(i + BATCH, n)] for x in every), rng)
                 seen += n
-                waiting = [[x[n:] for x in every]]
+                waiting, left = [], [x[n:] for x in every]
 
             def out(replica):
-                if sum(len(x[0]) for x in waiting):
-                    step(whole=False)
+                step(whole=False)
                 parts = np.array_split(walker.flat(), BLOCKS)
                 columns = [pa.array(range(BLOCKS), pa.int32()), pa.array([replica] * BLOCKS, pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
                 return pa.RecordBatch.from_arrays(columns, ["block", "replica", "seen", "part"])
@@ -328,19 +328,20 @@ def train(df: DataFrame, lexicon: Lexicon) -> Model:
                     if replica != last:
                         if walker is not None:
                             yield out(last)
-                        walker, waiting, seen, last = Model(held), [], 0, replica
+                        walker, waiting, left, size, seen, last = Model(held), [], nothing, 0, 0, replica
                         walker.load(start.value)
                         rng = np.random.default_rng((replica, number))
-                    at = np.frombuffer(ids, "<i4").astype(np.int64)
-                    waiting.append(held.sequences(at, np.array([len(at)]))[:4])
-                    if len(waiting) >= 64 or len(at) > BATCH:
+                    waiting.append(ids)
+                    size += len(ids)
+                    if size >= 16 * BATCH:  # four batches' places of four bytes
                         step(whole=True)
+                        size = 0
             if walker is not None:
                 yield out(last)
 
         packed = dealt.filter(F.col("round") == number).select("replica", "place", "text").mapInArrow(pack, "replica int, place long, ids binary")
-        copies = packed.repartition(replicas, "replica").sortWithinPartitions("replica", "place", "ids").mapInArrow(walk, "block int, replica int, seen long, part binary")
-        sums = copies.repartition(BLOCKS, "block").sortWithinPartitions("block", "replica").mapInArrow(add, "block int, part binary").orderBy("block").collect()
+        copies = packed.repartitionById(replicas, "replica").sortWithinPartitions("replica", "place", "ids").mapInArrow(walk, "block int, replica int, seen long, part binary")
+        sums = copies.repartitionById(BLOCKS, "block").sortWithinPartitions("block", "replica").mapInArrow(add, "block int, part binary").orderBy("block").collect()
         if sums:
             model.load(np.concatenate([np.frombuffer(r.part, np.float32) for r in sums]))
     model.squares = []
