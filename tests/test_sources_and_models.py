@@ -235,7 +235,7 @@ def test_spread_quantiles_are_quantiles(spark):
     assert monitor.feature_stats(df.limit(0), ["a"], ranges=4).count() == 0
 
 
-def test_search_and_selection(spark):
+def test_search_and_selection(spark, tmp_path):
     df = lined(spark, 96).withColumn("noise", F.pmod(F.xxhash64("date_time"), F.lit(7)).cast("double"))
     folds = backtest.rolling_folds(Domain("2021-05-17 00:00:00", "2021-05-20 23:00:00"), 2, test_size=24)
     best = backtest.random_search(df, folds, lambda p: models.TimeSeriesModel(["f", "g"], **p), {"estimator": ["linear"], "impute": [None, 0.0]}, draws=5)
@@ -243,7 +243,10 @@ def test_search_and_selection(spark):
     assert backtest.select_features(df, folds, lambda f: models.TimeSeriesModel(f), ["noise", "g", "f"], 2) == (["f", "g"], ["noise"])
     trained = backtest.run(df, folds, lambda: models.TimeSeriesModel(["f", "g"]), train_scores=True)
     assert {r.which: r["count"] for r in trained.groupBy("which").count().collect()} == {"test": 48, "train": 48 + 72}
-    by_fold = {r.fold: r for r in backtest.grouped_metrics(trained.filter("which = 'test'"), "fold").collect()}
+    backtest.save(trained, folds, str(tmp_path / "run"))
+    again, same = backtest.load(spark, str(tmp_path / "run"))
+    assert same == folds and again.count() == trained.count()
+    by_fold = {r.fold: r for r in backtest.grouped_metrics(again.filter("which = 'test'"), "fold").collect()}
     assert by_fold[0].n == 24 and by_fold[0].mae == pytest.approx(0, abs=1e-6) and by_fold[0].mape is None  # some labels are zero
 
 

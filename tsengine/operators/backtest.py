@@ -69,6 +69,17 @@ def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scor
     return out
 
 
+def save(predictions: DataFrame, folds: list[Fold], path: str) -> None:
+    """A back-test's predictions and folds as Parquet, so that metrics can be taken later without fitting again."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    fold_table(predictions.sparkSession, folds).coalesce(1).write.mode("overwrite").parquet(f"{path}/folds")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, list[Fold]]:
+    rows = spark.read.parquet(f"{path}/folds").orderBy("fold").collect()
+    return spark.read.parquet(f"{path}/predictions"), [Fold(r.fold, *(str(r[c]) for c in ("train_start", "train_end", "test_start", "test_end"))) for r in rows]
+
+
 def grouped_metrics(predictions: DataFrame, how: str = "fold") -> DataFrame:
     """Metrics by fold, location or location-fold. The percentage error of a group with a zero label is null.
 

@@ -57,8 +57,9 @@ def feature_stats(df: DataFrame, features: list[str], by_location: bool = False,
         return stats.join(F.broadcast(spread_quantiles(df, features, sorted({*quantiles, 0.25, 0.75}), ranges)), "feature", "left")  # one row per feature
     keys = ["feature", *(["location"] if by_location else [])]
     rows = long(df, features)
-    seen = F.when(F.col("value").isNotNull(), F.col("date_time"))
-    first = rows.groupBy(*keys).agg(F.max(seen).alias("__last"))
+    # The last observations come from the wide rows, aggregated before they are unpivoted.
+    seen = df.groupBy(*keys[1:]).agg(*(F.max(F.when(F.col(f).isNotNull(), F.col("date_time"))).alias(f) for f in features))
+    first = seen.unpivot(keys[1:], features, "feature", "__last")
     trailing = F.count_if(F.col("__last").isNull() | (F.col("date_time") > F.col("__last")))
     aggs = [F.count("*").alias("n_obs"), F.count_if(F.col("value").isNull()).alias("n_missing"), (F.count_if(F.col("value").isNull()) / F.count("*")).alias("fraction_missing"), trailing.alias("n_trailing_missing")]
     aggs += [F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")]
