@@ -44,7 +44,7 @@ from tsengine.llm.common import chunks, fold_column, materialise, new_name, once
 #: Classes of one word, of words that are not held, and of groups at most; a group has at least MEMBERS words on average.
 SINGLES, OTHERS, GROUPS, MEMBERS = 1400, 64, 560, 16
 #: Dimensions of classes and of a group's words, noise words of a batch for each, tokens of a batch.
-DIMENSIONS, INNER, NOISE, BATCH, RATE = 20, 16, 32, 4096, 0.06
+DIMENSIONS, INNER, NOISE, BATCH, RATE = 24, 16, 32, 2048, 0.05
 #: A word with at least this share of the training tokens is held in the tasks.
 HOT_SHARE = 1e-6
 SMOOTH = 0.1
