@@ -226,17 +226,22 @@ class Model:
         one = (self.context * self.place[0]) @ self.target.T + self.bias
         two = (self.context * self.place[1]) @ self.target.T
         top_one, top_two = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-        z = np.log(np.exp(one - top_one) @ np.exp(two - top_two).T) + top_one + top_two.T
+        z = exp_of(one - top_one) @ exp_of(two - top_two).T
+        np.log(z, out=z)
+        z += top_one + top_two.T
         inner = np.zeros((len(self.bias), len(self.first) - 1), np.float32)
         start = 0
-        while start < inner.shape[1]:  # whole groups, about 4,096 words at a time
-            stop = max(start + 1, int(np.searchsorted(self.first, self.first[start] + 4096, "right")) - 1)
+        while start < inner.shape[1]:  # whole groups, about 2,048 words at a time
+            stop = max(start + 1, int(np.searchsorted(self.first, self.first[start] + 2048, "right")) - 1)
             a, b = self.first[start], self.first[stop]
             products = self.inner @ self.member[a:b].T + self.member_bias[a:b]
             top = products.max(axis=1, keepdims=True)
-            inner[:, start:stop] = np.log(np.add.reduceat(np.exp(products - top), self.first[start:stop] - a, axis=1)) + top
+            products -= top
+            inner[:, start:stop] = np.log(np.add.reduceat(exp_of(products), self.first[start:stop] - a, axis=1)) + top
             start = stop
-        return tuple((x / np.float32(math.log(10))).astype(np.float32) for x in (one, two, z, inner))
+        for x in (one, two, z, inner):
+            x /= np.float32(math.log(10))
+        return one, two, z, inner
 
 
 class Scorer:
@@ -257,6 +262,11 @@ class Scorer:
         return out
 
 
+def exp_of(x: np.ndarray) -> np.ndarray:
+    """The exponential, in the place of x."""
+    return np.exp(x, out=x)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
