@@ -268,12 +268,12 @@ def interp_interior(spark, d):
 
 @query(INTERP.format(r(f"coalesce({LINE}, pv)")))
 def interp_extrap(spark, d):
-    return windows.interpolate(events(spark, d), "value", trailing=True).withColumn("value", tidy(F.col("value")))
+    return windows.interpolate(events(spark, d), "value", trailing=True, block="7 days").withColumn("value", tidy(F.col("value")))
 
 
 @query(INTERP.format(r(f"coalesce({LINE}, pv, nv)")))
 def interp_both(spark, d):
-    return windows.interpolate(events(spark, d), "value", trailing=True, leading=True, block="7 days").withColumn("value", tidy(F.col("value")))
+    return windows.interpolate(events(spark, d), "value", trailing=True, leading=True).withColumn("value", tidy(F.col("value")))
 
 
 @query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS p, lead(value) OVER w AS q FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time))
