@@ -49,7 +49,8 @@ DIMENSIONS, INNER, NOISE, BATCH, RATE = 24, 16, 32, 2048, 0.05
 HOT_SHARE = 1e-6
 SMOOTH = 0.1
 END = OTHERS
-COUNTED = 300_000
+#: Different words that a task counts before it passes them on, and bytes of text that it holds as words at a time.
+COUNTED, TEXT = 150_000, 2_000_000
 #: Training tokens of a replica, replicas at most (beyond, each has more tokens), rounds of several replicas, and parts of the model that are averaged apart.
 EACH, REPLICAS, ROUNDS, BLOCKS = 8_000_000, 8192, 3, 32
 
@@ -65,7 +66,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
         for whole in batches:
-            for batch in chunks(whole, text):
+            for batch in chunks(whole, text, TEXT):
                 for t in utf8(batch.column(text)):
                     for w in t.lower().split():
                         counts[w] = counts.get(w, 0) + 1
@@ -226,9 +227,10 @@ class Model:
         one = (self.context * self.place[0]) @ self.target.T + self.bias
         two = (self.context * self.place[1]) @ self.target.T
         top_one, top_two = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
-        z = exp_of(one - top_one) @ exp_of(two - top_two).T
-        np.log(z, out=z)
-        z += top_one + top_two.T
+        z, by_two = np.empty((len(one), len(two)), np.float32), exp_of(two - top_two).T
+        for i in range(0, len(one), 256):
+            z[i : i + 256] = np.log(exp_of(one[i : i + 256] - top_one[i : i + 256]) @ by_two)
+            z[i : i + 256] += top_one[i : i + 256] + top_two.T
         inner = np.zeros((len(self.bias), len(self.first) - 1), np.float32)
         start = 0
         while start < inner.shape[1]:  # whole groups, about 2,048 words at a time
@@ -281,7 +283,7 @@ def scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 def train(df: DataFrame, lexicon: Lexicon) -> Model:
     """From (place, text), place being a hash of the row: a model averaged over replicas, round by round."""
-    spark, name = df.sparkSession, new_name("lexicon")
+    spark, name = df.sparkSession, new_name("language model")  # what a worker holds of the model before goes
     sent = spark.sparkContext.broadcast(lexicon)  # at most 1 / HOT_SHARE words
     replicas = min(REPLICAS, max(1, math.ceil(lexicon.total / EACH)))
     rounds = ROUNDS if replicas > 1 else 1
@@ -292,7 +294,7 @@ def train(df: DataFrame, lexicon: Lexicon) -> Model:
     def pack(batches):
         held = once_per_worker(name, lambda: sent.value)
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", TEXT):
                 _, at, sizes = held.places(utf8(batch.column("text")))
                 at, ends = at.astype("<i4"), sizes.cumsum()
                 parts = [at[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -354,6 +356,7 @@ def train(df: DataFrame, lexicon: Lexicon) -> Model:
         sums = copies.repartitionById(BLOCKS, "block").sortWithinPartitions("block", "replica").mapInArrow(add, "block int, part binary").orderBy("block").collect()
         if sums:
             model.load(np.concatenate([np.frombuffer(r.part, np.float32) for r in sums]))
+        start.destroy()
     model.squares = []
     return model
 
@@ -379,14 +382,14 @@ def scores(df: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
     counts = materialise(word_counts(training, "text"), "counts")
     lexicon, hot = lexicon_of(counts)
     model = train(training.select("place", "text"), lexicon)
-    sent, name = spark.sparkContext.broadcast((lexicon, model)), new_name("model")
+    sent, name = spark.sparkContext.broadcast((lexicon, model)), new_name("language model")
 
     def run(batches):
         scorer = once_per_worker(name, lambda: Scorer(*sent.value))
         held = scorer.lexicon
         task, made = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", TEXT):
                 words, at, sizes = held.places(utf8(batch.column("text")))
                 target, member, one, two, starts = held.sequences(at, sizes)
                 tokens = sizes + 1
