@@ -67,6 +67,7 @@ def folder(tmp_path_factory):
     rows += [(20, 1, "user", None), (20, 0, "assistant", ""), (None, 0, "user", "alone"), (None, 0, "user", "alone"), (21, None, None, "\\### User: x")]
     conv, turn, role, text = zip(*rows, strict=True)
     pq.write_table(pa.table({"conv_id": pa.array(conv, pa.int64()), "turn": pa.array(turn, pa.int64()), "role": role, "text": text, "key": ["clash"] * len(rows)}), out / "conversations.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([1, 2, None], pa.int64()), "embedding": pa.array([[1.0, 2.0], None, [0.5, 0.0]], pa.list_(pa.float32()))}), out / "embeddings.parquet")
     return str(out)
 
 
@@ -74,7 +75,7 @@ def folder(tmp_path_factory):
 def nothing(folder, tmp_path_factory):
     """The same tables without rows."""
     out = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "pages", "conversations"):
+    for name in ("documents", "labels", "pages", "conversations", "embeddings"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), out / f"{name}.parquet")
     return str(out)
 

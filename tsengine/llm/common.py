@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zlib
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def chunks(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
     """Slices of a batch whose texts add up to about most_bytes, so that what a task holds stays small."""
     start, held = 0, 0
     offsets = batch.column(text).cast(pa.large_binary())
-    sizes = pa.compute.binary_length(offsets).to_pylist()
+    sizes = pc.binary_length(offsets).to_pylist()
     for i, n in enumerate(sizes):
         held += n or 0
         if held >= most_bytes or i - start >= 4096:
@@ -82,6 +84,12 @@ def materialise(df: DataFrame, what: str, instead_of: Iterable[DataFrame] = ())
     return found
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that earlier jobs' shuffles are no longer referenced, so that their files go before the next job's come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column of df has it."""
     taken = {c.lower() for c in df.columns}

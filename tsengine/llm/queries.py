@@ -7,12 +7,15 @@ from tsengine.llm.chat import op5_chat
 from tsengine.llm.lm import op1_lm
 from tsengine.llm.media import op9_media
 from tsengine.llm.packing import op7_packing
+from tsengine.llm.passages import op13_passages
 from tsengine.llm.pieces import op8_pieces
 from tsengine.llm.quality import op6_quality
+from tsengine.llm.runs import op12_runs
 from tsengine.llm.simhash import op4_simhash
 from tsengine.llm.token_counts import op10_token_counts
 from tsengine.llm.toxicity import op2_toxicity
 from tsengine.llm.url_filters import op3_urls
+from tsengine.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_lm": op1_lm,
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_media": op9_media,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_runs": op12_runs,
+    "op13_passages": op13_passages,
 }
 
 #: Digests of the turns as they were, and the length that the grammar gives them: a text is escaped once for each control string in it.
@@ -68,4 +74,12 @@ SELECT i + 1, (sum(good) + {quality.PRIOR * 0.8}) / (sum(n) + {quality.PRIOR}),
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {posterior} >= {quality.KEEP} AS kept, round({posterior}, 6) AS good, votes FROM v, (SELECT * FROM m ORDER BY i DESC LIMIT 1)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": CHAT_SQL, "op6_quality": quality_sql()}
+#: Every window of 13 words with the smallest id that has it; words under a window of a larger id go.
+PASSAGES_SQL = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS words FROM documents),
+w AS (SELECT row, doc_id, i, array_to_string(words[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM d)),
+gone AS (SELECT DISTINCT row, i + k AS i FROM (SELECT row, i FROM w JOIN (SELECT g, min(doc_id) AS least FROM w GROUP BY g) USING (g) WHERE doc_id > least), range(13) r(k)),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_chat": CHAT_SQL, "op6_quality": quality_sql(), "op13_passages": PASSAGES_SQL}
