@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -356,6 +357,14 @@ def test_op5(spark, folder):
     assert got == want
 
 
+@pytest.mark.parametrize("text", ["\\" * 1_000_000, "### [" * 200_000, "### [" + "a" * 1_000_000, "\\" * 500_000 + "</turn>", "\\### [x]: " * 50_000, "### User: " * 50_000])
+def test_chat_takes_linear_time(text):
+    began = time.monotonic()
+    turns = [("user", text), ("a role]", text)]
+    assert [t[:2] for t in chat.parse(chat.render(turns))] == turns
+    assert time.monotonic() - began < 5
+
+
 # ---- op6 -------------------------------------------------------------------------------------------------------------
 def plain_posteriors(patterns):
     """EM over vote patterns (pattern -> count) in numpy; pattern -> posterior."""
@@ -456,6 +465,33 @@ def test_media_tiles_of_good_and_bad_images(spark):
     assert np.array_equal(media.from_npy(small.tile), np.rint(media.area_resize(colour, 8, 8)))
 
 
+HUGE = [b"99999999999", b"4294967296", b"2147483647", b"0", b"1" * 40, b"9" * 5000]
+HEADERS = [b"%s %s %s 255\n" % (k, w, h) + b"\x01" * 40 for k in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6") for w in HUGE for h in HUGE]
+GREY = media.encode_bmp(np.arange(12, dtype=np.uint8).reshape(3, 4))
+
+
+def test_no_header_makes_decode_fail_in_another_way():
+    bmps = [GREY[:at] + size + GREY[at + 4 :] for at in range(0, 54, 2) for size in (b"\xff\xff\xff\x7f", b"\x00\x00\x00\x80", b"\xff" * 4, b"\0" * 4)]
+    bmps += [GREY[:18] + w + h + GREY[26:] for w in (b"\xff\xff\xff\x7f", b"\1\0\0\0") for h in (b"\xff\xff\xff\x7f", b"\0\0\0\x80")] + [GREY[:i] for i in range(len(GREY))]
+    rng, failed = np.random.default_rng(9), 0
+    noisy = [bytes(np.where(rng.random(len(x)) < 0.1, rng.integers(0, 256, len(x)), np.frombuffer(x, np.uint8)).astype(np.uint8)) for x in [*HEADERS, GREY] * 3]
+    for image in [*HEADERS, *bmps, *noisy]:
+        try:
+            assert media.decode(image).size
+        except (ValueError, struct.error):
+            failed += 1
+    assert failed > 200
+
+
+def test_images_that_cannot_be_decoded_have_null_features(spark):
+    good = media.encode_pgm(np.arange(48, dtype=np.uint8).reshape(2, 24))
+    rows = [(1, None), (2, good), (3, HEADERS[-1]), (4, HEADERS[7]), (5, good), (6, None)]
+    df = spark.createDataFrame([(i, x and bytearray(x)) for i, x in rows], "id long, image binary").coalesce(1)
+    got = {r.id: r for r in media.stored_features(media.media_tiles(df, "id", "image", resize=None, tile=(1, 24)), "id").collect()}
+    assert len(got) == 6 and all(got[i].payload_sha256 is None and got[i].n_tiles is None for i in (1, 3, 4, 6))
+    assert got[2].n_tiles == 2 and got[2].payload_sha256 == got[5].payload_sha256 == hashlib.sha256(bytes(range(48))).hexdigest()
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 def jaccard(s, t):
     x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(z)) else set() for z in (s, t))

@@ -13,7 +13,8 @@ Defined results: null text and null role are empty; a null turn comes first; row
 then text, repeats included; of rows with a null id nothing is known to belong together, so each is a conversation of
 one turn with a null id (and no task gathers them); an empty table gives no rows.
 Roles other than system, user and assistant are written between brackets, percent-encoded. Only the named columns are
-read, so others may clash.
+read, so others may clash. Time is linear in a text's length, whatever it is made of: a run of backslashes is read from
+its first one only, and what may stand between brackets can't hold the start of another header.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from tsengine.llm.common import table
 
 LABELS = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in LABELS.items()}
-HEADER = r"### (System|User|Assistant|\[[^\]\n]*\]): "
+OTHER_ROLE = r"\[[A-Za-z0-9_.~%-]*\]"
+HEADER = rf"### (System|User|Assistant|{OTHER_ROLE}): "
 CLOSE = "\n</turn>\n"
 HEAD = re.compile(HEADER)
-CONTROL = re.compile(r"(\\*)(?:### (?:System|User|Assistant|\[[^\]\n]*\]): |</turn>)")
+CONTROL = re.compile(rf"(?<!\\)(\\*)(?:### (?:System|User|Assistant|{OTHER_ROLE}): |</turn>)")
 LOSS_ROLE = "assistant"
 
 

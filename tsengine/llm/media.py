@@ -53,6 +53,12 @@ def decode(image: bytes) -> np.ndarray:
     return _decode_bmp(image) if image[:2] == b"BM" else _decode_netpbm(image)
 
 
+def enough(image: bytes, start: int, n: int) -> None:
+    """A header may promise any number of bytes: compared as Python's integers, before any array of that size."""
+    if start + n > len(image):
+        raise ValueError("the image is shorter than its header says")
+
+
 def _decode_netpbm(image: bytes) -> np.ndarray:
     head = HEADER.match(image)
     if not head:
@@ -65,6 +71,8 @@ def _decode_netpbm(image: bytes) -> np.ndarray:
         most, at = int(found[1]), found.end()
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
     n = math.prod(shape)
+    if not n:
+        raise ValueError("a Netpbm image without pixels")
     if kind == b"P1":  # digits may stand without spaces between them
         bits = re.sub(rb"#[^\n]*", b"", image[at:]).translate(None, b" \t\r\n\v\f")[:n]
         if len(bits) < n or bits.strip(b"01"):
@@ -77,11 +85,13 @@ def _decode_netpbm(image: bytes) -> np.ndarray:
         out = np.array(samples, dtype=np.int64)
     elif kind == b"P4":
         wide = -(-w // 8)
+        enough(image, at + 1, wide * h)
         rows = np.frombuffer(image, np.uint8, wide * h, at + 1).reshape(h, wide)
         out = np.unpackbits(rows, axis=1)[:, :w] == 0
     else:
+        enough(image, at + 1, n if most < 256 else 2 * n)
         out = np.frombuffer(image, np.uint8 if most < 256 else ">u2", n, at + 1)
-    if kind not in (b"P1", b"P4") and n and out.max() > most:
+    if kind not in (b"P1", b"P4") and out.max() > most:
         raise ValueError("a sample is larger than the maximum that the header names")
     out = out.reshape(shape)
     return out.astype(np.uint8) * 255 if kind in (b"P1", b"P4") else out.astype(np.uint8 if most < 256 else np.uint16, copy=False)
@@ -94,12 +104,14 @@ def _decode_bmp(image: bytes) -> np.ndarray:
     if w < 1 or not h:
         raise ValueError("a BMP image without pixels")
     wide = (w * depth // 8 + 3) // 4 * 4
+    enough(image, at, wide * abs(h))
     rows = np.frombuffer(image, np.uint8, wide * abs(h), at).reshape(abs(h), wide)[:: -1 if h > 0 else 1, : w * depth // 8]
     if depth != 8:
         return np.ascontiguousarray(rows.reshape(abs(h), w, depth // 8)[:, :, 2::-1])
     n = struct.unpack_from("<I", image, 46)[0] or 256
     if n > 256:
         raise ValueError("an 8-bit BMP has at most 256 colours")
+    enough(image, 14 + size, 4 * n)
     colours = np.zeros((256, 3), np.uint8)
     colours[:n] = np.frombuffer(image, np.uint8, 4 * n, 14 + size).reshape(n, 4)[:, 2::-1]
     out = colours[rows]
@@ -214,6 +226,9 @@ def bytes_as_images(df: DataFrame, key: str, text: str) -> DataFrame:
 def stored_features(tiled: DataFrame, key: str) -> DataFrame:
     """From media_tiles' rows: per image, what is read back from its NPY tiles, digests of the stored form, and the features.
 
+    A row without a tile is an image that is null or couldn't be decoded: its results are null. Tiles are those of
+    images one tile wide, as the samples of rows below one another.
+
     An image's tiles come one after the other from one task and are read before any shuffle, so that a tile (0, 0) begins
     an image; they are put together again in that order. ``feature`` is the difference hash of the whole image,
     ``tile_hashes`` those of its tiles, ``thumb_sha256`` the digest of its 32 by 32 NPY tile.
@@ -243,17 +258,21 @@ def stored_features(tiled: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             columns = (batch[c].to_pylist() for c in ("tile_row", "tile_col", "tile", "tile_hash"))
             for i, (r, c, tile, found) in enumerate(zip(*columns, strict=True)):
-                if (r, c) == (0, 0):
+                if tile is None or (r, c) == (0, 0):
                     if held:
                         rows.append(one(held))
                         held = []
-                        if len(rows) >= 1000:
-                            yield out()
-                            keys, rows = [], []
+                    if len(rows) >= 1000:
+                        yield out()
+                        keys, rows = [], []
                     keys.append(batch[key].slice(i, 1))
-                held.append((tile, found))
+                if tile is None:
+                    rows.append((None,) * len(names))
+                else:
+                    held.append((tile, found))
         if held:
             rows.append(one(held))
+        if rows:
             yield out()
 
     return tiled.mapInArrow(run, f"`{key}` {tiled.schema[key].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in names.items()))

@@ -38,7 +38,7 @@ CHAT_SQL = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, c
 alone AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS g, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '[' || role || ']' END AS label FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(length('### ' || label || ': ') + length(text) + len(regexp_extract_all(text, '\\*(?:### (?:System|User|Assistant|\[[^\]\n]*\]): |</turn>)')) + length(chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+CAST(sum(length('### ' || label || ': ') + length(text) + len(regexp_extract_all(text, '\\*(?:### (?:System|User|Assistant|\[[A-Za-z0-9_.~%-]*\]): |</turn>)')) + length(chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM alone GROUP BY conv_id, g"""
 
 
