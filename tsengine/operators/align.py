@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.functions.values import shift_longitude
@@ -87,9 +87,25 @@ def at_cells(domain: DataFrame, cells_of: DataFrame, cube: DataFrame, variables:
 
 
 def in_intervals(domain: DataFrame, intervals: DataFrame, step_seconds: int, name: str = "masked") -> DataFrame:
-    """Flag domain rows that lie on the step grid of one of their location's closed intervals (location, start, end)."""
-    on = domain.select(*KEYS).join(intervals, "location").filter(F.col("date_time").between(F.col("start"), F.col("end")) & (F.timestamp_diff("SECOND", F.col("start"), F.col("date_time")) % step_seconds == 0))
-    flags = on.select(*KEYS).distinct().withColumn(name, F.lit(True))
+    """Flag domain rows that lie on the step grid of one of their location's closed intervals (location, start, end).
+
+    Intervals on the same grid are merged where they overlap, cut to the domain's range and written out as times, which
+    meet the domain by place and time: no row meets an interval that it isn't in. Intervals with a null end, or that end before they
+    start, flag nothing.
+    """
+    micros = step_seconds * 1_000_000
+    since = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    span = domain.agg(F.min("date_time").alias("__low"), F.max("date_time").alias("__high"))  # one row
+    near = intervals.join(F.broadcast(span), (F.col("start") <= F.col("end")) & (F.col("start") <= F.col("__high")) & (F.col("end") >= F.col("__low")))
+    placed = near.select("location", F.pmod(since("start"), F.lit(micros)).alias("phase"), since("start").alias("a"), since("end").alias("b"), since("__low").alias("low"), since("__high").alias("high"))
+    grid = Window.partitionBy("location", "phase")
+    so_far = F.max("b").over(grid.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    merged = placed.withColumn("new", (so_far.isNull() | (F.col("a") > so_far)).cast("int")).withColumn("group", F.sum("new").over(grid.orderBy("a", "b")))
+    merged = merged.groupBy("location", "phase", "group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("low").alias("low"), F.first("high").alias("high"))
+    first = F.greatest(F.col("a"), F.col("low") + F.pmod(F.col("phase") - F.col("low"), F.lit(micros)))
+    last = F.least("b", "high")
+    times = merged.filter(first <= last).select("location", F.explode(F.sequence(first, last, F.lit(micros))).alias("at")).distinct()
+    flags = times.select("location", (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("at").cast("decimal(24,6)") / 1_000_000)).alias("date_time"), F.lit(True).alias(name))
     return domain.join(flags, KEYS, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -97,18 +97,25 @@ def months(df: DataFrame, chosen: list[int]) -> DataFrame:
 
 
 def faults(df: DataFrame, step: str) -> DataFrame:
-    """(location, fault): what keeps a frame from being a regular grid; no rows if it is one."""
+    """(location, fault): what keeps a frame from being a regular grid; no rows if it is one.
+
+    A location's times must be as many as its span has steps, and all at the same distance from the step's multiples.
+    """
     n, unit = parse_step(step)
-    seconds = n * UNITS[unit]
-    span = F.timestamp_diff("SECOND", F.min("date_time"), F.max("date_time"))
-    per = df.groupBy("location").agg(F.count("*").alias("n"), F.count_distinct("date_time").alias("kinds"), F.min("date_time").alias("low"), F.max("date_time").alias("high"), span.alias("span"), F.count_if(F.col("date_time").isNull()).alias("nulls"))
+    micros = n * UNITS[unit] * 1_000_000
+    elapsed = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("date_time"))
+    phase = F.pmod(elapsed, F.lit(micros))
+    per = df.groupBy("location").agg(
+        F.count("*").alias("n"), F.count_distinct("date_time").alias("kinds"), F.min("date_time").alias("low"), F.max("date_time").alias("high"), (F.max(elapsed) - F.min(elapsed)).alias("span"),
+        (F.max(phase) - F.min(phase)).alias("off"), F.count_if(F.col("date_time").isNull()).alias("nulls"),
+    )
     whole = per.agg(F.min("low").alias("all_low"), F.max("high").alias("all_high"))
     fault = (
         F.when(F.col("location").isNull(), "null location")
         .when(F.length("location") > LONGEST, "location too long")
         .when(F.col("nulls") > 0, "null time")
         .when(F.col("n") != F.col("kinds"), "repeated time")
-        .when(F.col("span") != (F.col("n") - 1) * seconds, "irregular step")
+        .when((F.col("span") != (F.col("n") - 1) * micros) | (F.col("off") != 0), "irregular step")
         .when((F.col("low") != F.col("all_low")) | (F.col("high") != F.col("all_high")), "other range than the rest")
     )
     return per.join(F.broadcast(whole)).select("location", fault.alias("fault")).filter("fault IS NOT NULL")  # whole is one row

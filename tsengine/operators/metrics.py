@@ -95,15 +95,36 @@ def trade_off(df: DataFrame, true: str, score: str, ranges: int | None = None) -
     return walked.select("score", "hits", "n", "tp", (F.col("flagged") - F.col("tp")).alias("fp"), (F.col("positives") - F.col("tp")).alias("fn"), (F.col("flagged") - F.col("n")).alias("before"))
 
 
+#: Places of a tie whose discounts are added one by one; beyond, by the Euler-Maclaurin formula.
+EXACT_PLACES = 64
+
+
+def log_integral(x: Column) -> Column:
+    """The logarithmic integral for x > 1, by its series in log(x), whose terms are all positive."""
+    t = F.log(x)
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("power")), lambda a, k: F.struct((a["sum"] + a["power"] * t / k / k).alias("sum"), (a["power"] * t / k).alias("power")), lambda a: a["sum"])
+    return F.lit(0.57721566490153286) + F.log(t) + terms
+
+
+def discounts(before: Column, n: Column) -> Column:
+    """The sum of 1 / log2(place + 1) over n places after so many: bounded work, however many places there are."""
+    gain = lambda x: 1 / F.log2(x)
+    few = F.aggregate(F.sequence(before + 1, before + F.least(n, F.lit(EXACT_PLACES))), F.lit(0.0), lambda a, i: a + gain(i.cast("double") + 1))
+    low, high = (before + EXACT_PLACES + 2).cast("double"), (before + n + 1).cast("double")
+    log2 = F.log(F.lit(2.0))
+    first = lambda x: -log2 / (x * F.pow(F.log(x), 2))
+    third = lambda x: -log2 * (2 * F.pow(F.log(x), 2) + 6 * F.log(x) + 6) / (F.pow(x, 3) * F.pow(F.log(x), 4))
+    rest = log2 * (log_integral(high) - log_integral(low)) + (gain(low) + gain(high)) / 2 + (first(high) - first(low)) / 12 - (third(high) - third(low)) / 720
+    return F.when(n > EXACT_PLACES, few + rest).otherwise(few)
+
+
 def ranking(df: DataFrame, true: str, score: str, ranges: int | None = None) -> DataFrame:
     """One row (average_precision, dcg) of 0/1 labels under a score; rows of equal scores share their mean discount.
 
-    Null scores are left out; without a positive label both are null.
+    Null scores are left out; without a positive label both are null. A tie may have any number of rows.
     """
     rows = trade_off(df, true, score, ranges)
-    # A tie of n rows from place k on: the mean of 1 / log2(place + 1) over its places.
-    gain = F.aggregate(F.sequence(F.col("before") + 1, F.col("before") + F.col("n")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i.cast("double") + 1))
-    dcg = F.sum(F.when(F.col("hits") > 0, F.col("hits") / F.col("n") * gain).otherwise(0.0))
+    dcg = F.sum(F.when(F.col("hits") > 0, F.col("hits") / F.col("n") * discounts(F.col("before"), F.col("n"))).otherwise(0.0))
     positives = F.sum("hits")
     return rows.agg(F.when(positives > 0, F.sum(F.col("hits") * F.col("tp") / (F.col("tp") + F.col("fp"))) / positives).alias("average_precision"), F.when(positives > 0, dcg).alias("dcg"))
 

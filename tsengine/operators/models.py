@@ -9,12 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.operators import filters as flt
-from tsengine.operators import align, metrics, monitor
+from tsengine.operators import align, metrics, monitor, trees
 
 
 def linear(**params):
@@ -47,6 +48,9 @@ ESTIMATORS: dict[str, Callable] = {
 }
 
 
+#: Estimators of this library: fit(rows, features, label, **params) gives what predicts as a column; their class by name, for loading.
+OWN: dict[str, tuple[Callable, type]] = {"learned_trees": (trees.fit, trees.Ensemble)}
+
 #: What the data give to an estimator whose penalty depends on them.
 FROM_DATA = {"ridge": ("n_rows", "label_sd"), "elastic_net": ("label_sd",)}
 
@@ -71,7 +75,7 @@ class TimeSeriesModel:
     validation: float = 0.0
 
     def __post_init__(self):
-        self.fitted: PipelineModel | None = None
+        self.fitted = None  # a PipelineModel, or what an estimator of OWN gives
         self.target = (0.0, 1.0)
         self.means: dict[str, float] = {}
         self.fit_stats: dict[str, DataFrame] = {}
@@ -113,18 +117,24 @@ class TimeSeriesModel:
             if self.scale_target:
                 self.target = (r[0] or 0.0, r[1] or 1.0)
             self.fit_span, self.means = (r[2], r[3]), {c: float(r[c] or 0.0) for c in self.features}
+            labelled = rows.withColumn("__y", (F.col(self.label) - self.target[0]) / self.target[1])
+            if self.estimator in OWN:
+                self.fitted = OWN[self.estimator][0](labelled, self._inputs(), "__y", **self.params)
+                return self._watched(df)
             stages = [VectorAssembler(inputCols=self._inputs(), outputCol="__x", handleInvalid="skip")]
             if self.scale_features:
                 stages.append(StandardScaler(inputCol="__x", outputCol="__z", withMean=True))
             found = {"n_rows": max(r["n_rows"], 1), "label_sd": (r["label_sd"] or 1.0) / self.target[1]}
             model = ESTIMATORS[self.estimator](**{k: found[k] for k in FROM_DATA.get(self.estimator, ())} | self.params).setFeaturesCol("__z" if self.scale_features else "__x").setLabelCol("__y").setPredictionCol("__p")
-            labelled = rows.withColumn("__y", (F.col(self.label) - self.target[0]) / self.target[1])
             if self.validation:
                 labelled = labelled.withColumn("__aside", F.pmod(F.xxhash64(*keys), F.lit(1000)) < int(1000 * self.validation))
                 model = model.setValidationIndicatorCol("__aside")
             self.fitted = Pipeline(stages=[*stages, model]).fit(labelled)
         finally:
             rows.unpersist()
+        return self._watched(df)
+
+    def _watched(self, df: DataFrame) -> TimeSeriesModel:
         if self.watch:
             self.fit_stats = self.stats(df)
         return self
@@ -138,19 +148,35 @@ class TimeSeriesModel:
         whole = F.lit(True)
         for c in self.features:
             whole = whole & F.col(c).isNotNull()
-        assembler, *rest = self.fitted.stages
-        found = PipelineModel([assembler.copy({assembler.handleInvalid: "keep"}), *rest]).transform(ready)
-        predicted = F.when(whole, F.col("__p") * self.target[1] + self.target[0]).alias("predicted")
+        if self.estimator in OWN:
+            found, p = ready, self.fitted.column(self._inputs())
+            whole = F.lit(True) if getattr(self.fitted, "takes_missing", False) else whole
+        else:
+            assembler, *rest = self.fitted.stages
+            found, p = PipelineModel([assembler.copy({assembler.handleInvalid: "keep"}), *rest]).transform(ready), F.col("__p")
+        predicted = F.when(whole, p * self.target[1] + self.target[0]).alias("predicted")
         return found.select("location", "date_time", self.label, predicted, *([self.presence(lambda c: F.col("__raw")[c]).alias("feature_score")] if feature_score else []))
 
+    def attributions(self):
+        """The array of Shapley values of a row's inputs, for trees; null for other estimators."""
+        if isinstance(self.fitted, trees.Ensemble):
+            return self.fitted.attribution(self._inputs())
+        if self.estimator in OWN or not hasattr(self.fitted.stages[-1], "featureImportances") or self.estimator not in ("boosted_trees",):
+            return None
+        inputs = vector_to_array("__z" if self.scale_features else "__x")
+        return trees.of_spark(self.fitted.stages[-1], self._inputs()).attribution([inputs[i] for i in range(len(self._inputs()))])
+
     def presence(self, of=F.col):
-        """How much of the model's explanation the present features carry: by coefficients, by a tree's importances, else all or nothing."""
-        last = self.fitted.stages[-1]
+        """How much of a row's explanation the present features carry: by attributions of trees, by coefficients, else all or nothing."""
         there = {c: of(c).isNotNull().cast("double") for c in self.features}
-        if hasattr(last, "featureImportances"):  # a feature and the mark of its absence count together
-            n, found = len(self.features), last.featureImportances.toArray()
-            weight = {c: float(sum(found[i::n])) for i, c in enumerate(self.features)}
-            return feature_score(there, {c: F.lit(w) for c, w in weight.items()})
+        found = self.attributions()
+        if found is not None:  # a feature and the mark of its absence count together
+            n = len(self.features)
+            return feature_score(there, {c: F.abs(found[i] + found[i + n] if self.impute is not None else found[i]) for i, c in enumerate(self.features)})
+        last = None if self.estimator in OWN else self.fitted.stages[-1]
+        if hasattr(last, "featureImportances"):  # of trees for classes: one weight for all rows
+            n, held = len(self.features), last.featureImportances.toArray()
+            return feature_score(there, {c: F.lit(float(sum(held[i::n]))) for i, c in enumerate(self.features)})
         if not hasattr(last, "coefficients") or self.impute is not None:
             total = sum(there.values(), F.lit(0.0))
             return F.when(total == len(self.features), 1.0).otherwise(0.0)
@@ -166,17 +192,21 @@ class TimeSeriesModel:
 
     def save(self, path: str) -> None:
         """The fitted pipeline and the rest as JSON, named filters included."""
-        text = json.dumps(self.spec())
-        self.fitted.write().overwrite().save(f"{path}/model")
+        own = self.estimator in OWN
+        text = json.dumps(self.spec() | ({"fitted": self.fitted.to_dict()} if own else {}))
+        if not own:
+            self.fitted.write().overwrite().save(f"{path}/model")
         SparkSession.active().createDataFrame([(text,)], "spec string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, before: list | None = None) -> TimeSeriesModel:
         """before replaces the saved filters, for those that are plain functions."""
         spec = json.loads(spark.read.text(f"{path}/spec").first()[0])
+        held = spec.pop("fitted", None)
         target, means, filters = spec.pop("target"), spec.pop("means"), flt.from_specs(spec.pop("before"))
         model = cls(**spec, before=filters if before is None else before)
-        model.target, model.means, model.fitted = tuple(target), means, PipelineModel.load(f"{path}/model")
+        model.target, model.means = tuple(target), means
+        model.fitted = PipelineModel.load(f"{path}/model") if held is None else OWN[model.estimator][1].from_dict(held)
         return model
 
 
