@@ -53,7 +53,6 @@ def neighbours(df: DataFrame, value: str, by=BY, block: str | None = None) -> Da
 
     By windows over each location as a whole; with a block such as '30 days', over each block of a location, so that a
     long series is many tasks: only a block's count and its first and last observation are put in order by location.
-    Locations must not be null then.
     """
     keys = [by] if isinstance(by, str) else list(by)
     here = lambda offset: F.struct((F.col("__i") + offset).alias("i"), F.col(value).cast("double").alias("v"))
@@ -72,7 +71,10 @@ def neighbours(df: DataFrame, value: str, by=BY, block: str | None = None) -> Da
         per = per.withColumn("__offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col("__offset")).alias("i"), F.col(f"{c}.v").alias("v")))
         per = per.select(*keys, "__block", "__offset", F.last(moved("last"), ignorenulls=True).over(earlier).alias("__earlier"), F.first(moved("first"), ignorenulls=True).over(later).alias("__later"))
-        numbered = numbered.join(per, [*keys, "__block"]).withColumn("__here", here(F.col("__offset")))
+        named = [*keys, "__block"]
+        per = per.withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(named)})
+        same = [F.col(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(named)]
+        numbered = numbered.join(per, same).drop(*(f"__of_{i}" for i in range(len(named)))).withColumn("__here", here(F.col("__offset")))
     seen = F.when(F.col(value).isNotNull(), F.col("__here"))
     before = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -104,24 +106,41 @@ def persist_last(df: DataFrame, value: str, name: str | None = None, by=BY, bloc
     return df.withColumn(name or value, F.last(value, ignorenulls=True).over(over(by).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def fill_rolling(df: DataFrame, value: str, method: Callable[[pd.Series], float], fit_len: int, name: str | None = None, by: str = BY) -> DataFrame:
+def fill_rolling(df: DataFrame, value: str, method: Callable[[pd.Series], float], fit_len: int, name: str | None = None, by: str = BY, block: str | None = "30 days") -> DataFrame:
     """Fill gaps in time order by any function of the fit_len + 1 values before, earlier fills included.
 
-    The only way is row by row, so each series goes to one task as a whole; persist_last does the common case natively.
+    A fill depends on those before it only until fit_len + 1 observed rows stand together: what follows them sees nothing
+    older. So a series is cut into pieces after such rows, each piece being filled by itself with those rows in front of it;
+    rows after which nothing is missing in a piece aren't in one. Pieces are found in blocks of time (see neighbours), so
+    a long series, or a place with most of the rows, is many tasks; only a stretch without so many observed rows together stays one.
     """
-    name = name or value
-    schema = df.withColumn(name, F.lit(None).cast("double")).schema
+    name, k = name or value, fit_len + 1
+    kept = [c for c in df.columns if c != name]
+    there = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    lost = neighbours(df.withColumn("__lost", F.when(~there, 1.0)), "__lost", by, block)
+    known = lost.withColumn("__n", F.col("__here.i")).withColumn("__next_lost", F.col("__after.i")).withColumn("__since", F.col("__here.i") - F.coalesce("__before.i", F.lit(0))).drop("__here", "__before", "__after", "__lost")
+    last_of_run = there & (F.col("__next_lost") == F.col("__n") + 1) & (F.col("__since") >= k)
+    cut = neighbours(known.withColumn("__safe", F.when(last_of_run, 1.0)), "__safe", by, block)
+    safe, before, after = F.col("__safe").isNotNull(), F.col("__before.i"), F.col("__after.i")
+    inside = ~safe & (~there | F.col("__next_lost").isNotNull() & (after.isNull() | (F.col("__next_lost") < after)))
+    # Rows outside of pieces come along in parcels of their own, with numbers below zero.
+    piece = lambda at, context: F.struct(at.alias("at"), F.lit(context).alias("context"))
+    own = piece(F.when(inside, F.coalesce(before, F.lit(0))).otherwise(-1 - F.floor(F.col("__n") / 4096)), False)
+    ahead = F.when(after.isNotNull() & (after - F.col("__n") < k), piece(after, True))
+    dealt = cut.withColumn("__piece", F.explode(F.array_compact(F.array(own, ahead)))).select(*dict.fromkeys([*kept, value, by]), F.col("__piece.at").alias("__at"), F.col("__piece.context").alias("__context"))
+    filled = df.select(*kept).schema.add(name, "double") if name != value else df.select(*kept).schema.add(value, "double")
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date_time")
+        part = part.sort_values(["date_time"], kind="stable")
         v = part[value].astype("float64").to_numpy().copy()
-        for i in range(len(v)):
-            if v[i] != v[i] and i:
-                v[i] = method(pd.Series(v[max(0, i - fit_len - 1) : i]))
-        part[name] = [None if x != x else x for x in v]
-        return part[schema.names]
-
-    return df.groupBy(by).applyInPandas(fill, schema)
+        if part["__at"].iloc[0] >= 0:
+            for i in range(1, len(v)):
+                if v[i] != v[i]:
+                    v[i] = method(pd.Series(v[max(0, i - k) : i]))
+        part[name] = pd.Series(v, index=part.index).astype(object).where(v == v, None)
+        return part.loc[~part["__context"], filled.names]
+
+    return dealt.groupBy(by, "__at").applyInPandas(fill, filled).select(*(c for c in df.columns), *([name] if name not in df.columns else []))
 
 
 def convolve(df: DataFrame, value: str, kernel: list[float], name: str = "convolved", by=BY) -> DataFrame:
