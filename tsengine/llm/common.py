@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 import weakref
 import zlib
@@ -85,9 +86,14 @@ def materialise(df: DataFrame, what: str, instead_of: Iterable[DataFrame] = ())
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that earlier jobs' shuffles are no longer referenced, so that their files go before the next job's come."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner see that earlier jobs' shuffles are no longer referenced, so that their files go before the next job's come.
+
+    What Python lets go of reaches the JVM a little later, so it is asked twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def free_name(df: DataFrame, name: str) -> str:
