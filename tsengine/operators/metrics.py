@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,13 @@ def log_integral(x: Column) -> Column:
     return F.lit(0.57721566490153286) + F.log(t) + terms
 
 
+def integral_of_gain(low: Column, high: Column) -> Column:
+    """The integral of 1 / log(x): by ten points where the ends are near each other, which the difference of two large values would blur."""
+    middle, half = (low + high) / 2, (high - low) / 2
+    near = sum((float(w) / F.log(middle + half * float(x)) for x, w in zip(*np.polynomial.legendre.leggauss(10), strict=True)), F.lit(0.0)) * half
+    return F.when(high <= 2 * low, near).otherwise(log_integral(high) - log_integral(low))
+
+
 def discounts(before: Column, n: Column) -> Column:
     """The sum of 1 / log2(place + 1) over n places after so many: bounded work, however many places there are."""
     gain = lambda x: 1 / F.log2(x)
@@ -114,7 +122,7 @@ def discounts(before: Column, n: Column) -> Column:
     log2 = F.log(F.lit(2.0))
     first = lambda x: -log2 / (x * F.pow(F.log(x), 2))
     third = lambda x: -log2 * (2 * F.pow(F.log(x), 2) + 6 * F.log(x) + 6) / (F.pow(x, 3) * F.pow(F.log(x), 4))
-    rest = log2 * (log_integral(high) - log_integral(low)) + (gain(low) + gain(high)) / 2 + (first(high) - first(low)) / 12 - (third(high) - third(low)) / 720
+    rest = log2 * integral_of_gain(low, high) + (gain(low) + gain(high)) / 2 + (first(high) - first(low)) / 12 - (third(high) - third(low)) / 720
     return F.when(n > EXACT_PLACES, few + rest).otherwise(few)
 
 

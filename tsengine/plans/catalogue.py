@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tsengine.functions import calendar as cal
 from tsengine.functions.values import clamp, difference, flatten_distinct, kelvin_to_celsius, ordered_distinct, tidy, zeros_to_null
 from tsengine.operators import aggregates as agg
-from tsengine.operators import align, backtest, features, filters, gaps, metrics, models, monitor, pv, windows
+from tsengine.operators import align, backtest, features, filters, gaps, metrics, models, moments, monitor, pv, trees, windows
 from tsengine.operators.domain import KEYS, Domain, faults, with_padding
 from tsengine.sources import series
 from tsengine.streaming import series as streams
@@ -94,9 +94,32 @@ def fetch_select(spark, d):
     return events(spark, d)
 
 
-@query(f"WITH {E_SQL} SELECT location, 'irregular step' AS fault FROM (SELECT location, count(*) n, date_diff('second', min(date_time), max(date_time)) s FROM src GROUP BY 1) WHERE s <> (n - 1) * 3600")
+#: Frames with a fault each, made from the grid: 'click' keeps it, 'error' has its readings' own times, the others are changed.
+FAULTY_SQL = f"""WITH {E_SQL}, x AS (SELECT * FROM dom WHERE location <> 'error' UNION ALL SELECT location, date_time FROM src WHERE location = 'error'
+UNION ALL SELECT 'twice', date_time FROM dom WHERE location = 'click' UNION ALL SELECT 'twice', date_time FROM dom WHERE location = 'click' AND hour(date_time) = 5
+UNION ALL SELECT 'swapped', CASE WHEN hour(date_time) = 7 THEN date_time + INTERVAL 30 MINUTE ELSE date_time END FROM dom WHERE location = 'click'
+UNION ALL SELECT 'short', date_time FROM dom WHERE location = 'click' AND date_time < TIMESTAMP '2024-01-20' UNION ALL SELECT 'timeless', CASE WHEN hour(date_time) <> 9 THEN date_time END FROM dom WHERE location = 'click'
+UNION ALL SELECT repeat('long', 10), date_time FROM dom WHERE location = 'click' UNION ALL SELECT NULL, date_time FROM dom WHERE location = 'click')"""
+
+
+def _faulty(spark, d):
+    t, whole = F.col("date_time"), HOURS.grid(spark, event_places(spark, d))
+    one = whole.filter("location = 'click'")
+    out = whole.filter("location <> 'error'").unionByName(event_source(spark, d).filter("location = 'error'").filter(HOURS.within()).select(*KEYS))
+    parts = {
+        "twice": t, "swapped": F.when(F.hour(t) == 7, t + F.expr("INTERVAL 30 MINUTE")).otherwise(t), "timeless": F.when(F.hour(t) != 9, t), "long" * 10: t, None: t,
+    }
+    for name, time in parts.items():
+        out = out.unionByName(one.select(F.lit(name).cast("string").alias("location"), time.alias("date_time")))
+    again = one.filter(F.hour(t) == 5).select(F.lit("twice").alias("location"), t)
+    return out.unionByName(again).unionByName(one.filter("date_time < TIMESTAMP_NTZ '2024-01-20'").select(F.lit("short").alias("location"), t))
+
+
+@query(f"""{FAULTY_SQL.replace("FROM src WHERE location = 'error'", "FROM src WHERE location = 'error' AND date_time >= TIMESTAMP '2024-01-01'")}, l AS (SELECT *, date_diff('second', lag(date_time) OVER (PARTITION BY location ORDER BY date_time), date_time) AS step FROM x),
+p AS (SELECT location, count(*) FILTER (date_time IS NULL) AS nulls, count(*) FILTER (step = 0) AS same, count(*) FILTER (step <> 0 AND step <> 3600) AS odd, min(date_time) AS low, max(date_time) AS high FROM l GROUP BY 1)
+SELECT location, fault FROM (SELECT location, CASE WHEN location IS NULL THEN 'null location' WHEN length(location) > 36 THEN 'location too long' WHEN nulls > 0 THEN 'null time' WHEN same > 0 THEN 'repeated time' WHEN odd > 0 THEN 'irregular step' WHEN low <> (SELECT min(low) FROM p) OR high <> (SELECT max(high) FROM p) THEN 'other range than the rest' END AS fault FROM p) WHERE fault IS NOT NULL""")
 def domain_faults(spark, d):
-    return faults(event_source(spark, d), "1 hour").filter(F.col("fault") == "irregular step")
+    return faults(_faulty(spark, d), "1 hour")
 
 
 @query(f"""WITH {E_SQL}, a AS (SELECT event_type AS location, date_trunc('day', ts)::TIMESTAMP AS date_time, min(value) AS value_min, max(value) AS value_max, {r("avg(value)")} AS value_mean, {r("sum(value)")} AS value_sum, {r("median(value)")} AS value_median FROM events GROUP BY 1, 2)
@@ -123,7 +146,7 @@ def resample_mean(spark, d):
 
 
 @query("""WITH l AS (SELECT n.n_name AS mapped_location, date_trunc('month', l_shipdate)::TIMESTAMP AS date_time, round(sum(l_quantity), 4) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey GROUP BY 1, 2),
-dom AS (SELECT s_name AS location, s_nationkey, CAST(date_time AS TIMESTAMP) AS date_time FROM supplier, generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH) g(date_time))
+dom AS (SELECT s_name AS location, s_nationkey, CAST(date_time AS TIMESTAMP) AS date_time FROM supplier, (SELECT unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS date_time FROM (SELECT date_trunc('month', min(l_shipdate))::TIMESTAMP AS low, date_trunc('month', max(l_shipdate))::TIMESTAMP AS high FROM lineitem)))
 SELECT location, dom.date_time, CASE WHEN n_regionkey <> 0 THEN n_name END AS mapped_location, CASE WHEN n_regionkey <> 0 THEN quantity END AS quantity FROM dom JOIN nation ON n_nationkey = s_nationkey LEFT JOIN l ON l.mapped_location = n_name AND l.date_time = dom.date_time""")
 def mapped_fetch(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
@@ -132,8 +155,9 @@ def mapped_fetch(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_suppkey", agg.bucket(F.col("l_shipdate"), "month").alias("date_time")).agg(F.sum("l_quantity").alias("quantity")).join(named, F.col("l_suppkey") == F.col("s_suppkey"))
     source = li.groupBy(F.col("n_name").alias("location"), "date_time").agg(F.round(F.sum("quantity"), 4).alias("quantity"))
     mapping = named.filter("n_regionkey <> 0").select(F.col("s_name").alias("location"), F.col("n_name").alias("mapped_location"))
-    months = F.explode(F.sequence(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2001-11-01").cast("timestamp_ntz"), F.expr("INTERVAL 1 MONTH")))
-    return align.mapped(s.select(F.col("s_name").alias("location"), months.alias("date_time")), mapping, source, ["quantity"])
+    span = table(spark, d, "lineitem").agg(agg.bucket(F.min("l_shipdate"), "month").alias("low"), agg.bucket(F.max("l_shipdate"), "month").alias("high"))  # one row
+    months = span.select(F.explode(F.sequence(F.col("low").cast("timestamp_ntz"), F.col("high").cast("timestamp_ntz"), F.expr("INTERVAL 1 MONTH"))).alias("date_time"))
+    return align.mapped(s.select(F.col("s_name").alias("location")).join(F.broadcast(months)), mapping, source, ["quantity"])
 
 
 @query("""WITH s AS (SELECT n_name, r_name, date_trunc('month', o_orderdate)::TIMESTAMP AS date_time, sum(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3)
@@ -146,11 +170,12 @@ def hierarchy_rollup(spark, d):
     return align.rollup(hierarchy, children, ["value"]).withColumn("value", F.round("value", 2))
 
 
-@query("SELECT c_name AS location FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_name AS location FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def unmapped_locations(spark, d):
-    customers = table(spark, d, "customer").select(F.col("c_name").alias("location"), F.col("c_custkey").alias("key"))
-    mapping = table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return customers.join(mapping, "key", "left_anti").select("location")
+    """Customers that a mapping, made from urgent orders, doesn't know."""
+    customers, o = table(spark, d, "customer"), table(spark, d, "orders")
+    mapping = o.filter("o_orderpriority = '1-URGENT'").join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_name").alias("location")).agg(F.max("o_orderstatus").alias("mapped_location"))
+    return align.unmapped(customers.select(F.col("c_name").alias("location")), mapping)
 
 
 @query("""WITH a AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS date_time, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1), b AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS date_time, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1)
@@ -211,7 +236,10 @@ def lag_window(spark, d):
     return orders(spark, d).select(*KEYS, "value", windows.lag_columns("value", ["7 days"], DAYS)[0])
 
 
-HOLIDAYS = ", ".join(f"DATE '{x}'" for x in cal.us_holidays(1995, 2001))
+FIXED = "strftime({d}, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25') OR strftime({d}, '%m-%d') = '06-19' AND year({d}) >= 2021"
+FLOATING = "isodow(x) = 1 AND (month(x) IN (1, 2) AND day(x) BETWEEN 15 AND 21 OR month(x) = 5 AND day(x) > 24 OR month(x) = 9 AND day(x) < 8 OR month(x) = 10 AND day(x) BETWEEN 8 AND 14) OR isodow(x) = 4 AND month(x) = 11 AND day(x) BETWEEN 22 AND 28"
+#: Federal holidays by their rules: a fixed day on a Saturday is observed on Friday, one on a Sunday on Monday.
+HOLIDAYS = f"SELECT x FROM (SELECT CAST(g AS DATE) AS x FROM generate_series(DATE '1994-12-01', DATE '2002-02-01', INTERVAL 1 DAY) t(g)) WHERE {FIXED.format(d='x')} OR {FLOATING} OR isodow(x) = 5 AND ({FIXED.format(d='(x + 1)')}) OR isodow(x) = 1 AND ({FIXED.format(d='(x - 1)')})"
 
 
 @query(f"""WITH {O_SQL} SELECT location, date_time, year(date_time) AS year, month(date_time) AS month, day(date_time) AS day, isodow(date_time) - 1 AS weekday, dayname(date_time) AS day_name,
@@ -411,9 +439,12 @@ FOLDS = backtest.rolling_folds(DAYS, 5, test_size=28)
 FOLD_SQL = ", ".join(f"({f.fold}, TIMESTAMP '{f.train_start}', TIMESTAMP '{f.train_end}', TIMESTAMP '{f.test_start}', TIMESTAMP '{f.test_end}')" for f in FOLDS)
 
 
-@query(f"SELECT CAST(a AS INT) AS fold, b AS train_start, c AS train_end, d AS test_start, e AS test_end FROM (VALUES {FOLD_SQL}) t(a, b, c, d, e)")
+@query("""WITH t AS (SELECT date_trunc('day', min(o_orderdate))::TIMESTAMP AS first, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 AS n FROM orders), k AS (SELECT i, first, n - (5 - i) * 28 AS begins FROM t, range(5) r(i))
+SELECT CAST(i AS INT) AS fold, first + greatest(0, begins - 365) * INTERVAL 1 DAY AS train_start, first + (begins - 1) * INTERVAL 1 DAY AS train_end, first + begins * INTERVAL 1 DAY AS test_start, first + (begins + 27) * INTERVAL 1 DAY AS test_end FROM k""")
 def backtest_folds(spark, d):
-    return backtest.fold_table(spark, FOLDS)
+    """Five folds of 28 days back from the last order, each trained on the year before."""
+    span = table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    return backtest.fold_table(spark, backtest.rolling_folds(Domain(f"{span[0]} 00:00:00", f"{span[1]} 00:00:00", "1 day"), 5, max_train=365, test_size=28))
 
 
 @query(f"""WITH {O_SQL}, yp AS (SELECT location, CAST(t.a AS INT) AS fold, "true" AS y, predicted AS p FROM f JOIN (VALUES {FOLD_SQL}) t(a, b, c, d, e) ON f.date_time BETWEEN t.d AND t.e WHERE "true" IS NOT NULL AND predicted IS NOT NULL)
@@ -479,11 +510,50 @@ def gbt_forecast(spark, d):
     return model.fit(df.filter("date_time < TIMESTAMP_NTZ '2024-01-25'")).predict(df)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E_SQL}, p AS (SELECT location, date_time, last_value(value IGNORE NULLS) OVER w AS value, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT location, i, md5(concat_ws('|', '32', location, strftime(date_time, '%Y-%m-%d %H:%M:%S'))) AS draw FROM (SELECT *, count(value) OVER (PARTITION BY location ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM p) WHERE n = 8),
+t AS (SELECT location, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT location FROM c) UNION ALL SELECT location, list_append(any_value(taken), arg_min(i, draw)) FROM t JOIN c USING (location) WHERE len(taken) < 3 AND len(list_filter(taken, lambda a: abs(a - i) < 8)) = 0 GROUP BY location),
+m AS (SELECT location, unnest(taken) AS a FROM t WHERE len(taken) = 3)
+SELECT location, date_time, value, EXISTS (SELECT 1 FROM m WHERE m.location = p.location AND p.i > a AND p.i <= a + 6) AS synth_gap FROM p""")
 def block_gaps(spark, d):
     return gaps.block_gaps(windows.persist_last(events(spark, d), "value"), "value", 6, n=3)
 
 
+@query(f"WITH {E_SQL} SELECT location, date_time, value, lag_24_hour, lag_24_hour AS predicted FROM (SELECT *, lag(value, 24) OVER (PARTITION BY location ORDER BY date_time) AS lag_24_hour FROM e)")
+def identity_forecast(spark, d):
+    """A feature taken as the prediction."""
+    return models.identity_prediction(_lag_frame(spark, d).select(*KEYS, "value", "lag_24_hour"), "lag_24_hour")
+
+
+#: A stump over the hour and a day of the week that is known only where the day before has a reading: every cut, with missing days on either side.
+STUMP_SQL = f"""WITH {E_SQL}, x AS (SELECT location, date_time, value, hour(date_time) AS hour, CASE WHEN lag(value, 24) OVER (PARTITION BY location ORDER BY date_time) IS NOT NULL THEN isodow(date_time) END AS day FROM e),
+b AS (SELECT avg(value) AS base FROM x), l AS (SELECT hour, day, value - base AS r FROM x, b WHERE value IS NOT NULL),
+cuts AS (SELECT DISTINCT 0 AS f, hour AS t, false AS way FROM l UNION SELECT DISTINCT 1, day, way FROM l, (VALUES (false), (true)) w(way) WHERE day IS NOT NULL),
+g AS (SELECT f, t, way, sum(r) FILTER (go) AS a, count(*) FILTER (go) AS n, sum(r) FILTER (NOT go) AS b, count(*) FILTER (NOT go) AS m FROM (SELECT *, CASE WHEN f = 0 THEN hour <= t ELSE coalesce(day <= t, way) END AS go FROM l, cuts) GROUP BY ALL),
+best AS (SELECT * FROM g WHERE n >= 20 AND m >= 20 ORDER BY a * a / (n + 1) + b * b / (m + 1) DESC, f, t LIMIT 1)"""
+
+
+@query(f"{STUMP_SQL} SELECT location, x.date_time, round(base + 0.5 * CASE WHEN CASE WHEN f = 0 THEN hour <= t ELSE coalesce(day <= t, way) END THEN a / (n + 1) ELSE best.b / (m + 1) END, 6) AS predicted FROM x, b, best")
+def learned_stump(spark, d):
+    df = _known_days(spark, d)
+    found = trees.fit(df, ["hour", "day"], "value", trees=1, depth=1, rate=0.5, least=20)
+    return df.select(*KEYS, F.round(found.column(), 6).alias("predicted"))
+
+
+def _known_days(spark, d):
+    t = F.col("date_time")
+    return _lag_frame(spark, d).select(*KEYS, "value", "lag_24_hour", F.hour(t).alias("hour"), F.when(F.col("lag_24_hour").isNotNull(), F.weekday(t) + 1).alias("day"))
+
+
+@query()
+def tree_attributions(spark, d):
+    """What each feature adds to a prediction of boosted trees, row by row."""
+    df = _known_days(spark, d)
+    found = trees.fit(df.filter("date_time < TIMESTAMP_NTZ '2024-01-25'"), ["hour", "day", "lag_24_hour"], "value", trees=8, depth=3)
+    a = F.col("a")
+    return df.select(*KEYS, found.column().alias("predicted"), found.attribution().alias("a")).select(*KEYS, "predicted", F.lit(found.expected()).alias("expected"), *(a[i].alias(f"by_{f}") for i, f in enumerate(found.features)))
+
+
 CLEAR = "greatest(0.0, sin((hour(date_time) - 6) * 3.14159265 / 12))"
 
 
@@ -584,6 +654,35 @@ def backtest_by_location(spark, d):
     return out.select("location", "n", "n_unpredicted", F.round("mape", 4).alias("mape"), F.round("mae", 3).alias("mae"), F.round("median_abs_error", 3).alias("median_abs_error"), F.round("explained_variance", 4).alias("explained_variance"), F.round("r2", 4).alias("r2"))
 
 
+WEEK_SQL = f"""WITH {E_SQL}, x AS (SELECT *, lag(value, 24) OVER w AS a, lag(value, 48) OVER w AS b FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time)),
+k AS (SELECT CAST(a AS INT) AS fold, b AS train_start, c AS train_end, d AS test_start, e AS test_end FROM (VALUES {HOUR_FOLD_SQL}) v(a, b, c, d, e))"""
+#: A line of one feature by fold, its errors on the test window, and the mean of the folds' r2.
+ONE_SQL = """SELECT '{name}' AS features, round(avg(r2), 6) AS r2 FROM (SELECT fold, CASE WHEN count(*) = count({x}) THEN 1 - sum((value - m - s * {x}) ** 2) / nullif(var_pop(value) * count(*), 0) END AS r2 FROM x JOIN k ON date_time BETWEEN test_start AND test_end
+JOIN (SELECT fold, regr_slope(value, {x}) AS s, regr_intercept(value, {x}) AS m FROM x JOIN k ON date_time BETWEEN train_start AND train_end GROUP BY fold) USING (fold) WHERE value IS NOT NULL GROUP BY fold)"""
+
+
+def _week(spark, d):
+    spec = features.FeatureSpec(lags=("24 hours", "48 hours"))
+    return spec.build(spark, HOURS, event_places(spark, d), event_source(spark, d))
+
+
+@query(f"""{WEEK_SQL}, f AS (SELECT *, coalesce(a, 0.0) AS p, coalesce(b, 0.0) AS q FROM x), m AS (SELECT fold, count(*) AS n_train, avg(value) AS my, avg(p) AS mp, avg(q) AS mq, covar_pop(p, value) AS py, covar_pop(q, value) AS qy, var_pop(p) AS pp, var_pop(q) AS qq, covar_pop(p, q) AS pq FROM f JOIN k ON date_time BETWEEN train_start AND train_end WHERE value IS NOT NULL GROUP BY 1),
+w AS (SELECT *, (qq * py - pq * qy) / (pp * qq - pq * pq) AS s, (pp * qy - pq * py) / (pp * qq - pq * pq) AS t FROM m)
+SELECT fold, n_train, count(*) AS n, round(sqrt(avg((value - my - s * (p - mp) - t * (q - mq)) ** 2)), 5) AS rmse, round(1 - sum((value - my - s * (p - mp) - t * (q - mq)) ** 2) / (var_pop(value) * count(*)), 6) AS r2 FROM f JOIN k ON date_time BETWEEN test_start AND test_end JOIN w USING (fold) WHERE value IS NOT NULL GROUP BY ALL""")
+def onepass_scores(spark, d):
+    """All folds of a regression on two lags, from one aggregation."""
+    found = moments.scores(_week(spark, d).fillna(0.0, ["lag_24_hour", "lag_48_hour"]), HOUR_FOLDS, ["lag_24_hour", "lag_48_hour"])
+    return found.select("fold", "n_train", "n", F.round("rmse", 5).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+@query(f"{WEEK_SQL.replace('lag(value, 24) OVER w AS a, lag(value, 48) OVER w AS b', 'coalesce(lag(value, 24) OVER w, 0.0) AS a, coalesce(lag(value, 48) OVER w, 0.0) AS b, CAST(hour(date_time) AS DOUBLE) AS h')} {' UNION ALL '.join(ONE_SQL.format(name=n, x=x) for n, x in (('lag_24_hour', 'a'), ('lag_48_hour', 'b'), ('hour', 'h')))}")
+def onepass_search(spark, d):
+    """Which of three features predicts best over the folds: every candidate is a small solve."""
+    df = _week(spark, d).fillna(0.0, ["lag_24_hour", "lag_48_hour"]).withColumn("hour", F.hour("date_time").cast("double"))
+    held = moments.FoldMoments(df, HOUR_FOLDS, ["lag_24_hour", "lag_48_hour", "hour"])
+    return moments.leaderboard(spark, held.search(([f], 0.0) for f in held.features)).select("features", F.round("r2", 6).alias("r2"))
+
+
 # ---- sources, filters and small parts --------------------------------------------------------------------------------
 @query("""WITH old AS (SELECT n_name AS location, r_name AS m FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey < 15), new AS (SELECT n_name AS location, 'other' AS m FROM nation WHERE n_nationkey > 10)
 SELECT coalesce(new.location, old.location) AS location, coalesce(new.m, old.m) AS mapped_location FROM old FULL JOIN new ON old.location = new.location""")
