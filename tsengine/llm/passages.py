@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ WIDTH, PERIOD = 13, 7
 WORDS_HELD = 200_000
 #: Marks of a row: where a hash stands in a text, times four, and whether its chunk knows of another document, or has the answer.
 SHARED, KNOWN = 1, 2
+#: Entries of the table of hashes that a chunk's rows are sifted by.
+TABLE = 1 << 22
 
 
 def difference_cover(period: int) -> tuple[int, ...]:
@@ -132,11 +135,13 @@ def labels(starts: np.ndarray, n: int) -> np.ndarray:
     return out.cumsum()
 
 
-def first_places(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Rows that have their keys for the first time in their text, grouped by key; rows come by text and place."""
-    order, starts = groups(*keys)
+def first_places(text: np.ndarray, h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+    """Rows that have their hashes for the first time in their text, grouped by h; rows come by text and place."""
+    order, starts = groups(h)
     new = np.ones(len(order), bool)
     new[1:] = text[order[1:]] != text[order[:-1]]
+    if g is not None:
+        new[1:] |= g[order[1:]] != g[order[:-1]]
     new[starts] = True
     return order[new]
 
@@ -217,30 +222,32 @@ def shared_anchors(rows: DataFrame, width: int, period: int) -> DataFrame:
     return asked.mapInArrow(lambda batches: stream_groups(batches, answer), "key long, place long").groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
-def marked(texts: Texts, of: np.ndarray, places: list[np.ndarray | None], *hashes: np.ndarray) -> np.ndarray:
-    """Which rows (their places in the chunk are of) have hashes that their text has at one of the named places."""
+def marked(texts: Texts, of: np.ndarray, places: pa.Array, h: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+    """Which rows (their places in the chunk are of) have the hash that their text has at one of the named places, a list by text.
+
+    A small table by some bits of the hashes leaves few other rows to look up.
+    """
     out = np.zeros(len(of), bool)
-    row = np.full(len(texts.text), -1)
+    sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+    text, place = np.repeat(np.arange(len(sizes)), sizes), places.flatten().to_numpy()
+    some = (place >= 0) & (place < texts.sizes[text])  # of texts with equal keys, another's places may be beyond this one's end
+    row = np.full(len(texts.text) + 1, -1)
     row[of] = np.arange(len(of))
-    edges = np.searchsorted(of, np.r_[texts.start, len(texts.text)])
-    for i, named in enumerate(places):
-        a, b = edges[i], edges[i + 1]
-        if named is None or a == b:
-            continue
-        named = named[(named >= 0) & (named < texts.sizes[i])] + texts.start[i]  # of texts with equal keys, another's places may be beyond this one
-        rows = row[named]
-        rows = rows[rows >= 0]
-        found = np.ones(b - a, bool) if len(rows) == b - a else np.isin(hashes[0][a:b], hashes[0][rows])
-        for h in hashes[1:]:
-            found &= np.isin(h[a:b], h[rows])
-        out[a:b] = found
+    named = row[texts.start[text[some]] + place[some]]
+    named = named[named >= 0]
+    out[named] = True
+    key = h ^ mixed(texts.text[of].astype(np.uint64))
+    low = (key & np.uint64(TABLE - 1)).astype(np.int64)
+    seen = np.zeros(TABLE, bool)
+    seen[low[named]] = True
+    rest = np.flatnonzero(seen[low] & ~out)
+    if len(rest):
+        named = named[np.argsort(key[named], kind="stable")]
+        found = named[np.minimum(np.searchsorted(key[named], key[rest]), len(named) - 1)]
+        out[rest] = (key[found] == key[rest]) & (True if g is None else g[found] == g[rest])
     return out
 
 
-def lists_of(column: pa.Array) -> list[np.ndarray | None]:
-    return [None if x is None else np.array(x, np.int64) for x in column.to_pylist()]
-
-
 def asked_windows(rows: DataFrame, width: int, period: int) -> DataFrame:
     """(h, g, key, same, mark): windows that hold a shared anchor, of each one row a chunk for the smallest key and answers for the others."""
 
@@ -250,7 +257,7 @@ def asked_windows(rows: DataFrame, width: int, period: int) -> DataFrame:
                 texts = Texts.of(batch.column("text"))
                 at, h = texts.anchors(width, period)
                 shared = np.zeros(len(texts.text) + 1, np.int64)
-                shared[at[marked(texts, at, lists_of(batch.column("places")), h)]] = 1
+                shared[at[marked(texts, at, batch.column("places"), h)]] = 1
                 before = np.r_[0, shared.cumsum()]
                 at, h, g = texts.windows(width)
                 some = np.flatnonzero(before[at + period] > before[at])  # anchors begin in the window's first words
@@ -258,7 +265,7 @@ def asked_windows(rows: DataFrame, width: int, period: int) -> DataFrame:
                 some = first_places(texts.text[at], h, g)
                 if not len(some):
                     continue
-                at, h, g = at[some], h[some], g[some]
+                at, h, g = at[some], h[some], g[some]  # rows with equal h and other g, should there be any, are groups of their own
                 key, same, place = batch.column("key").to_numpy()[texts.text[at]], batch.column("same").to_numpy()[texts.text[at]], texts.place[at]
                 starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
                 group = labels(starts, len(h))
@@ -299,25 +306,36 @@ def repeated_windows(rows: DataFrame, width: int, period: int) -> DataFrame:
 
 def remove(rows: DataFrame, width: int) -> DataFrame:
     """(key, n_words, spans, kept) of rows with the places of their windows that go."""
+    kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def parts(batch):
+        """(number of words, spans, kept) by row; only texts with something to lose are hashed."""
+        some = batch.filter(batch.column("gone").is_valid())
+        if some.num_rows:
+            texts = Texts.of(some.column("text"))
+            at, h, g = texts.windows(width)
+            gone = at[marked(texts, at, some.column("gone"), h, g)]
+            depth = np.zeros(len(texts.text) + 1, np.int64)
+            depth[gone] += 1
+            np.add.at(depth, gone + width, -1)
+            covered = depth[:-1].cumsum() > 0
+            changed = iter(zip(texts.words, texts.start.tolist(), texts.sizes.tolist(), strict=True))
+        for text, loses in zip(utf8(batch.column("text")), batch.column("gone").is_valid().to_pylist(), strict=True):
+            if not loses:
+                w = text.split()
+                yield len(w), [], b" ".join(w)
+                continue
+            w, a, n = next(changed)
+            away = covered[a : a + n]
+            edges = np.flatnonzero(np.diff(np.r_[False, away, False])).tolist()
+            stays = [0, *edges, n]
+            yield n, [{"start": s, "length": e - s} for s, e in zip(edges[::2], edges[1::2], strict=True)], b" ".join(x for s, e in zip(stays[::2], stays[1::2], strict=True) for x in w[s:e])
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, "text"):
-                texts = Texts.of(batch.column("text"))
-                at, h, g = texts.windows(width)
-                gone = at[marked(texts, at, lists_of(batch.column("gone")), h, g)]
-                depth = np.zeros(len(texts.text) + 1, np.int64)
-                depth[gone] += 1
-                np.add.at(depth, gone + width, -1)
-                covered = depth[:-1].cumsum() > 0
-                kept, spans = [], []
-                for w, a, n in zip(texts.words, texts.start.tolist(), texts.sizes.tolist(), strict=True):
-                    away = covered[a : a + n]
-                    edges = np.flatnonzero(np.diff(np.r_[False, away, False])) if away.any() else np.zeros(0, np.int64)
-                    spans.append([{"start": s, "length": e - s} for s, e in edges.reshape(-1, 2).tolist()])
-                    kept.append(b" ".join([w[j] for j in np.flatnonzero(~away).tolist()] if len(edges) else w))
-                kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts.sizes), pa.array(spans, kinds), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "spans", "kept"])
+                sizes, spans, kept = zip(*parts(batch), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.binary()).cast(pa.string())], ["key", "n_words", "spans", "kept"])
 
     return rows.mapInArrow(run, "key long, n_words long, spans array<struct<start:long,length:long>>, kept string")
 
