@@ -45,6 +45,46 @@ def spread_quantiles(df: DataFrame, features: list[str], wanted: list[float], ra
     return found.groupBy("feature").pivot("name", [f"q_{q:g}".replace(".", "_") for q in wanted]).agg(F.sum(F.col("value") * F.col("weight")))
 
 
+def quantile_name(q: float) -> str:
+    return f"q_{q:g}".replace(".", "_")
+
+
+def grouped_quantiles(df: DataFrame, value: str, keys: list[str], wanted: list[float], ranges: int | None = None) -> DataFrame:
+    """(keys, q_...): exact quantiles of each group, interpolated between neighbours, without holding a group in one task.
+
+    Equal values of a group are counted first. Cut points over all rows deal the values into ranges; a group's counts by
+    range tell which ranges its quantiles lie in, and only these are put in order, a range of a group at a time: no more
+    than about one range's share of all rows. Null and NaN values are left out; a group without others has no row.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value_of = F.col(value).cast("double")
+    rows = df.filter(value_of.isNotNull() & ~F.isnan(value_of)).select(*keys, value_of.alias("__v"))
+    cuts = sorted(set(rows.approxQuantile("__v", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__v"))) if cuts else F.lit(0)
+    counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n")).withColumn("__range", place)
+    sizes = counted.groupBy(*keys, "__range").agg(F.sum("__n").alias("__n"))
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("__n").over(by.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = sizes.select(*keys, F.col("__range").alias("__r"), "__n", before.alias("__before"), F.sum("__n").over(by).alias("__all"))
+    at = [F.lit(q) * (F.col("__all") - 1) for q in wanted]
+    ends = [f(a).cast("long") for a in at for f in (F.floor, F.ceil)]
+    holds = sum(((e >= F.col("__before")) & (e < F.col("__before") + F.col("__n"))).cast("int") for e in ends) > 0
+    some = sized.filter(holds).drop("__n").withColumnsRenamed({k: f"__of_{i}" for i, k in enumerate(keys)})
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{i}"))
+    joined = counted.join(some, same)
+    walk = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("__first", F.col("__before") + F.coalesce(F.sum("__n").over(walk), F.lit(0)))
+    hit = lambda e: F.max(F.when((e >= F.col("__first")) & (e < F.col("__first") + F.col("__n")), F.col("__v")))
+    part = lambda a: F.max(a - F.floor(a))
+    out = []
+    for q, a in zip(wanted, at, strict=True):
+        low, high = hit(F.floor(a).cast("long")), hit(F.ceil(a).cast("long"))
+        out.append((low + (high - low) * part(a)).alias(quantile_name(q)))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def feature_stats(df: DataFrame, features: list[str], by_location: bool = False, quantiles: tuple[float, ...] | None = QUANTILES, ranges: int | None = None) -> DataFrame:
     """Per feature (and location): n_obs, n_missing, fraction_missing, n_trailing_missing, mean, min, max and quantiles.
 
@@ -81,14 +121,22 @@ def observed(df: DataFrame, features: list[str], name: str = "features") -> tupl
     return df.observe(watched, F.count(F.lit(1)).alias("n_obs"), *counts), watched
 
 
-def range_stats(df: DataFrame, value: str, end: str) -> DataFrame:
-    """Per location and for all: last observation, freshness in seconds before ``end`` (for all: the smallest), presence, range, quartiles."""
+def range_stats(df: DataFrame, value: str, end: str, ranges: int | None = None) -> DataFrame:
+    """Per location and for all: last observation, freshness in seconds before ``end`` (for all: the smallest), presence, range, quartiles.
+
+    The quartiles hold a group's different values in one task; with ``ranges`` they are taken by grouped_quantiles.
+    """
     v = F.col(value)
     last = F.max(F.when(v.isNotNull(), F.col("date_time")))
+    quartiles = [] if ranges else [F.percentile(v, 0.25).alias("q_25"), F.percentile(v, 0.75).alias("q_75")]
     stats = df.rollup("location").agg(
         F.grouping("location").alias("__all"), last.alias("most_recent_non_null"), F.count("*").alias("n_stats"), F.count_if(v.isNull()).alias("n_missing"), F.count(v).alias("n_present"),
-        (F.count_if(v.isNull()) / F.count("*")).alias("fraction_missing"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("q_25"), F.percentile(v, 0.75).alias("q_75"), F.max(v).alias("max"),
+        (F.count_if(v.isNull()) / F.count("*")).alias("fraction_missing"), F.avg(v).alias("mean"), F.min(v).alias("min"), *quartiles, F.max(v).alias("max"),
     )
+    if ranges:
+        each = grouped_quantiles(df, value, ["location"], [0.25, 0.75], ranges).select(F.lit(0).alias("__a"), F.col("location").alias("__l"), F.col("q_0_25").alias("q_25"), F.col("q_0_75").alias("q_75"))
+        every = grouped_quantiles(df, value, [], [0.25, 0.75], ranges).select(F.lit(1).alias("__a"), F.lit(None).cast("string").alias("__l"), F.col("q_0_25").alias("q_25"), F.col("q_0_75").alias("q_75"))
+        stats = stats.join(each.unionByName(every), (F.col("__all") == F.col("__a")) & F.col("location").eqNullSafe(F.col("__l")), "left").drop("__a", "__l")
     fresh = F.timestamp_diff("SECOND", F.col("most_recent_non_null"), F.lit(end).cast("timestamp_ntz"))
     return stats.withColumn("location", F.when(F.col("__all") == 1, F.lit("all")).otherwise(F.col("location"))).withColumn("freshness", fresh).drop("__all")
 
