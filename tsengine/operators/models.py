@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.operators import filters as flt
-from tsengine.operators import align, metrics, monitor, trees
+from tsengine.operators import align, metrics, monitor, networks, trees
 
 
 def linear(**params):
@@ -49,7 +49,7 @@ ESTIMATORS: dict[str, Callable] = {
 
 
 #: Estimators of this library: fit(rows, features, label, **params) gives what predicts as a column; their class by name, for loading.
-OWN: dict[str, tuple[Callable, type]] = {"learned_trees": (trees.fit, trees.Ensemble)}
+OWN: dict[str, tuple[Callable, type]] = {"learned_trees": (trees.fit, trees.Ensemble), "network": (networks.fit, networks.Network)}
 
 #: What the data give to an estimator whose penalty depends on them.
 FROM_DATA = {"ridge": ("n_rows", "label_sd"), "elastic_net": ("label_sd",)}
