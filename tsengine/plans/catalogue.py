@@ -7,6 +7,7 @@ Doubles are rounded to six digits without a negative zero in both engines; ranks
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tsengine.functions import calendar as cal
 from tsengine.functions.values import clamp, difference, flatten_distinct, kelvin_to_celsius, ordered_distinct, tidy, zeros_to_null
 from tsengine.operators import aggregates as agg
-from tsengine.operators import align, backtest, features, filters, gaps, metrics, models, moments, monitor, pv, trees, windows
+from tsengine.operators import align, backtest, features, filters, gaps, lowess, metrics, models, moments, monitor, pv, trees, windows
 from tsengine.operators.domain import KEYS, Domain, faults, with_padding
 from tsengine.sources import series
 from tsengine.streaming import series as streams
@@ -327,6 +328,23 @@ def convolution_valid(spark, d):
     return windows.convolve(events(spark, d), "value", [0.5, 0.3, 0.2]).select(*KEYS, tidy(F.col("convolved")).alias("convolved"))
 
 
+def _lines(source: str, weight: str) -> str:
+    """In SQL: lines through the nine nearest days of each day, by tricube times another weight."""
+    return f"""SELECT *, CASE WHEN s > 0 THEN l - m * ((sy - m * l) / s) ELSE l END AS t FROM (SELECT location, x, any_value(y) AS y, sum(w * a) / sum(w) AS m, sum(w * v) / sum(w) AS l, sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2 AS s, sum(w * a * v) / sum(w) AS sy
+FROM (SELECT *, (1 - (abs(a) / max(abs(a)) OVER (PARTITION BY location, x)) ** 3) ** 3 * b AS w FROM (SELECT p.location, p.x, p.y, q.x - p.x AS a, q.y AS v, q.{weight} AS b, row_number() OVER (PARTITION BY p.location, p.x ORDER BY abs(q.x - p.x), q.x) AS i FROM {source} p JOIN {source} q USING (location)) WHERE i <= 9) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH days AS (SELECT event_type AS location, date_trunc('day', ts)::TIMESTAMP AS date_time, sum(value) AS y FROM events GROUP BY 1, 2), n AS (SELECT location, date_diff('day', TIMESTAMP '1970-01-01', date_time)::DOUBLE AS x, y, 1.0 AS one FROM days),
+f AS ({_lines("n", "one")}), c AS (SELECT location, median(abs(y - t)) AS e FROM f GROUP BY 1), r AS (SELECT location, x, y, CASE WHEN abs(y - t) < 6 * e THEN (1 - (abs(y - t) / (6 * e)) ** 2) ** 2 ELSE 0.0 END AS b FROM f JOIN c USING (location)), g AS ({_lines("r", "b")})
+SELECT location, date_time, {r("y")} AS value, {r("t")} AS trend FROM days JOIN g USING (location, y) WHERE g.x = date_diff('day', TIMESTAMP '1970-01-01', date_time)""")
+def trend_lowess(spark, d):
+    """A robust trend of daily sums through the nine nearest days."""
+    raw = series.from_table(table(spark, d, "events"), "event_type", "ts", {"value": "value"})
+    days = raw.groupBy("location", agg.bucket(F.col("date_time"), "day").alias("date_time")).agg(F.sum("value").alias("value"))
+    out = lowess.lowess(days, "date_time", "value", 9, 1, ["location"])
+    return out.select(*KEYS, tidy(F.col("value")).alias("value"), tidy(F.col("trend")).alias("trend"))
+
+
 MONTH = "date_trunc('month', date_time)"
 
 
@@ -410,6 +428,13 @@ def range_stats(spark, d):
     return out.withColumns({c: tidy(F.col(c)) for c in ("fraction_missing", "mean", "q_25", "q_75")})
 
 
+@query(ORACLE_SQL["range_stats"])
+def range_stats_by_ranges(spark, d):
+    """The same, its quartiles taken by ranges: no task holds a group's values."""
+    out = monitor.range_stats(events(spark, d), "value", HOURS.end, ranges=16)
+    return out.withColumns({c: tidy(F.col(c)) for c in ("fraction_missing", "mean", "q_25", "q_75")})
+
+
 # ---- metrics, back-tests, gaps ---------------------------------------------------------------------------------------
 METRICS = {
     "explained_variance": "1 - var_pop(y - p) / nullif(var_pop(y), 0)", "max_error": "max(abs(y - p))", "mean_absolute_error": "avg(abs(y - p))", "mean_squared_error": "avg((y - p) * (y - p))", "root_mean_squared_error": "sqrt(avg((y - p) * (y - p)))",
@@ -545,6 +570,14 @@ def _known_days(spark, d):
     return _lag_frame(spark, d).select(*KEYS, "value", "lag_24_hour", F.hour(t).alias("hour"), F.when(F.col("lag_24_hour").isNotNull(), F.weekday(t) + 1).alias("day"))
 
 
+@query()
+def network_forecast(spark, d):
+    """A neural regressor on the reading of the day before and the time of day."""
+    df = _lag_frame(spark, d).withColumns({"sin": F.sin(F.hour("date_time") * math.pi / 12), "cos": F.cos(F.hour("date_time") * math.pi / 12)})
+    model = models.TimeSeriesModel(["lag_24_hour", "sin", "cos"], estimator="network", params={"hidden": (8,), "rounds": 20, "rate": 0.1})
+    return model.fit(df.filter("date_time < TIMESTAMP_NTZ '2024-01-25'")).predict(df)
+
+
 @query()
 def tree_attributions(spark, d):
     """What each feature adds to a prediction of boosted trees, row by row."""
