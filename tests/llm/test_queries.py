@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tsengine.llm import chat, lm, media, quality, simhash, toxicity, url_filters
+from tsengine.llm import chat, lm, media, packing, pieces, quality, simhash, toxicity, url_filters
 from tsengine.llm.queries import QUERIES
 
 WORDS = "river stone candle orchard winter harbour letter garden copper bridge silver meadow thunder window lantern forest market village".split()
@@ -179,6 +179,95 @@ def test_the_model_depends_on_the_rows_alone(spark, monkeypatch):
     assert len(held_out) > 5 and sum(r.score for r in held_out) > 0.95 * sum(r.base_score for r in held_out)
 
 
+def plain_nce(texts, lexicon):
+    """The walk token by token in float64: parameters after noise-contrastive steps with Adagrad."""
+    fresh, k = np.random.default_rng(7), lexicon.classes
+    context, target = (fresh.normal(0, 0.1, (k, lm.DIMENSIONS)).astype(np.float32).astype(float) for _ in range(2))
+    inner, member = (fresh.normal(0, 0.1, (n, lm.INNER)).astype(np.float32).astype(float) for n in (k, len(lexicon.group)))
+    p = {"context": context, "target": target, "place": np.ones((2, lm.DIMENSIONS)), "bias": np.log(lexicon.unigram), "inner": inner, "member": member, "member_bias": np.log(lexicon.member_share)}
+    squares = {name: np.full(x.shape, 1e-8) for name, x in p.items()}
+    tokens = []
+    for text in texts:
+        one = two = lm.END
+        for w in [*words(text), None]:
+            at = None if w is None else lexicon.place[w]
+            c, m = (lm.END, -1) if w is None else (int(lexicon.of_place[at]), int(lexicon.member_at[at]))
+            tokens.append((c, m, one, two))
+            one, two = c, one
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    rng, log_k = np.random.default_rng((0, 0)), math.log(lm.NOISE)
+    for start in range(0, len(tokens), lm.BATCH):
+        batch = tokens[start : start + lm.BATCH]
+        steps = {name: np.zeros_like(x) for name, x in p.items()}
+        drawn = [int(np.searchsorted(lexicon.unigram.cumsum(), u)) for u in rng.random(lm.NOISE)]
+        noise = [int(np.searchsorted(lexicon.member_share.cumsum(), u)) for u in rng.random(lm.NOISE)] if any(m >= 0 for _, m, _, _ in batch) else []
+        log_noise, log_share = np.log(lexicon.unigram), np.log(lexicon.member_share)
+        for c, m, one, two in batch:
+            s = p["context"][one] * p["place"][0] + p["context"][two] * p["place"][1]
+            pull = np.zeros(lm.DIMENSIONS)
+            for at, sign in ((c, 1), *((d, 0) for d in drawn)):
+                g = sign - sigmoid(s @ p["target"][at] + p["bias"][at] - log_noise[at] - log_k)
+                pull += g * p["target"][at]
+                steps["target"][at] += g * s
+                steps["bias"][at] += g
+            steps["context"][one] += pull * p["place"][0]
+            steps["context"][two] += pull * p["place"][1]
+            steps["place"][0] += pull * p["context"][one]
+            steps["place"][1] += pull * p["context"][two]
+            if m >= 0:
+                for at, sign in ((m, 1), *((d, 0) for d in noise)):
+                    g = sign - sigmoid(p["inner"][one] @ p["member"][at] + p["member_bias"][at] - log_share[at] - log_k)
+                    steps["inner"][one] += g * p["member"][at]
+                    steps["member"][at] += g * p["inner"][one]
+                    steps["member_bias"][at] += g
+        for name, x in p.items():
+            step = steps[name] / len(batch)
+            squares[name] += step * step
+            x += lm.RATE * step / np.sqrt(squares[name])
+    return p
+
+
+def test_op1_is_a_walk_token_by_token(spark, folder):
+    docs = rows_of(folder, "documents")
+    counts = Counter()
+    for d in docs:
+        if fold(d["doc_id"], 10):
+            counts.update([*words(d["text"]), b""])
+    total, end = sum(counts.values()), counts[b""]
+    frequent = sorted(((w, n) for w, n in counts.items() if w), key=lambda r: (-r[1], r[0]))
+    lexicon = lm.Lexicon([w for w, _ in frequent], [n for _, n in frequent], end, total, len(counts), {})
+    assert lexicon.groups > 3
+
+    def order(d):  # xxhash64 of id and text, each seeded by the one before; a null changes nothing
+        h = 42
+        for x in (None if d["doc_id"] is None else str(d["doc_id"]), d["text"] or ""):
+            h = h if x is None else xxhash.xxh64_intdigest(x.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    p = plain_nce([d["text"] for d in sorted((d for d in docs if fold(d["doc_id"], 10)), key=order)], lexicon)
+    got = defaultdict(list)
+    for r in QUERIES["op1_lm"](spark, folder).collect():
+        got[r.doc_id].append(r)
+    for d in docs:
+        one = two = lm.END
+        score = 0.0
+        for w in [*words(d["text"]), None]:
+            at = None if w is None else lexicon.place[w]
+            c, m = (lm.END, -1) if w is None else (int(lexicon.of_place[at]), int(lexicon.member_at[at]))
+            odds = p["target"] @ (p["context"][one] * p["place"][0] + p["context"][two] * p["place"][1]) + p["bias"]
+            score += odds[c] - np.logaddexp.reduce(odds)
+            if m >= 0:
+                inside = np.flatnonzero(lexicon.group == lexicon.group[m])
+                odds = p["member"][inside] @ p["inner"][one] + p["member_bias"][inside]
+                score += odds[inside == m][0] - np.logaddexp.reduce(odds)
+            elif c < lm.END:  # a word that training hasn't: its share of an empty class
+                score += math.log(lm.SMOOTH / lm.SMOOTH)
+            one, two = c, one
+        n = len(words(d["text"])) + 1
+        r = next(r for r in got[d["doc_id"]] if r.n_tokens == n)
+        assert r.score == pytest.approx(score / math.log(10), abs=2e-4 * n + 1e-3)
+
+
 # ---- op2 -------------------------------------------------------------------------------------------------------------
 def test_op2(spark, folder):
     docs, got = rows_of(folder, "documents"), QUERIES["op2_toxicity"](spark, folder).collect()
@@ -189,6 +278,47 @@ def test_op2(spark, folder):
     assert all(r.predicted == ("vile" in text[r.doc_id]) for r in got if len(text[r.doc_id].split()) > 50)
 
 
+def plain_features(text):
+    """The set of places of a text's features, one feature at a time."""
+    odd, even, top = int(toxicity.NEXT), int(toxicity.SKIP), 1 << 64
+    bare = [w.strip(toxicity.PUNCTUATION) for w in words(text)]
+    h = [xxhash.xxh3_64_intdigest(w) for w in bare]
+    found = [*h, *(xxhash.xxh3_64_intdigest(b"\0" + w.decode("utf-8", "replace")[: toxicity.STEM].encode()) for w in bare)]
+    found += [(a * odd + b) % top for a, b in zip(h, h[1:], strict=False)] + [(a * even + b) % top for a, b in zip(h, h[2:], strict=False)]
+    return sorted({(x * odd % top) >> (64 - toxicity.BITS) for x in found})
+
+
+def test_op2_is_a_walk_over_dictionaries(spark, folder):
+    docs, got = rows_of(folder, "documents"), QUERIES["op2_toxicity"](spark, folder).collect()
+    marks = defaultdict(int)
+    for r in rows_of(folder, "labels"):
+        if r["doc_id"] is not None and r["toxic"] in (0, 1):
+            marks[r["doc_id"]] = max(marks[r["doc_id"]], r["toxic"])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    held = {d["doc_id"]: plain_features(d["text"]) for d in docs if d["doc_id"] in marks and fold(d["doc_id"], 4) != 2}
+    sample = sorted((signed(xxhash.xxh64_intdigest(str(k).encode(), 42)), marks[k], at) for k, at in held.items())
+    share = (sum(y for _, y, _ in sample) + toxicity.PRIOR * toxicity.PRIOR_ROWS) / (len(sample) + toxicity.PRIOR_ROWS)
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), math.log(share / (1 - share)), 0.0
+    alpha, beta, l1, l2 = 1.0, 1.0, 6.0, 0.1
+
+    def weight(at):
+        return 0.0 if abs(z[at]) <= l1 else -(z[at] - math.copysign(l1, z[at])) / ((beta + math.sqrt(n[at])) / alpha + l2)
+
+    for _ in range(4):
+        for _, y, places in sample:
+            w = {at: weight(at) for at in places}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for at in places:
+                z[at] += g - (math.sqrt(n[at] + g * g) - math.sqrt(n[at])) / alpha * w[at]
+                n[at] += g * g
+            bias_n += g * g
+            bias -= alpha / (beta + math.sqrt(bias_n)) * g
+    want = Counter()
+    for d in docs:
+        want[d["doc_id"], round(1 / (1 + math.exp(-(sum(weight(at) for at in plain_features(d["text"])) + bias))), 5)] += 1
+    assert len(sample) > 20 and Counter((r.doc_id, round(r.score, 5)) for r in got) == want
+
+
 # ---- op3 -------------------------------------------------------------------------------------------------------------
 def plain_tree(pages, rules):
     """Verdicts of (host, path) pairs by a recursive version of the tree over dictionaries."""
@@ -401,6 +531,60 @@ def test_op6(spark, folder):
         assert r.good == pytest.approx(posterior[r.votes], abs=2e-6) and r.kept == (not r.base_failed and posterior[r.votes] >= quality.KEEP)
 
 
+# ---- op7, op8, op10 --------------------------------------------------------------------------------------------------
+def test_op7(spark, folder):
+    from tokenizers import Tokenizer
+
+    docs, tokenizer = rows_of(folder, "documents"), Tokenizer.from_str(packing.word_tokenizer())
+    want = Counter()
+    for d in docs:
+        ids = [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 2048):
+            part = ids[start : start + 2048]
+            want[d["doc_id"], start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    got = QUERIES["op7_packing"](spark, folder).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for held in sequences.values():
+        ends = [a + n for a, n in sorted(held)]
+        assert [a for a, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(sequences) <= -(-sum(r.length for r in got) // 2048) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_op8(spark, folder):
+    from sentencepiece import SentencePieceProcessor
+
+    docs, library = rows_of(folder, "documents"), SentencePieceProcessor(model_proto=pieces.piece_model())
+    got = QUERIES["op8_pieces"](spark, folder).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = Counter((d["doc_id"], len(ids), crc(ids)) for d in docs for ids in [library.encode(d["text"] or "")])
+    assert Counter((r.doc_id, r.n_pieces, r.ids_crc32) for r in got) == want
+    whole = pieces.encode(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", pieces.piece_model()).collect()
+    digest = lambda r, s: (r.doc_id, tuple(sorted(s)))
+    assert Counter(digest(r, [(x.n_pieces, x.ids_crc32, x.log_p, x.log_inclusion) for x in r.samples]) for r in got) == Counter(digest(r, [(len(x.ids), crc(x.ids), x.log_p, x.log_inclusion) for x in r.samples]) for r in whole)
+    texts = defaultdict(set)
+    for d in docs:
+        texts[d["doc_id"]].add(d["text"] or "")
+    for r in whole:
+        assert len({tuple(x.ids) for x in r.samples}) == len(r.samples)
+        if r.whole:
+            assert {library.decode(list(r.ids))} | {library.decode(list(x.ids)) for x in r.samples} <= texts[r.doc_id]
+
+
+def test_op10(spark, folder):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, tokenizer = rows_of(folder, "documents"), Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = Counter()
+    for d in docs:
+        n = len(tokenizer.encode(d["text"] or "", add_special_tokens=False).ids)
+        want[d["doc_id"], len((d["text"] or "").encode()), n, n > 512] += 1
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_tokens", "over_limit")) for r in QUERIES["op10_token_counts"](spark, folder).collect()) == want
+
+
 # ---- op9 -------------------------------------------------------------------------------------------------------------
 def test_op9(spark, folder, monkeypatch):
     monkeypatch.setattr(media, "TILE_ROWS", 100)  # long texts have many tiles
