@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import struct
 import time
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tsengine.llm import chat, lm, media, packing, pieces, quality, simhash, toxicity, url_filters
+from tsengine.llm import chat, common, lm, media, packing, pieces, quality, simhash, toxicity, url_filters
 from tsengine.llm.queries import QUERIES
 
 WORDS = "river stone candle orchard winter harbour letter garden copper bridge silver meadow thunder window lantern forest market village".split()
@@ -95,6 +96,14 @@ def test_empty_tables(spark, nothing, name):
     assert got == [] or name == "op5_chat" and [r.conv_id for r in got] == [-7]
 
 
+def test_tables_left_in_the_shared_folder_can_be_released(spark, folder):
+    found = QUERIES["op3_urls"](spark, folder)
+    standing = [p for p, app in common._STANDING.items() if app == spark.sparkContext.applicationId]
+    assert found.count() and any(os.path.isdir(p.removeprefix("file:")) for p in standing)
+    common.release(spark)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in standing) and not any(p in common._STANDING for p in standing)
+
+
 def test_pipeline_of_nothing(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0
 
@@ -349,10 +358,11 @@ def plain_tree(pages, rules):
         t += "".join("/" + s for s in rests[0][:same])
         held = [(k, r[same:], c) for k, r, c in held]
         bad, labelled = (sum(c[i] for _, _, c in held) for i in (1, 2))
+        split = 0 < bad < labelled and labelled >= url_filters.ALIKE**2
         for k, r, _ in held:
-            if not r or not 0 < bad < labelled:
+            if not r or not split:
                 template[k] = t + ("/**" if r else "")
-        if not 0 < bad < labelled:
+        if not split:
             return
         children = defaultdict(list)
         for k, r, c in held:

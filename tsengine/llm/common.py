@@ -67,6 +67,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths that this driver has written and not removed, and the application that they belong to.
+_STANDING: dict[str, str] = {}
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has; release() removes what stands there."""
+    path = f"{shared_dir(spark)}/tsengine-{what}-{uuid.uuid4().hex}"
+    _STANDING[path] = spark.sparkContext.applicationId
+    return path
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in list(paths):
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        _STANDING.pop(path, None)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this subpackage's queries have left in the shared folder. Call it when their results have been read: these are lazy, and need them until then."""
+    discard(spark, [p for p, app in _STANDING.items() if app == spark.sparkContext.applicationId])
 
 
 def materialise(df: DataFrame, what: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
@@ -75,13 +96,11 @@ def materialise(df: DataFrame, what: str, instead_of: Iterable[DataFrame] = ())
     instead_of: frames that materialise gave and that nothing reads any more; their files are removed once the new ones stand.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tsengine-{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[found] = path
-    for old in instead_of:
-        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(old))
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    discard(spark, [_WRITTEN.pop(old) for old in instead_of])
     return found
 
 

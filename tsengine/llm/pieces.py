@@ -390,7 +390,7 @@ def encode(df: DataFrame, key: str, text: str, model: bytes, k: int = SAMPLES, a
 
 
 def decode(df: DataFrame, ids: str, model: bytes, name: str = "decoded") -> DataFrame:
-    """The input with the text that a column of ids stands for; null ids give null."""
+    """The input with the text that a column of ids stands for; null ids give null. An existing column of the result's name is replaced."""
     from pyspark.sql.types import StringType, StructType
 
     sent, held = df.sparkSession.sparkContext.broadcast(model), new_name("decoder")

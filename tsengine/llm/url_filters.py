@@ -3,8 +3,9 @@
 Every host's paths form a tree of segments, grown level by level from the host, as deep as the paths go:
 
 * segments that all paths below a node share are taken at once (a chain of any length is one level);
-* a node whose labels can't support a split, because it has none or all are alike, is finished: its template ends in
-  ``**`` and stands for every path below it, as splitting it further could tell nothing apart;
+* a node whose labels can't support a split is finished: it has none, all are alike, or there are so few (under
+  ``ALIKE`` squared) that no division of them, not even of good from bad ones, passes the test below. Its template ends
+  in ``**`` and stands for every path below it, as splitting it further could tell nothing apart;
 * a node under which too many different segments hang (``VARIABLE``, ``HELD``, ``MOST``) is variable: its children become
   one wildcard, ``*``. Segments that are mostly digits are written ``#`` beforehand, with their extension kept;
 * else the children are sorted by their labelled purity and walked: a child that can't be told from the group before it
@@ -28,12 +29,10 @@ gives no rows; null ids are kept. Other columns are left alone.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import join_hot, materialise, table
+from tsengine.llm.common import join_hot, materialise, new_path, table
 
 #: A node is variable with more than so many different child segments, unless each holds at least so many urls on average; with more than MOST it always is.
 VARIABLE, HELD, MOST = 12, 50, 1000
@@ -120,16 +119,18 @@ def grow(urls: DataFrame) -> DataFrame:
     counted = urls.groupBy("host", "path").agg(F.any_value("s").alias("rest"), F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     left = materialise(counted.withColumn("node", F.col("host")).withColumn("t", F.lit("")), "paths")
     kept = ["host", "path", *SUMS, "t"]
-    done, before = [], [left]
+    folder, before = new_path(urls.sparkSession, "finished"), [left]
+    finished = left.select(*kept).schema
     while paths := left.count():
         node = left.groupBy("node").agg(F.count("*").alias("weight"), *sums("all_"), shared(F.min("rest"), F.max("rest")).alias("same"))
-        split = (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled"))
+        split = (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")) & (F.col("all_labelled") >= ALIKE**2)
         met = join_hot(left, node.select("node", "weight", "same", split.alias("split")), ["node"], "weight", paths)
         own = lambda: F.slice("rest", 1, F.col("same"))
         t = F.when(F.col("same") > 0, F.concat("t", F.lit("/"), F.array_join(own(), "/"))).otherwise(F.col("t"))
         met = met.withColumn("t", t).withColumn("rest", F.slice("rest", F.col("same") + 1, F.size("rest"))).drop("same")
         at = materialise(met, "level")
-        done.append(at.filter((F.size("rest") == 0) | ~F.col("split")).withColumn("t", F.when(F.size("rest") == 0, F.col("t")).otherwise(F.concat("t", F.lit("/**")))).select(*kept))
+        done = at.filter((F.size("rest") == 0) | ~F.col("split")).withColumn("t", F.when(F.size("rest") == 0, F.col("t")).otherwise(F.concat("t", F.lit("/**"))))
+        done.select(*kept).write.mode("append").parquet(folder)
         open_ = at.filter((F.size("rest") > 0) & F.col("split")).drop("split").withColumn("own", F.col("rest")[0])
         branch = materialise(open_.groupBy("node", "own").agg(F.count("*").alias("rows"), *sums()), "branches", instead_of=before)
         kinds = branch.groupBy("node").agg(F.count("*").alias("weight"), F.sum("n").alias("all_n"))
@@ -140,8 +141,8 @@ def grow(urls: DataFrame) -> DataFrame:
         named = branch.join(few, ["node", "own"], "left").select("node", "own", F.coalesce("name", F.lit("*")).alias("name"), F.col("rows").alias("weight"))
         grown = join_hot(open_, named, ["node", "own"], "weight", paths)
         left = materialise(grown.select("host", "path", F.slice("rest", 2, F.size("rest")).alias("rest"), *SUMS, F.md5(F.concat("node", F.lit("/"), "name")).alias("node"), F.concat("t", F.lit("/"), "name").alias("t")), "paths")
-        before = [branch, left]
-    return reduce(DataFrame.unionByName, done) if done else left.select(*kept)
+        before = [at, branch, left]
+    return urls.sparkSession.read.schema(finished).parquet(folder) if len(before) > 1 else left.select(*kept)
 
 
 def judge(urls: DataFrame) -> DataFrame:
