@@ -175,28 +175,26 @@ class Model:
             at += x.size
 
     def learn(self, target: np.ndarray, member: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator) -> None:
-        """One step up the noise-contrastive likelihood of a batch."""
+        """One step up the noise-contrastive likelihood of a batch. Only rows of words that it holds, or that are drawn, are touched."""
         drawn = np.minimum(np.searchsorted(self.noise, rng.random(NOISE)), len(self.bias) - 1)
         first, second = self.context[one], self.context[two]
         sums = first * self.place[0] + second * self.place[1]
         vectors, drawn_vectors = self.target[target], self.target[drawn]
-        log_k = np.float32(math.log(NOISE))
+        log_k, n = np.float32(math.log(NOISE)), np.float32(1 / len(target))
         good = sigmoid(log_k + self.log_noise[target] - np.einsum("ij,ij->i", sums, vectors) - self.bias[target])
-        bad = -sigmoid(sums @ drawn_vectors.T + (self.bias - self.log_noise)[drawn] - log_k)
-        pull = good[:, None] * vectors + bad @ drawn_vectors
-        n = np.float32(1 / len(target))
-        steps = [np.zeros_like(x) for x in self.parameters()[:4]]
-        scatter(steps[0], one, pull * self.place[0])
-        scatter(steps[0], two, pull * self.place[1])
-        scatter(steps[1], target, good[:, None] * sums)
-        np.add.at(steps[1], drawn, bad.T @ sums)
-        steps[2][0], steps[2][1] = np.einsum("ij,ij->j", pull, first), np.einsum("ij,ij->j", pull, second)
-        steps[3] += np.bincount(target, good, len(self.bias)).astype(np.float32)
-        np.add.at(steps[3], drawn, bad.sum(axis=0))
-        for x, step, square in zip(self.parameters(), steps, self.squares, strict=False):
-            step *= n
-            square += step * step
-            x += np.float32(RATE) * step / np.sqrt(square)
+        bad = sigmoid(sums @ drawn_vectors.T + (self.bias - self.log_noise)[drawn] - log_k)
+        good *= n
+        bad *= -n
+        pull = good[:, None] * vectors
+        pull += bad @ drawn_vectors
+        place = np.stack([np.einsum("ij,ij->j", pull, first), np.einsum("ij,ij->j", pull, second)])
+        before = np.concatenate([pull * self.place[0], pull * self.place[1]])
+        sums_bad = bad.T @ sums
+        sums *= good[:, None]
+        self.step(np.concatenate([one, two]), {0: before})
+        self.step(np.concatenate([target, drawn]), {1: np.concatenate([sums, sums_bad]), 3: np.concatenate([good, bad.sum(axis=0)])})
+        self.squares[2] += place * place
+        self.place += np.float32(RATE) * place / np.sqrt(self.squares[2])
         some = np.flatnonzero(member >= 0)
         if len(some):
             self.learn_members(member[some], one[some], n, rng)
@@ -206,21 +204,28 @@ class Model:
         drawn = np.minimum(np.searchsorted(self.inner_noise, rng.random(NOISE)), len(self.member_bias) - 1)
         queries, vectors, drawn_vectors = self.inner[one], self.member[member], self.member[drawn]
         log_k = np.float32(math.log(NOISE))
-        good = sigmoid(log_k + self.log_share[member] - np.einsum("ij,ij->i", queries, vectors) - self.member_bias[member]) * n
-        bad = -sigmoid(queries @ drawn_vectors.T + (self.member_bias - self.log_share)[drawn] - log_k) * n
-        words = np.r_[member, drawn]
-        self.step(4, one, good[:, None] * vectors + bad @ drawn_vectors)
-        self.step(5, words, np.r_[good[:, None] * queries, bad.T @ queries])
-        self.step(6, words, np.r_[good, bad.sum(axis=0)])
-
-    def step(self, i: int, rows: np.ndarray, steps: np.ndarray) -> None:
-        """Adds steps to some rows of a parameter, whose number of rows grows with the vocabulary: the others aren't touched."""
-        x, square = self.parameters()[i], self.squares[i]
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        at, step = rows[order][first], np.add.reduceat(steps[order], first, axis=0)
-        square[at] += step * step
-        x[at] += np.float32(RATE) * step / np.sqrt(square[at])
+        good = sigmoid(log_k + self.log_share[member] - np.einsum("ij,ij->i", queries, vectors) - self.member_bias[member])
+        bad = sigmoid(queries @ drawn_vectors.T + (self.member_bias - self.log_share)[drawn] - log_k)
+        good *= n
+        bad *= -n
+        self.step(one, {4: good[:, None] * vectors + bad @ drawn_vectors})
+        self.step(np.concatenate([member, drawn]), {5: np.concatenate([good[:, None] * queries, bad.T @ queries]), 6: np.concatenate([good, bad.sum(axis=0)])})
+
+    def step(self, rows: np.ndarray, steps: dict[int, np.ndarray]) -> None:
+        """Adds steps to some rows of parameters, by their number; the other rows aren't touched."""
+        size = len(self.parameters()[next(iter(steps))])
+        order = np.argsort(rows.astype(np.uint16 if size <= 65536 else rows.dtype), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        at = rows[first]
+        for i, more in steps.items():
+            x, square, step = self.parameters()[i], self.squares[i], np.add.reduceat(more[order], first, axis=0)
+            root = square[at] + step * step
+            square[at] = root
+            np.sqrt(root, out=root)
+            step *= np.float32(RATE)
+            step /= root
+            x[at] += step
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """Log10 scores by (class before, target), (class two before, target), log10 normalisers by both classes before, and those of groups by the class before."""
@@ -270,15 +275,12 @@ def exp_of(x: np.ndarray) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """into[rows] += values, with repeated rows."""
-    order = np.argsort(rows.astype(np.uint16 if len(into) <= 65536 else rows.dtype), kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    into[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    """In the place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def train(df: DataFrame, lexicon: Lexicon) -> Model:
