@@ -108,3 +108,27 @@ def test_long_chains_of_draws(spark, monkeypatch):
     spots = spark.range(60).select(F.lit("k").alias("key"), F.col("id").alias("i"), F.struct(F.format_string("%04d", "id").alias("draw"), F.col("id").alias("i")).alias("order"))
     assert sorted(r.i for r in gaps.independent(spots, 3).collect()) == list(range(0, 60, 3))
     assert gaps.independent(spots.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("seed, lost", [(1, 0.3), (2, 0.7)])
+def test_blocks_give_what_whole_locations_give(spark, seed, lost):
+    places = [series(seed, 150, lost, "hot"), series(seed + 5, 40, lost, "b", runs=False), [("lone", START, 1.0, 0)], [("none", START, None, 0)], [(None, *r[1:]) for r in series(seed, 30, lost)]]
+    df = spark.createDataFrame([r for p in places for r in p], SCHEMA).repartition(4)
+    rows = lambda x: sorted(map(str, x.collect()))
+    for block in ("5 hours", "3 days"):
+        assert rows(windows.backfill_singleton(df, "value", "v", block=block)) == rows(windows.backfill_singleton(df, "value", "v"))
+        assert rows(windows.persist_last(df, "value", "v", block=block)) == rows(windows.persist_last(df, "value", "v"))
+        whole, parts = ({(r.location, r.extra): r for r in windows.convolve(df, "value", [0.5, 0.25, 1.0], "v", block=b).collect()} for b in (None, block))
+        assert set(whole) == set(parts) and all((r.v is None) == (parts[k].v is None) and (r.v is None or r.v == pytest.approx(parts[k].v)) for k, r in whole.items())
+
+
+def test_backtests_report_their_folds(spark):
+    from tsengine.operators import backtest, models
+    from tsengine.operators.domain import Domain
+
+    rows = [("a", START + dt.timedelta(hours=i), float(i % 7), float(i % 7) * 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "location string, date_time timestamp_ntz, x double, value double")
+    folds, report = backtest.rolling_folds(Domain("2024-01-01 00:00:00", "2024-01-03 11:00:00", "1 hour"), 2, test_size=10), []
+    backtest.run(df, folds, lambda: models.TimeSeriesModel(["x"]), report=report)
+    got = backtest.report_table(spark, report).collect()
+    assert [(r.fold, r.n_train, r.n_test, r.test_start) for r in got] == [(0, 40, 10, folds[0].test_start), (1, 50, 10, folds[1].test_start)] and all(r.fit_seconds > 0 for r in got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -50,8 +51,12 @@ def in_folds(df: DataFrame, folds: list[Fold], which: str = "test") -> DataFrame
     return df.withColumn("fold", F.explode(F.array_compact(F.array(*kinds))))
 
 
-def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scores: bool = False) -> DataFrame:
-    """(fold, which, location, date_time, true, predicted): a fresh model per fold. While models are fitted, the features are held, so that they are computed once."""
+def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scores: bool = False, report: list[dict] | None = None) -> DataFrame:
+    """(fold, which, location, date_time, true, predicted): a fresh model per fold. While models are fitted, the features are held, so that they are computed once.
+
+    A list given as report gets each fold's windows, their numbers of rows and the seconds that fitting took. Linear models of many
+    folds are fitted in one pass by ``moments.run``.
+    """
     was_held = df.is_cached
     if not was_held:
         df.persist()
@@ -59,7 +64,12 @@ def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scor
     for f in folds:
         within = lambda a, b: F.col("date_time").between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))
         train, test = df.filter(within(f.train_start, f.train_end)), df.filter(within(f.test_start, f.test_end))
+        began = time.perf_counter()
         models.append((f, train, test, make().fit(train)))
+        if report is not None:
+            seconds = time.perf_counter() - began
+            sizes = df.agg(F.count_if(within(f.train_start, f.train_end)).alias("train"), F.count_if(within(f.test_start, f.test_end)).alias("test")).first()
+            report.append(vars(f) | {"n_train": sizes.train, "n_test": sizes.test, "fit_seconds": seconds})
     if not was_held:
         df.unpersist()
     for f, train, test, model in models:
@@ -69,6 +79,11 @@ def run(df: DataFrame, folds: list[Fold], make: Callable[[], object], train_scor
     return out
 
 
+def report_table(spark: SparkSession, report: list[dict]) -> DataFrame:
+    """What run reported, a row by fold."""
+    return spark.createDataFrame([tuple(r.values()) for r in report], "fold int, train_start string, train_end string, test_start string, test_end string, n_train long, n_test long, fit_seconds double")
+
+
 def save(predictions: DataFrame, folds: list[Fold], path: str) -> None:
     """A back-test's predictions and folds as Parquet, so that metrics can be taken later without fitting again."""
     predictions.write.mode("overwrite").parquet(f"{path}/predictions")

@@ -91,8 +91,13 @@ def interpolate(df: DataFrame, value: str, name: str | None = None, trailing: bo
     return both.withColumn(name or value, found).drop("__here", "__before", "__after")
 
 
-def backfill_singleton(df: DataFrame, value: str, name: str | None = None, by=BY) -> DataFrame:
-    """Fill gaps of exactly one row: the mean of both neighbours, or the next value at the start. A last row stays."""
+def backfill_singleton(df: DataFrame, value: str, name: str | None = None, by=BY, block: str | None = None) -> DataFrame:
+    """Fill gaps of exactly one row: the mean of both neighbours, or the next value at the start. A last row stays. block: see neighbours."""
+    if block:
+        both, i = neighbours(df, value, by, block), F.col("__here.i")
+        next_to = F.col("__after.i") == i + 1
+        fill = F.when((i == 1) & next_to, F.col("__after.v")).when((F.col("__before.i") == i - 1) & next_to, (F.col("__before.v") + F.col("__after.v")) / 2)
+        return both.withColumn(name or value, F.coalesce(F.col(value), fill)).drop("__here", "__before", "__after")
     w = over(by)
     prev, after, first = F.lag(value).over(w), F.lead(value).over(w), F.row_number().over(w) == 1
     fill = F.when(first, after).when(prev.isNotNull() & after.isNotNull(), (prev + after) / 2)
@@ -143,10 +148,23 @@ def fill_rolling(df: DataFrame, value: str, method: Callable[[pd.Series], float]
     return dealt.groupBy(by, "__at").applyInPandas(fill, filled).select(*(c for c in df.columns), *([name] if name not in df.columns else []))
 
 
-def convolve(df: DataFrame, value: str, kernel: list[float], name: str = "convolved", by=BY) -> DataFrame:
-    """The valid part of a convolution along time: a location of n rows gives n - k + 1."""
-    w = over(by)
+def convolve(df: DataFrame, value: str, kernel: list[float], name: str = "convolved", by=BY, block: str | None = None) -> DataFrame:
+    """The valid part of a convolution along time: a location of n rows gives n - k + 1; null where a term is.
+
+    With a block (see neighbours) rows are numbered by blocks, and each adds its terms to the places that they belong to:
+    one aggregation, without a window over a location.
+    """
     k = len(kernel)
+    if block:
+        keys = [by] if isinstance(by, str) else list(by)
+        row = F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias("row")
+        numbered = neighbours(df, value, by, block).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), F.col("__here.i").alias("i"), F.col("__here.v").alias("v"), row)
+        terms = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for j, w in enumerate(kernel)))
+        moved = numbered.withColumn("x", F.explode(terms)).withColumn("i", F.col("i") + F.col("x.j"))
+        total = F.when(F.count("v") == k, F.sum(F.col("v") * F.col("x.w"))).alias("total")
+        found = moved.groupBy(*(f"__k{i}" for i in range(len(keys))), "i").agg(F.max_by("row", F.when(F.col("x.j") == 0, 1).otherwise(0)).alias("row"), F.max(F.when(F.col("x.j") == 0, True)).alias("there"), total)
+        return found.filter(F.col("there") & (F.col("i") >= k)).select("row.*", "total").withColumnRenamed("total", name)
+    w = over(by)
     terms = [F.lag(value, i).over(w) * float(kernel[i]) for i in range(k)]
     total = terms[0]
     for t in terms[1:]:

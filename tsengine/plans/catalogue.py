@@ -308,7 +308,7 @@ def interp_both(spark, d):
 @query(f"""WITH {E_SQL}, n AS (SELECT *, row_number() OVER w AS i, lag(value) OVER w AS p, lead(value) OVER w AS q FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time))
 SELECT location, date_time, {r("coalesce(value, CASE WHEN i = 1 THEN q WHEN p IS NOT NULL AND q IS NOT NULL THEN (p + q) / 2 END)")} AS value FROM n""")
 def backfill_singleton(spark, d):
-    return windows.backfill_singleton(events(spark, d), "value").withColumn("value", tidy(F.col("value")))
+    return windows.backfill_singleton(events(spark, d), "value", block="7 days").withColumn("value", tidy(F.col("value")))
 
 
 @query(f"WITH {E_SQL} SELECT location, date_time, last_value(value IGNORE NULLS) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM e")
@@ -328,6 +328,12 @@ def convolution_valid(spark, d):
     return windows.convolve(events(spark, d), "value", [0.5, 0.3, 0.2]).select(*KEYS, tidy(F.col("convolved")).alias("convolved"))
 
 
+@query(ORACLE_SQL["convolution_valid"])
+def convolution_by_blocks(spark, d):
+    """The same without a window over a location."""
+    return windows.convolve(events(spark, d), "value", [0.5, 0.3, 0.2], block="7 days").select(*KEYS, tidy(F.col("convolved")).alias("convolved"))
+
+
 def _lines(source: str, weight: str) -> str:
     """In SQL: lines through the nine nearest days of each day, by tricube times another weight."""
     return f"""SELECT *, CASE WHEN s > 0 THEN l - m * ((sy - m * l) / s) ELSE l END AS t FROM (SELECT location, x, any_value(y) AS y, sum(w * a) / sum(w) AS m, sum(w * v) / sum(w) AS l, sum(w * a * a) / sum(w) - (sum(w * a) / sum(w)) ** 2 AS s, sum(w * a * v) / sum(w) AS sy
@@ -507,6 +513,13 @@ def window_buckets(spark, d):
     return streams.bucket_stream(raw, "value").select("location", "date_time", "n", F.round("mean", 6).alias("mean"), "min", "max", F.round("sum", 6).alias("sum"))
 
 
+@query(f"""WITH {E_SQL}, l AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN date_time END IGNORE NULLS) OVER w AS t, last_value(value IGNORE NULLS) OVER w AS v FROM e WINDOW w AS (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT location, date_time, value, CASE WHEN date_diff('hour', t, date_time) <= 2 THEN v END AS filled FROM l""")
+def stateful_fill(spark, d):
+    """The filler of streams on a batch; an observation fills two hours at most."""
+    return streams.fill_last(events(spark, d), "value", expire="2 hours")
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------
 @query(f"""WITH {E_SQL}, x AS (SELECT *, lag(value, 24) OVER (PARTITION BY location ORDER BY date_time) AS lag_24_hour FROM e), m AS (SELECT location, regr_slope(value, lag_24_hour) AS a, regr_intercept(value, lag_24_hour) AS b FROM x GROUP BY 1)
 SELECT location, date_time, round(a * lag_24_hour + b, 4) AS predicted FROM x JOIN m USING (location)""")
