@@ -96,3 +96,14 @@ def test_range_stats_by_ranges(spark):
     df = spark.createDataFrame(rows, "location string, date_time timestamp_ntz, value double")
     plain, spread = (sorted(map(str, monitor.range_stats(df, "value", "2024-02-01 00:00:00", r).select("location", "n_stats", "mean", "q_25", "q_75", "freshness").collect())) for r in (None, 5))
     assert plain == spread
+
+
+def test_medians_of_metrics_by_ranges(spark):
+    from tsengine.operators import metrics
+
+    rng = np.random.default_rng(6)
+    rows = [(g, float(a), float(b)) for g, n in (("hot", 300), (None, 7), ("one", 1)) for a, b in rng.normal(5, 2, (n, 2))] + [("hot", None, 1.0), ("hot", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, true double, predicted double")
+    for by in (["g"], None):
+        plain, spread = (sorted((str({k: v for k, v in r.asDict().items() if k != "median_absolute_error"}), r.median_absolute_error) for r in metrics.scored(df, by=by, ranges=n).collect()) for n in (None, 5))
+        assert [p[0] for p in plain] == [s[0] for s in spread] and [p[1] for p in plain] == pytest.approx([s[1] for s in spread])

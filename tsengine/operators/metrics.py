@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsengine.operators import monitor
+
 
 def regression(y: Column, p: Column) -> dict[str, Column]:
     """Metrics that can't be computed for a group (logs of negatives, constant labels) are null."""
@@ -31,11 +33,23 @@ def regression(y: Column, p: Column) -> dict[str, Column]:
     }
 
 
-def scored(df: DataFrame, true: str = "true", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
-    """Rows without a label or a prediction are left out."""
-    rows = df.filter(F.col(true).isNotNull() & F.col(predicted).isNotNull())
-    columns = [c.alias(n) for n, c in regression(F.col(true), F.col(predicted)).items()]
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *columns)
+def scored(df: DataFrame, true: str = "true", predicted: str = "predicted", by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Rows without a label or a prediction are left out.
+
+    The median holds a group's different errors in one task; with ``ranges`` it is taken by ranges (monitor.grouped_quantiles).
+    """
+    rows, by = df.filter(F.col(true).isNotNull() & F.col(predicted).isNotNull()), list(by or [])
+    named = regression(F.col(true), F.col(predicted))
+    if not ranges:
+        return rows.groupBy(*by).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in named.items()))
+    median = "median_absolute_error"
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in named.items() if n != median))
+    found = monitor.grouped_quantiles(rows.withColumn("__e", F.abs(F.col(true) - F.col(predicted))), "__e", by, [0.5], ranges).withColumnRenamed("q_0_5", median)
+    found = found.withColumnsRenamed({c: f"__of_{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{i}"))
+    return out.join(found if by else F.broadcast(found), same, "left").select(*by, "n", *named)  # one row without groups
 
 
 def by_month(df: DataFrame, true: str = "true", predicted: str = "predicted", keys: tuple[str, ...] = ("model",)) -> DataFrame:

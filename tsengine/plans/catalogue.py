@@ -17,6 +17,7 @@ from tsengine.functions.values import clamp, difference, flatten_distinct, kelvi
 from tsengine.operators import aggregates as agg
 from tsengine.operators import align, backtest, features, filters, gaps, lowess, metrics, models, moments, monitor, pv, trees, windows
 from tsengine.operators.domain import KEYS, Domain, faults, with_padding
+from tsengine.operators.domain import months as chosen_months
 from tsengine.sources import series
 from tsengine.streaming import series as streams
 
@@ -223,6 +224,21 @@ def squash_mask(spark, d):
     return align.squash_mask(flagged, "value", "masked", -1.0).drop("masked")
 
 
+@query(f"WITH {O_SQL} SELECT location, date_time, value FROM o WHERE month(date_time) IN (1, 2, 12)")
+def winter_months(spark, d):
+    """Chosen months of a series."""
+    return chosen_months(orders(spark, d), [12, 1, 2])
+
+
+@query(f"""WITH {E_SQL}, wide AS (SELECT location, CAST(date_time AS TIMESTAMP) AS date_time FROM (SELECT DISTINCT event_type AS location FROM events), generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR) g(date_time)),
+back AS (SELECT location, CAST(date_time AS TIMESTAMP) AS date_time FROM (SELECT DISTINCT event_type AS location FROM events), generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-28 23:00:00', INTERVAL 1 HOUR) g(date_time))
+SELECT 'extended' AS domain, location, date_time, value FROM wide LEFT JOIN src USING (location, date_time) UNION ALL SELECT 'shifted', location, date_time, value FROM back LEFT JOIN src USING (location, date_time)""")
+def shifted_fetch(spark, d):
+    """A source at a domain that starts two days earlier, and at one that is moved by two days."""
+    parts = [align.select(HOURS.shift("2 days", e).grid(spark, event_places(spark, d)), event_source(spark, d), ["value"]).select(F.lit(n).alias("domain"), *KEYS, "value") for n, e in (("extended", True), ("shifted", False))]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- features --------------------------------------------------------------------------------------------------------
 LAGS = ("1 hour", "24 hours", "168 hours")
 
@@ -460,6 +476,12 @@ def metrics_by_location(spark, d):
     return metrics.scored(order_forecast(spark, d), by=["location"]).select("location", "n", *(F.round(c, digits(c)).alias(c) for c in METRICS))
 
 
+@query(ORACLE_SQL["metrics_by_location"])
+def metrics_by_ranges(spark, d):
+    """The same, the median taken by ranges: no task holds a place's errors."""
+    return metrics.scored(order_forecast(spark, d), by=["location"], ranges=12).select("location", "n", *(F.round(c, digits(c)).alias(c) for c in METRICS))
+
+
 @query(f"""WITH {O_SQL}, yp AS (SELECT *, date_trunc('month', date_time)::DATE AS month, 'lag_7' AS model, "true" AS y, predicted AS p FROM f WHERE "true" IS NOT NULL AND predicted IS NOT NULL) SELECT model, month, count(*) AS n, {M_SQL} FROM yp GROUP BY 1, 2""")
 def metrics_monthly(spark, d):
     out = metrics.by_month(order_forecast(spark, d).withColumn("model", F.lit("lag_7")))
@@ -493,6 +515,18 @@ def gap_random_mask(spark, d):
     return gaps.random_gaps(events(spark, d), "value", n=20)
 
 
+def _gap_mask(column: str, n: int, seed: int) -> str:
+    """Which readings of a column a hash of seed, place and time chooses, in SQL."""
+    return f"{column} IS NOT NULL AND row_number() OVER (PARTITION BY location ORDER BY CASE WHEN {column} IS NOT NULL THEN 0 ELSE 1 END, md5(concat_ws('|', '{seed}', location, strftime(date_time, '%Y-%m-%d %H:%M:%S'))), date_time) <= {n} AS synth_gap_{column}"
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT *, lag(value, 24) OVER (PARTITION BY location ORDER BY date_time) AS lag_24_hour FROM e) SELECT location, date_time, {_gap_mask('value', 12, 32)}, {_gap_mask('lag_24_hour', 7, 33)} FROM x")
+def gaps_each_column(spark, d):
+    """Gaps of each column by a seed of its own."""
+    out = gaps.gaps_by_column(_lag_frame(spark, d), {"value": {"n": 12}, "lag_24_hour": {"n": 7}})
+    return out.select(*KEYS, "synth_gap_value", "synth_gap_lag_24_hour")
+
+
 @query(f"""{GAP_SQL}, m AS (SELECT *, CASE WHEN NOT synth_gap THEN value END AS gapped FROM g), h AS (SELECT *, last_value(gapped IGNORE NULLS) OVER (PARTITION BY location ORDER BY date_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM m)
 SELECT location, count(filled - value) AS n, {r("sqrt(avg((filled - value) * (filled - value)))")} AS rmse, {r("median(abs(filled - value))")} AS median_abs_error FROM h WHERE synth_gap GROUP BY 1""")
 def gap_scores(spark, d):
@@ -729,6 +763,24 @@ def onepass_search(spark, d):
     return moments.leaderboard(spark, held.search(([f], 0.0) for f in held.features)).select("features", F.round("r2", 6).alias("r2"))
 
 
+#: A plane of two features by fold, and the mean of the folds' r2.
+TWO_SQL = """SELECT '{n}' AS p, '{m}' AS q, avg(r2) AS r2 FROM (SELECT fold, 1 - sum((value - my - s * ({x} - mx) - t * ({z} - mz)) ** 2) / (var_pop(value) * count(*)) AS r2 FROM x JOIN k ON date_time BETWEEN test_start AND test_end
+JOIN (SELECT fold, my, mx, mz, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS s, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS t FROM (SELECT fold, avg(value) AS my, avg({x}) AS mx, avg({z}) AS mz, covar_pop({x}, value) AS xy, covar_pop({z}, value) AS zy, var_pop({x}) AS xx, var_pop({z}) AS zz, covar_pop({x}, {z}) AS xz
+FROM x JOIN k ON date_time BETWEEN train_start AND train_end WHERE value IS NOT NULL GROUP BY fold)) USING (fold) WHERE value IS NOT NULL GROUP BY fold)"""
+FILLED_SQL = WEEK_SQL.replace("lag(value, 24) OVER w AS a, lag(value, 48) OVER w AS b", "coalesce(lag(value, 24) OVER w, 0.0) AS a, coalesce(lag(value, 48) OVER w, 0.0) AS b, CAST(hour(date_time) AS DOUBLE) AS h")
+SELECTABLE = (("lag_24_hour", "a"), ("lag_48_hour", "b"), ("hour", "h"))
+
+
+@query(f"""{FILLED_SQL}, one AS ({' UNION ALL '.join(ONE_SQL.format(name=n, x=x) for n, x in SELECTABLE)}), two AS ({' UNION ALL '.join(TWO_SQL.format(n=n, m=m, x=x, z=z) for i, (n, x) in enumerate(SELECTABLE) for m, z in SELECTABLE[i + 1 :])}),
+best AS (SELECT features AS f FROM one ORDER BY r2 DESC LIMIT 1), second AS (SELECT CASE WHEN p = f THEN q ELSE p END AS f FROM two, best WHERE f IN (p, q) ORDER BY r2 DESC LIMIT 1)
+SELECT 1 AS place, f AS feature FROM best UNION ALL SELECT 2, f FROM second""")
+def onepass_selection(spark, d):
+    """The two features that forward selection takes first."""
+    df = _week(spark, d).fillna(0.0, ["lag_24_hour", "lag_48_hour"]).withColumn("hour", F.hour("date_time").cast("double"))
+    chosen, _ = moments.FoldMoments(df, HOUR_FOLDS, [n for n, _ in SELECTABLE]).select(2)
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "place int, feature string")
+
+
 # ---- sources, filters and small parts --------------------------------------------------------------------------------
 @query("""WITH old AS (SELECT n_name AS location, r_name AS m FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey < 15), new AS (SELECT n_name AS location, 'other' AS m FROM nation WHERE n_nationkey > 10)
 SELECT coalesce(new.location, old.location) AS location, coalesce(new.m, old.m) AS mapped_location FROM old FULL JOIN new ON old.location = new.location""")
