@@ -60,7 +60,8 @@ class TimeSeriesModel:
     """Feature columns, filters (for fitting and predicting) and an estimator by name; scale_target fits on z-scores of the label.
 
     watch keeps statistics of the features, before and after the filters, of the rows fitted on (``fit_stats``). With a
-    validation share, boosted trees stop early by rows that a hash of place and time sets aside.
+    validation share, boosted trees stop early by rows that a hash of place and time sets aside. Estimators of OWN take
+    features as they are: trees need no scale, and the network makes its own.
     """
 
     features: list[str]

@@ -212,7 +212,7 @@ def fit(df: DataFrame, features: list[str], label: str, trees: int = 50, depth:
     """
     if not 2 <= bins <= 250:
         raise ValueError("bins must be between 2 and 250")
-    rows = df.filter(F.col(label).isNotNull()).select(*(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f"f{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("y"))
+    rows = df.filter(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).select(*(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f"f{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("y"))
     edges = [np.unique(q) for q in rows.approxQuantile([f"f{i}" for i in range(len(features))], [i / bins for i in range(1, bins + 1)], 1 / (8 * bins))]
     out, width = Ensemble(list(features)), bins + 2
 
