@@ -44,3 +44,29 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_model_forecast_is_least_squares_over_its_features(spark):
+    import numpy as np
+
+    from tsengine.operators import windows
+
+    spec, df = catalogue._ml_frame(spark, FOLDER)
+    names = spec.names()
+    read = lambda x: windows.interpolate(x, "lag_24_hour").select("location", "date_time", "value", *names).toPandas()
+    rows, some = read(df), read(df.filter("date_time < TIMESTAMP_NTZ '2024-01-25'"))  # the filters see what is fitted on
+    matrix = lambda r: np.column_stack([np.ones(len(r)), r[names].astype(float)])
+    learned = some[names].notna().all(axis=1) & some["value"].notna()
+    beta = np.linalg.lstsq(matrix(some)[learned], some["value"][learned].astype(float), rcond=None)[0]
+    whole, x = rows[names].notna().all(axis=1), matrix(rows)
+    want = {(p, t): v if ok else None for p, t, v, ok in zip(rows["location"], rows["date_time"], x @ beta, whole, strict=True)}
+    got = catalogue.model_forecast(spark, FOLDER).collect()
+    assert len(got) == len(want)
+    for r in got:
+        expected = want[r.location, r.date_time]
+        assert (r.predicted is None) == (expected is None) and (expected is None or r.predicted == pytest.approx(expected, rel=1e-4, abs=1e-3))
+
+
+def test_attributions_of_the_query_add_up(spark):
+    for r in catalogue.tree_attributions(spark, FOLDER).limit(500).collect():
+        assert r.expected + r.by_hour + r.by_day + r.by_lag_24_hour == pytest.approx(r.predicted, abs=1e-9)
