@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tsengine.llm import chat, lm, media, packing, pieces, quality, simhash, token_counts, toxicity, url_filters
+from tsengine.llm import chat, common, lm, media, packing, pieces, quality, simhash, token_counts, toxicity, url_filters
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards mix potions near old stone bridges every autumn".split()
 
@@ -211,6 +211,42 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert 0 < held.value < 10**6
 
 
+def test_near_pairs_meet_in_one_bucket_each(spark):
+    rng = np.random.default_rng(17)
+    bases = [int.from_bytes(rng.bytes(32), "big") for _ in range(40)]
+    groups = [[b] + [b ^ sum(1 << int(x) for x in rng.choice(256, 12, replace=False)) for _ in range(i % 4)] for i, b in enumerate(bases)]
+    values = [x for g in groups for x in g]
+    rows = spark.createDataFrame([(bytearray(x.to_bytes(32, "big")),) for x in values], "fingerprint binary").repartition(3)
+    index = simhash.Index(len(values), 60, 4, 6)
+    met = [(r.part, r.bits, int.from_bytes(r.fingerprint, "big")) for r in simhash.meeting(rows, index).collect()]
+    together = {}
+    for part, bits, x in met:
+        together.setdefault((part, bits), set()).add(x)
+
+    def share(a, b):
+        words = [(a ^ b) >> 64 * (3 - w) & (1 << 64) - 1 for w in range(4)]
+        return any(not any(w & m for w, m in zip(words, mask, strict=True)) for mask in index.masks)
+
+    for g in groups:
+        for i, a in enumerate(g):
+            for b in g[:i]:
+                assert any({a, b} <= held for held in together.values()) == share(a, b)
+    for a, b in (g for g in groups if len(g) == 2):  # these were in every bucket of theirs, about eight
+        assert not share(a, b) or sum(x in (a, b) for _, _, x in met) == 2
+
+
+@pytest.mark.parametrize("most_bits", [1 << 27, 1 << 10])
+def test_rows_that_no_key_has_are_marked(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
+    rows = spark.createDataFrame([(f"k{i}", i, i, "x") for i in range(2000)], "id string, page long, bitmap long, text string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 2000, 100)] * 2, "id string")
+    found = common.marked(rows, keys, "id", "maybe")
+    got = found.collect()
+    assert found.columns == [*rows.columns, "maybe"] and sorted((r.id, r.page) for r in got) == sorted((f"k{i}", i) for i in range(2000))
+    assert all(r.maybe for r in got if r.page % 100 == 0) and sum(r.maybe for r in got) < 200
+    assert not any(r.maybe for r in common.marked(rows, keys.limit(0), "id", "maybe").collect())
+
+
 def test_masks_follow_the_count_of_fingerprints():
     for rows, wide in ((10**5, 12), (10**7, 13), (10**9, 19)):
         exact = simhash.masks(rows, 4)

@@ -19,8 +19,8 @@ hash; each pair of blocks is a part of its own, so no task holds more than two b
 
 ``keep_one`` takes the index's links as candidates only: two documents are linked if the exact Jaccard similarity of
 their shingle sets is SIMILAR or more. Only documents that have a candidate go on, and of these only those that share
-enough of their shingles with any other of them to be similar to one at all. Their sets are sent to the buckets they met
-others in, and compared there: no pair leaves a bucket, only the stars of what turned out similar.
+enough of their shingles with any other of them to be similar to one at all. Their sets are sent to buckets that they met
+others in, one for each candidate pair, and compared there: no pair leaves a bucket, only the stars of what turned out similar.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other; repeated
 rows and equal texts share a fingerprint; an empty table gives no rows. Null ids are kept, and count as larger than any
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import chunks, join_hot, materialise, packed, table, utf8
+from tsengine.llm.common import chunks, join_hot, marked, materialise, packed, table, utf8
 
 SEED, FAN_OUT = 42, 8
 #: Bytes of whole buckets that a task indexes at a time, node pairs and shingles that it compares at a time.
@@ -325,16 +325,24 @@ def links_between(prints: DataFrame, max_distance: int, words: int = 1, blocks:
 
 
 def meeting(prints: DataFrame, index: Index, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(part, bits, fingerprint): the fingerprints that have another within the distance, once for each bucket that they share with it.
+    """(part, bits, fingerprint): buckets with the fingerprints in them that have another within the distance; each pair that is so near is in one of them.
 
+    A bucket's component all of whose fingerprints share the bucket of an earlier mask, too, is left to that one.
     Bytes of a fingerprint beyond its words tell nodes apart and don't count as distance.
     """
+    shown = np.array(index.masks, np.uint64)
 
     def run(batches):
         for t, rows, bucket, side, x in index.read(batches):
             label = search(bucket, side, x, index.most)
-            near = label != np.arange(len(label))
-            near[label[near]] = True
+            order = np.argsort(label, kind="stable")
+            first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+            size = np.diff(np.r_[first, len(order)])
+            differ = np.bitwise_or.reduceat((x ^ x[label])[order], first, axis=0)
+            part, wanted = t["part"].to_numpy()[rows[order[first]]], size > 1
+            for i, m in enumerate(shown):
+                wanted &= (part <= i) | (differ & m).any(axis=1)
+            near = np.sort(order[np.repeat(wanted, size)])
             yield from t.select([*BUCKET, "fingerprint"]).take(pa.array(rows[near])).to_batches()
 
     return dealt(index.buckets(prints), F.lit(1), block_rows).mapInArrow(run, "part int, bits long, fingerprint binary").distinct()
@@ -439,7 +447,7 @@ def similar_links(nodes: DataFrame, rows: int, sets_of, max_distance: int, words
     """
     index = Index(rows, max_distance, words, blocks)
     met = materialise(meeting(nodes.select("fingerprint"), index), "met")
-    near = nodes.select("fingerprint", "least").join(met.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    near = materialise(nodes.select("fingerprint", "least").join(met.select("fingerprint").distinct(), "fingerprint", "left_semi"), "near")
     sets = with_shared(sets_of(near))
     return similar(met.join(sets, "fingerprint").select(*BUCKET, "fingerprint", "size", "shared", "shingles"), index)
 
@@ -468,8 +476,8 @@ SHINGLE, WORDS, DISTANCE, RUNS, SIMILAR = 5, 4, 60, 6, (4, 5)
 def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
     """The input without near duplicates: of each group, the row with the smallest key stays (then the smallest text hash).
 
-    Rows with equal keys and texts are one. Null keys come last. Whole texts move twice at most: once those that have
-    candidates, to be compared, and once all, to be kept or dropped.
+    Rows with equal keys and texts are one. Null keys come last. Whole texts move only if they may have candidates, to be
+    compared, or may be left out; the others stay where they are read.
     """
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"))
     docs = df.select(packed(df).alias("doc"), row.alias("row"), F.col(text).cast("string").alias("text"))
@@ -485,17 +493,20 @@ def keep_one(df: DataFrame, key: str, text: str) -> DataFrame:
                     found = [np.unique(shingles(t, SHINGLE).astype(np.uint64)) for t in utf8(batch.column("text"))]
                     yield pa.RecordBatch.from_arrays([batch.column("fingerprint"), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["fingerprint", "size", "shingles"])
 
-        found = docs.select(known(F.col("row")), "text").join(near.select(known(F.col("least")), "fingerprint"), "id").dropDuplicates(["id"])
+        ids = near.select(known(F.col("least")), "fingerprint")
+        texts = marked(docs.select(known(F.col("row")), "text"), ids, "id", "near").filter("near").drop("near")
+        found = texts.join(ids, "id").dropDuplicates(["id"])
         return found.select("fingerprint", "text").mapInArrow(run, "fingerprint binary, size long, shingles binary")
 
     found = near_duplicates(prints, "row", DISTANCE, WORDS, RUNS, sets_of).withColumn("first", F.col("row") == F.col("component_id"))
     # Rows to leave out are fewer than those to keep. Rows with one key and text are told apart by nothing: they are left out, too, and one of each comes back.
     of_id = materialise(found.groupBy(known(F.col("row"))).agg(F.bool_or("first").alias("first"), F.count("*").alias("n")).filter("n > 1 OR NOT first"), "left_out")
-    named = docs.select(known(F.col("row")), "doc")
-    kept = named.join(of_id.select("id"), "id", "left_anti")
+    named = marked(docs.select(known(F.col("row")), "doc"), of_id, "id", "doubted")
+    doubted = named.filter("doubted")
+    kept = named.filter("NOT doubted").unionByName(doubted.join(of_id.select("id"), "id", "left_anti"))
     again = of_id.filter("first").select("id")
     if again.count():
-        kept = kept.unionByName(named.join(again, "id", "left_semi").dropDuplicates(["id"]))
+        kept = kept.unionByName(doubted.join(again, "id", "left_semi").dropDuplicates(["id"]))
     return kept.select("doc.*")
 
 
