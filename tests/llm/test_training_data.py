@@ -135,6 +135,27 @@ def test_samples_follow_the_lattice():
     assert {tuple(x[0].tolist()) for x in everything} == set(ways) and all(q == 0 for *_, q in everything)
 
 
+def test_samples_do_not_depend_on_blocks_and_leave_from_their_nodes(docs, monkeypatch):
+    held = pieces.Lattices(pieces.piece_model())
+    texts = [sentence(i, 40) for i in range(30)] + ["", " ", "\u3042x" * 50, "word " * 20]
+    key = np.arange(400)
+    keys = held.ways[held.ways >= 0]
+    assert (held.lead(keys) >= 0).all() and len(np.unique(held.lead(keys))) == len(keys) and (held.lead(keys.max() + 1 + key) == -1).all()
+    flat, sizes = pieces._prepared(held, texts)
+    walker, step, node, edge = held.walk(held.start[flat], np.arange(1, len(flat) + 1).astype(np.uint64), np.zeros(len(flat), np.int64))
+    assert ((held.first[node] <= edge) & (edge < held.first[node + 1])).all() and (np.diff(walker) >= 0).all()
+    assert (step == np.r_[[0], np.where(np.diff(walker) > 0, 0, step[:-1] + 1)]).all() and (held.to[edge[np.r_[np.diff(walker) > 0, True]]] == -1).all()
+
+    def found():
+        return {(r.doc_id, r.n_pieces, r.ids_crc32, r.whole, *((x.n_pieces, x.ids_crc32, round(x.log_p, 6), round(x.log_inclusion, 6)) for x in r.samples)) for r in pieces.encode(docs, "doc_id", "text", pieces.piece_model(), lists=False).collect()}
+
+    first = found()
+    monkeypatch.setattr(pieces, "LEARNED", 7)
+    monkeypatch.setattr(pieces, "SAMPLED_BYTES", 500)
+    again = found()
+    assert first == again
+
+
 def test_fingerprints_and_components(docs, empty, spark):
     def plain(t, n=4):
         w = words(t)

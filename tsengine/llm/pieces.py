@@ -41,6 +41,8 @@ SPACE = "▁"
 SAMPLES, ALPHA, FAR = 2, 0.6, 38.0
 #: Lattice edges that a worker remembers. The first half stays: frequent chunks come early.
 REMEMBERED = 8_000_000
+#: Chunks learned, and bytes of texts sampled, at a time: few enough for a processor's cache to hold their arrays.
+LEARNED, SAMPLED_BYTES = 2048, 200_000
 CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*")
 U64 = np.uint64
 BEGIN = U64(0x9E3779B97F4A7C15)
@@ -84,8 +86,10 @@ class Lattices:
         self.clear()
 
     def _trie(self, pieces: list[tuple[str, int]]) -> None:
-        """Pieces as a tree of characters: sorted (node, character) keys, the node that each leads to, and its piece or -1."""
+        """Pieces as a tree of characters: a hash table of (node, character) keys, the node that each leads to, and its piece or -1."""
         self.letters = np.array(sorted({ord(c) for name, _ in pieces for c in name}), np.int64)
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[self.letters] = np.arange(len(self.letters))
         number = {c: i for i, c in enumerate(self.letters.tolist())}
         ways, ends = {}, [-1]
         for name, i in pieces:
@@ -97,9 +101,30 @@ class Lattices:
                     ends.append(-1)
                 node = ways[key]
             ends[node] = i
-        self.ways = np.array(sorted(ways), np.int64)
+        bits = (4 * len(ways)).bit_length()
+        self.shift = U64(64 - bits)
+        self.ways, self.way_to = (np.full((1 << bits) + len(ways) + 1, -1, np.int64) for _ in range(2))
+        keys = np.array(list(ways), np.int64)
+        for key, place in zip(keys.tolist(), self.place(keys).tolist(), strict=True):
+            while self.ways[place] >= 0:
+                place += 1
+            self.ways[place], self.way_to[place] = key, ways[key]
         self.root = np.array([ways.get(i, -1) for i in range(len(self.letters))], np.int64)
-        self.way_to, self.ends = np.array([ways[k] for k in self.ways.tolist()], np.int64), np.array(ends, np.int64)
+        self.ends = np.array(ends, np.int64)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(U64) * BEGIN >> self.shift).view(np.int64)
+
+    def lead(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes that (node, character) keys lead to, or -1."""
+        place = self.place(keys)
+        there = self.ways[place]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):  # the table is mostly empty, so few look further
+            place[other] += 1
+            there = self.ways[place[other]]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return np.where(self.ways[place] == keys, self.way_to[place], -1)
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
@@ -134,17 +159,14 @@ class Lattices:
 
     def edges(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece, weight) between positions of chunks laid end to end, by from, then to; a piece below 0 is a character in bytes."""
-        place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-        letter = np.where(self.letters[place] == codes, place, -1)
+        letter = self.letter[codes]
         at, node, rows, length = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], 0
         while len(at):
             on = (at + length < end[at]) & (letter[np.minimum(at + length, len(codes) - 1)] >= 0)
             at, node = at[on], node[on]
             if length:
-                key = node * len(self.letters) + letter[at + length]
-                way = np.minimum(np.searchsorted(self.ways, key), len(self.ways) - 1)
-                on = self.ways[way] == key
-                at, node = at[on], self.way_to[way[on]]
+                node = self.lead(node * len(self.letters) + letter[at + length])
+                at, node = at[node >= 0], node[node >= 0]
             else:
                 node = self.root[letter[at]]
                 at, node = at[node >= 0], node[node >= 0]
@@ -207,7 +229,9 @@ class Lattices:
         at = np.fromiter(map(self.at.get, texts, repeat(-1)), np.int64, len(texts))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self.learn(list(dict.fromkeys(texts[i] for i in missing)))
+            fresh = list(dict.fromkeys(texts[i] for i in missing))
+            for i in range(0, len(fresh), LEARNED):
+                self.learn(fresh[i : i + LEARNED])
             at[missing] = [self.at[texts[i]] for i in missing]
         return at
 
@@ -226,9 +250,9 @@ class Lattices:
                     ids[starts[outside[kind == i]] + j] = piece
         return ids.astype("<u4")
 
-    def walk(self, node: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Draw a way to the end for each walker: (walker, step, edge), sorted by walker and step."""
-        walkers, rows = np.arange(len(node)), []
+    def walk(self, node: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Draw a way to the end for each walker: (walker, step, node, edge), sorted by walker and step."""
+        walkers, rows, taken = np.arange(len(node)), [], np.zeros(len(node), np.int64)
         on = node >= 0
         walkers, node, step, base = walkers[on], node[on], depth[on], base[on]
         while len(walkers):
@@ -238,15 +262,17 @@ class Lattices:
             while len(behind):  # few edges leave a node, and the likely ones are near
                 edge[behind] += 1
                 behind = behind[self.cum[edge[behind]] <= goal[behind]]
-            rows.append((walkers, step, edge))
+            rows.append((walkers, node, edge))
+            taken[walkers] += 1
             node = self.to[edge]
             on = node >= 0
             walkers, node, step, base = walkers[on], node[on], step[on] + 1, base[on]
-        if not rows:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
-        w, s, e = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.argsort(w, kind="stable")  # rows were made step by step
-        return w[order], s[order], e[order]
+        n, first = taken.sum(), taken.cumsum() - taken
+        nodes, edges = np.empty(n, np.int64), np.empty(n, np.int64)
+        for i, (walkers, node, edge) in enumerate(rows):  # a walker that is there in a round has been in all before
+            place = first[walkers] + i
+            nodes[place], edges[place] = node, edge
+        return np.repeat(np.arange(len(depth)), taken), np.arange(n) - np.repeat(first - depth, taken), nodes, edges
 
 
 def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -268,7 +294,7 @@ def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int]
         for i in lead:
             begin[i], steps[i] = node[which[i]] if node[which[i]] != -2 else begin[i], depth[which[i]]
         word = at - base[doc_of[at]]
-        walker, step, edge = held.walk(begin, mixed(BEGIN, seed[doc_of[at]], draw, word), steps)
+        walker, step, node_of, edge = held.walk(begin, mixed(BEGIN, seed[doc_of[at]], draw, word), steps)
         log_p = held.log_p[edge]
         sums = log_p.cumsum()
         counts = np.bincount(which[walker], minlength=len(docs))
@@ -278,8 +304,7 @@ def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int]
         open_ = np.full(len(edge), -np.inf)
 
         def perturb(r: np.ndarray) -> None:
-            node = np.searchsorted(held.first, edge[r], side="right") - 1
-            r = r[held.first[node + 1] - held.first[node] > 1]
+            r = r[held.first[node_of[r] + 1] - held.first[node_of[r]] > 1]
             rest = np.log(np.maximum(-np.expm1(log_p[r]), 1e-300))
             of = walker[r]
             open_[r] = below(value[which[of]], mass[r] + rest, uniform(BEGIN, seed[doc_of[at[of]]], draw + 1000, word[of], step[r]))
@@ -300,7 +325,7 @@ def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int]
             for j in top_.tolist():
                 if best[j] > -np.inf:
                     r = a + j
-                    heapq.heappush(heaps[d], (-best[j], next(tick), len(found[d]) - 1, len(prefixes[i][0]) + j, int(np.searchsorted(held.first, edge[r], side="right") - 1), (int(edge[r]),), float(mass[r]), int(word[walker[r]]), int(step[r])))
+                    heapq.heappush(heaps[d], (-best[j], next(tick), len(found[d]) - 1, len(prefixes[i][0]) + j, int(node_of[r]), (int(edge[r]),), float(mass[r]), int(word[walker[r]]), int(step[r])))
 
     emit(list(range(n_docs)), [(np.zeros(0, np.int64), 0.0)] * n_docs, top.tolist(), 1, [0] * n_docs, [0] * n_docs, [-2] * n_docs)
     for draw in range(2, k + 1):
@@ -367,7 +392,7 @@ def encode(df: DataFrame, key: str, text: str, model: bytes, k: int = SAMPLES, a
     def run(batches):
         held = once_per_worker(name, lambda: Lattices(sent.value, alpha))
         for whole in batches:
-            for batch in chunks(whole, text, 2_000_000):
+            for batch in chunks(whole, text, SAMPLED_BYTES):
                 texts = [t or "" for t in batch.column(text).to_pylist()]
                 keys = batch.column(key).to_pylist()
                 flat, sizes = _prepared(held, texts)
