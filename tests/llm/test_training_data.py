@@ -78,6 +78,16 @@ def test_packing_covers_every_id_once(docs, empty):
     assert packing.pack_documents(empty, "doc_id", "text", text).count() == 0
 
 
+def test_frequent_words_stay_when_many_rare_ones_come(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    encoder = packing.WordIds(packing.word_tokenizer())
+    special = encoder.special[0]
+    words = [f"word{x}" for x in "abcdefgh"] + [special.decode(), f"x{special.decode()}y", "ÉTÉ", "日本"]
+    text = " ".join(words + [f"Rare{i}!" for i in range(1000)] + words)
+    assert list(np.frombuffer(encoder.encode(text.encode()), "<u4")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(w.encode() in encoder for w in words) and len(encoder) <= 100 and len(encoder.pieces) <= 100
+
+
 def test_best_fill_is_the_best():
     from itertools import product
 

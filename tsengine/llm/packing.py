@@ -17,6 +17,7 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -36,6 +37,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN = regex.compile(r"[\x00-\u012F\u0131-\u024F]*")
 
 
+def forget(held: dict) -> None:
+    """Drop the later half of what is held: frequent keys came early."""
+    for key in list(islice(held, REMEMBERED // 2, None)):
+        del held[key]
+
+
 class PieceIds(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit bytes, by the tokenizer's merges."""
 
@@ -47,7 +54,7 @@ class PieceIds(dict):
         ids = array("I", [t.id for t in self.model.tokenize(byte_chars(piece))]).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
+                forget(self)
             self[piece] = ids
         return ids
 
@@ -67,6 +74,7 @@ class WordIds(dict):
         self.special = [t["content"].encode() for t in json.loads(tokenizer_json)["added_tokens"]]
         if any(len(s.split()) != 1 for s in self.special):
             raise ValueError("a special token holds white space: texts can't be encoded chunk by chunk")
+        self.has_special = regex.compile(b"|".join(map(regex.escape, self.special)) or rb"(?!)").search
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pieces = PieceIds(self.tokenizer.model)
         self.findall = regex.compile(PATTERN).findall
@@ -76,13 +84,13 @@ class WordIds(dict):
             ids = self.pieces[word.lower().decode()]
         else:
             text = word.decode("utf-8", "replace")
-            if any(s in word for s in self.special) or not (word.isascii() or LATIN.fullmatch(text)):
+            if self.has_special(word) or not (word.isascii() or LATIN.fullmatch(text)):
                 ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
                 ids = b"".join(map(self.pieces.__getitem__, self.findall(text.lower())))
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
+                forget(self)
             self[word] = ids
         return ids
 
