@@ -52,15 +52,20 @@ def mixed(h, *parts) -> np.ndarray:
     """A hash of whole numbers, begun or carried on (the splitmix64 finaliser, a fixed public mix)."""
     with np.errstate(over="ignore"):
         for p in parts:
-            h = (np.asarray(p).astype(U64) + h) * U64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
-            h = h ^ (h >> U64(31))
+            h = np.asarray(p).astype(U64) + h
+            h *= U64(0xBF58476D1CE4E5B9)
+            h ^= h >> U64(27)
+            h *= U64(0x94D049BB133111EB)
+            h ^= h >> U64(31)
     return h
 
 
 def uniform(h, *parts) -> np.ndarray:
     """Uniform numbers in (0, 1) that depend on whole numbers alone."""
-    return ((mixed(h, *parts) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    u = (mixed(h, *parts) >> U64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def below(bound, mass, u):
@@ -129,10 +134,9 @@ class Lattices:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.whole: list[bool] = []
         self._room: dict[str, np.ndarray] = {}
         self.base = None
-        for name, kind in (("start", np.int64), ("first", np.int64), ("cum", np.float32), ("log_p", np.float64), ("to", np.int32), ("piece", np.int32)):
+        for name, kind in (("whole", bool), ("start", np.int64), ("first", np.int64), ("cum", np.float32), ("log_p", np.float64), ("to", np.int32), ("piece", np.int32)):
             setattr(self, name, np.zeros(0, kind))
         self._append("first", np.zeros(1, np.int64))
 
@@ -150,8 +154,8 @@ class Lattices:
         """Forget all chunks but those of the first half."""
         n_chunks, n_nodes, n_edges = self.base
         self.at = {c: i for c, i in self.at.items() if i < n_chunks}
-        del self.ids[n_chunks:], self.whole[n_chunks:]
-        self.start, self.first = self.start[:n_chunks], self.first[: n_nodes + 1]
+        del self.ids[n_chunks:]
+        self.whole, self.start, self.first = self.whole[:n_chunks], self.start[:n_chunks], self.first[: n_nodes + 1]
         self.cum, self.log_p, self.to, self.piece = (x[:n_edges] for x in (self.cum, self.log_p, self.to, self.piece))
 
     def spelled_in_bytes(self, code: int) -> list[int]:
@@ -212,7 +216,7 @@ class Lattices:
         self.at.update(zip(bare, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
         self.ids += [array("I", ids).tobytes() for ids in encoded]
         spelled = self.spelled.__getitem__
-        self.whole += [b"".join(map(spelled, ids)) == c.encode("utf-8", "replace") for c, ids in zip(fresh, encoded, strict=True)]
+        self._append("whole", np.array([b"".join(map(spelled, ids)) == c.encode("utf-8", "replace") for c, ids in zip(fresh, encoded, strict=True)], bool))
         self._append("start", node + sizes.cumsum() - sizes)
         self._append("first", self.first[-1] + per.cumsum())
         self._append("cum", np.minimum(within, 1.0))
@@ -263,9 +267,9 @@ class Lattices:
                 edge[behind] += 1
                 behind = behind[self.cum[edge[behind]] <= goal[behind]]
             rows.append((walkers, node, edge))
-            taken[walkers] += 1
+            taken[walkers] = len(rows)
             node = self.to[edge]
-            on = node >= 0
+            on = np.flatnonzero(node >= 0)
             walkers, node, step, base = walkers[on], node[on], step[on] + 1, base[on]
         n, first = taken.sum(), taken.cumsum() - taken
         nodes, edges = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -399,7 +403,8 @@ def encode(df: DataFrame, key: str, text: str, model: bytes, k: int = SAMPLES, a
                 ends, places = sizes.cumsum().tolist(), flat.tolist()
                 places = [places[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
                 ids = [b"".join(map(held.ids.__getitem__, p)) for p in places]
-                read_back = [all(map(held.whole.__getitem__, p)) and SPACE not in t for p, t in zip(places, texts, strict=True)]
+                unlike = np.r_[0, (~held.whole[flat]).cumsum()][np.r_[0, sizes.cumsum()]]
+                read_back = [a == b and SPACE not in t for a, b, t in zip(unlike[:-1].tolist(), unlike[1:].tolist(), texts, strict=True)]
                 drawn = sample(held, flat, sizes, [key_seed(x) for x in keys], k)
                 spelled = [[(held.spell(edges), p, q) for edges, p, q in x] for x in drawn]
                 if lists:
