@@ -166,6 +166,57 @@ def test_samples_do_not_depend_on_blocks_and_leave_from_their_nodes(docs, monkey
     assert first == again
 
 
+def test_texts_are_cut_where_no_piece_runs_on(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    model = pieces.piece_model()
+    sp = SentencePieceProcessor(model_proto=model)
+    names = ["river", "Stone", "lamp", "Cloud", "garden", "Winter", "paper", "Ocean", "silver", "Train", "forest", "Music"]
+    held = pieces.Lattices(model, alpha=0.3)
+    pieces._prepared(held, [f"{a}.\n{b}" for a in names for b in names])
+    assert len(held.at) <= 3 * len(names)  # and not one for each of their 144 pairs
+
+    rng = np.random.default_rng(5)
+    letters = list("ab,.XY\n\n  \t\r\0{}'\u00e9\u3042\u2581\u0301\U0001f600")
+    texts = ["", " ", "\n", "\u2581", "a ", " a", "\n ", "a\n\nb", "  \u2581\u2581 ", "\n".join(map(chr, range(0x21, 0x3000))), *("".join(rng.choice(letters, n)) for n in rng.integers(1, 60, 400))]
+    for alone in (True, False):
+        monkeypatch.setattr(pieces, "merges_alone", lambda _, alone=alone: alone)
+        other = pieces.Lattices(model)
+        assert (other.mark is None) != alone
+        flat, sizes = pieces._prepared(other, texts)
+        ids, at = other.encoding(flat, sizes)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [sp.encode(t) for t in texts]
+        assert len(flat) == sizes.sum() and other.whole.all()
+
+    # A cut text has the law of its uncut lattice.
+    text, ways = "\u2581in,of", {}
+    piece = {sp.id_to_piece(i): i for i in range(259, sp.get_piece_size())}
+
+    def spell(at, ids):
+        if at == len(text):
+            ways[tuple(ids)] = np.exp(held.weight[ids].sum())
+        for end in range(at + 1, len(text) + 1):
+            if text[at:end] in piece:
+                spell(end, [*ids, piece[text[at:end]]])
+
+    spell(0, [])
+    n, mass = 6000, sum(ways.values())
+    flat, sizes = pieces._prepared(held, ["in,of"])
+    assert len(flat) > 1
+    drawn = pieces.sample(held, np.tile(flat, n), np.repeat(sizes, n), list(range(n)), 2)
+    assert {len(x) for x in drawn} == {2}
+    for j in (0, 1):
+        seen = Counter(tuple(x.tolist()) for x in held.spell([x[j][0] for x in drawn]))
+        for ids, w in ways.items():
+            p = w / mass
+            want = p if j == 0 else sum(v / mass * p / (1 - v / mass) for other, v in ways.items() if other != ids)
+            assert seen[ids] / n == pytest.approx(want, abs=0.025)
+        assert set(seen) <= set(ways)
+    assert all(p == pytest.approx(np.log(ways[tuple(held.spell([e])[0].tolist())] / mass), abs=1e-6) for x in drawn[:50] for e, p, _ in x)
+    everything = pieces.sample(held, flat, sizes, [1], len(ways) + 3)[0]
+    assert {tuple(x.tolist()) for x in held.spell([e for e, *_ in everything])} == set(ways) and len(everything) == len(ways)
+
+
 def test_fingerprints_and_components(docs, empty, spark):
     def plain(t, n=4):
         w = words(t)

@@ -1,8 +1,9 @@
 """SentencePiece encoding, decoding and sampling of segmentations without replacement.
 
-Encoding. A text's pieces never run past a space that follows something else (checked on the vocabulary when it is
-loaded), so a text is its chunks, each a run of spaces and what follows; every distinct chunk is encoded once a worker by
-the library's own processor, and a text's ids are its chunks' ids in order.
+Encoding. No piece of a text runs over two letters in a row that are in no piece of the vocabulary, nor past a space that
+follows something else (checked when the vocabulary is loaded). So a text is cut there into its chunks; every distinct
+chunk is encoded once a worker by the library's own processor, and a text's ids are its chunks' ids in order. Where the
+library changes texts before it encodes them, or doesn't merge pairs, they are cut at spaces only.
 
 Sampling. Every chunk has a lattice: positions, and pieces that lead from one to a later one. A piece's weight follows
 its rank in the vocabulary (Zipf's law, to the power ``alpha``); characters without a piece are spelled in byte pieces.
@@ -25,12 +26,10 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +42,10 @@ SAMPLES, ALPHA, FAR = 2, 0.6, 38.0
 REMEMBERED = 8_000_000
 #: Chunks learned, and bytes of texts sampled, at a time: few enough for a processor's cache to hold their arrays.
 LEARNED, SAMPLED_BYTES = 2048, 200_000
-CHUNK = regex.compile(f"{SPACE}+[^{SPACE}]*")
+#: Bytes of texts cut at a time: their distinct chunks are looked up once.
+CUT_BYTES = 1_000_000
+#: Bits of the table of letter pairs. Pairs that share an entry with one in a piece are only left uncut.
+PAIR_BITS = 20
 U64 = np.uint64
 BEGIN = U64(0x9E3779B97F4A7C15)
 
@@ -87,9 +89,33 @@ class Lattices:
         self.weight = -alpha * np.log(np.arange(len(names)) + 2.0)
         self.byte = {int(names[i][3:5], 16): i for i in range(len(names)) if sp.is_byte(i)}
         self.spelled = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.encode() for i, n in enumerate(names)]
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
         self._trie([(names[i], i) for i in usual])
+        self.mark = self.byte.get(10) if merges_alone(model) and not any(len(n) > 1 and "\n" in n for n in names) else None
+        inside = np.array([(ord(a), ord(b)) for n in names for a, b in zip(n, n[1:], strict=False)], np.uint32).reshape(-1, 2)
+        self.joined = np.zeros(1 << PAIR_BITS, bool)
+        self.joined[self.pair(inside[:, 0], inside[:, 1])] = True
         self.clear()
 
+    @staticmethod
+    def pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The place of two letters in the table of pairs."""
+        h = one * np.uint32(0x9E3779B1)
+        h += two * np.uint32(0x85EBCA77)
+        h >>= np.uint32(32 - PAIR_BITS)
+        return h
+
+    def cut(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a chunk begins at a letter, for all but the first one; spaces are U+2581."""
+        one, two = codes[:-1], codes[1:]
+        if self.mark is None:
+            return (two == ord(SPACE)) & (one != ord(SPACE))
+        begins = ~self.joined[self.pair(one, two)]
+        line = codes == ord("\n")  # alone, whatever shares its pairs' entries
+        begins |= line[:-1]
+        begins |= line[1:]
+        return begins
+
     def _trie(self, pieces: list[tuple[str, int]]) -> None:
         """Pieces as a tree of characters: a hash table of (node, character) keys, the node that each leads to, and its piece or -1."""
         self.letters = np.array(sorted({ord(c) for name, _ in pieces for c in name}), np.int64)
@@ -133,12 +159,12 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
         self._room: dict[str, np.ndarray] = {}
         self.base = None
-        for name, kind in (("whole", bool), ("start", np.int64), ("first", np.int64), ("cum", np.float32), ("log_p", np.float64), ("to", np.int32), ("piece", np.int32)):
+        for name, kind in (("whole", bool), ("start", np.int64), ("first", np.int64), ("cum", np.float32), ("log_p", np.float64), ("to", np.int32), ("piece", np.int32), ("ids", np.uint32), ("ids_from", np.int64)):
             setattr(self, name, np.zeros(0, kind))
         self._append("first", np.zeros(1, np.int64))
+        self._append("ids_from", np.zeros(1, np.int64))
 
     def _append(self, name: str, values: np.ndarray) -> None:
         held = getattr(self, name)
@@ -154,7 +180,8 @@ class Lattices:
         """Forget all chunks but those of the first half."""
         n_chunks, n_nodes, n_edges = self.base
         self.at = {c: i for c, i in self.at.items() if i < n_chunks}
-        del self.ids[n_chunks:]
+        self.ids_from = self.ids_from[: n_chunks + 1]
+        self.ids = self.ids[: self.ids_from[-1]]
         self.whole, self.start, self.first = self.whole[:n_chunks], self.start[:n_chunks], self.first[: n_nodes + 1]
         self.cum, self.log_p, self.to, self.piece = (x[:n_edges] for x in (self.cum, self.log_p, self.to, self.piece))
 
@@ -162,39 +189,70 @@ class Lattices:
         return [self.byte[b] for b in chr(code).encode("utf-8", "replace")]
 
     def edges(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, piece, weight) between positions of chunks laid end to end, by from, then to; a piece below 0 is a character in bytes."""
+        """(number from each position; to, piece, weight) between positions of chunks laid end to end, by from, then to; a piece below 0 is a character in bytes."""
         letter = self.letter[codes]
-        at, node, rows, length = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], 0
+        at = np.flatnonzero(letter >= 0)
+        node = self.root[letter[at]]
+        at, node, length = at[node >= 0], node[node >= 0], 1
+        piece = np.full(len(codes), -1, np.int64)
+        piece[at] = self.ends[node]
+        rows, per = [(np.arange(len(codes)), piece)], np.ones(len(codes), np.int64)
         while len(at):
-            on = (at + length < end[at]) & (letter[np.minimum(at + length, len(codes) - 1)] >= 0)
-            at, node = at[on], node[on]
-            if length:
-                node = self.lead(node * len(self.letters) + letter[at + length])
-                at, node = at[node >= 0], node[node >= 0]
-            else:
-                node = self.root[letter[at]]
-                at, node = at[node >= 0], node[node >= 0]
+            on = at + length < end[at]
+            at, node = at.compress(on), node.compress(on)
+            after = letter.take(at + length)
+            on = after >= 0
+            at, node, after = at.compress(on), node.compress(on), after.compress(on)
+            node = self.lead(node * len(self.letters) + after)
+            on = node >= 0
+            at, node = at.compress(on), node.compress(on)
             length += 1
-            piece = self.ends[node]
-            rows.append((at[piece >= 0], np.full((piece >= 0).sum(), length), piece[piece >= 0]))
-        alone = np.ones(len(codes), bool)
-        alone[rows[0][0]] = False
-        lone = np.flatnonzero(alone)
-        kinds, kind = np.unique(codes[lone], return_inverse=True)
-        by_bytes = np.array([self.weight[self.spelled_in_bytes(c)].sum() for c in kinds.tolist()])
-        a, size, piece = (np.concatenate([np.asarray(x, np.int64), *y]) for x, y in zip((lone, np.ones(len(lone)), -1 - codes[lone]), zip(*rows, strict=True), strict=True))
+            ends = self.ends.take(node)
+            on = ends >= 0
+            rows.append((at.compress(on), ends.compress(on)))
+            per[rows[-1][0]] += 1
+        lone = np.flatnonzero(piece < 0)
+        piece[lone] = -1 - codes[lone]
+        free = per.cumsum() - per
+        first_of = free.copy()
+        n = per.sum()
+        b, piece = np.empty(n, np.int64), np.empty(n, np.int64)
+        for i, (at, ids) in enumerate(rows):  # each position is in a row once at most
+            place = free[at]
+            b[place], piece[place] = at + (i + 1), ids
+            free[at] += 1
         weight = self.weight[np.maximum(piece, 0)]
-        weight[: len(lone)] = by_bytes[kind] if len(lone) else 0
-        order = np.argsort(a * 64 + size, kind="stable")
-        return a[order], (a + size)[order], piece[order], weight[order]
-
-    def learn(self, bare: list[str]) -> None:
-        fresh = [SPACE + c for c in bare]
-        codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        if len(lone):
+            kinds, kind = np.unique(codes[lone], return_inverse=True)
+            weight[first_of[lone]] = np.array([self.weight[self.spelled_in_bytes(c)].sum() for c in kinds.tolist()])[kind]
+        return per, b, piece, weight
+
+    def encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks, one after the other, and how many each has."""
+        if self.mark is None:
+            found = self.sp.encode([c[1:].replace(SPACE, " ") for c in fresh], num_threads=1)
+            # A space at a text's end: the processor puts its own space only before something.
+            found = [ids if len(c) > 1 else [self.sp.piece_to_id(SPACE)] for c, ids in zip(fresh, found, strict=True)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        # No piece holds a line's end and another letter, so chunks with one in front of each are encoded as if alone.
+        ids = np.array(self.sp.encode("\n" + "\n".join(fresh)), np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if "\n" in fresh:
+            marks = np.delete(marks, fresh.index("\n") + 1)
+        if len(marks) != len(fresh):
+            raise ValueError("the processor doesn't keep line ends: chunks can't be told apart")
+        inside = np.ones(len(ids), bool)
+        inside[: marks[0]] = inside[marks] = False
+        return ids[inside], np.diff(np.r_[marks, len(ids)]) - 1
+
+    def learn(self, fresh: list[str]) -> None:
+        together = "".join(fresh).replace(" ", SPACE)
+        codes = np.frombuffer(together.encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         end = np.repeat(sizes.cumsum(), sizes)
-        a, b, piece, weight = self.edges(codes, end)
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])  # every position has an edge
+        per, b, piece, weight = self.edges(codes, end)
+        a = np.repeat(np.arange(len(codes)), per)
+        first = per.cumsum() - per  # every position has an edge
         last = b == end[a]
         # The log-sum of all ways from a position to its chunk's end, from the last positions on.
         beta, left = np.zeros(len(codes) + 1), (end - np.arange(len(codes)))[a]
@@ -206,17 +264,20 @@ class Lattices:
             beta[a[e][starts]] = np.logaddexp.reduceat(weight[e] + np.where(last[e], 0.0, beta[b[e]]), starts)
         log_p = weight + np.where(last, 0.0, beta[b]) - beta[a]
         sums = np.exp(log_p).cumsum()
-        per = np.diff(np.r_[first, len(a)])
         within = sums - np.repeat(np.r_[0.0, sums[first[1:] - 1]], per)
         within[np.r_[first[1:] - 1, len(a) - 1]] = 1.0
         node = len(self.first) - 1
-        encoded = self.sp.encode([c.replace(SPACE, " ") for c in bare], num_threads=1)
-        if "" in bare:  # a space at a text's end: the processor puts its own space only before something
-            encoded[bare.index("")] = [self.sp.piece_to_id(SPACE)]
-        self.at.update(zip(bare, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
-        self.ids += [array("I", ids).tobytes() for ids in encoded]
-        spelled = self.spelled.__getitem__
-        self._append("whole", np.array([b"".join(map(spelled, ids)) == c.encode("utf-8", "replace") for c, ids in zip(fresh, encoded, strict=True)], bool))
+        ids, n_ids = self.encoded(fresh)
+        spelled, plain = b"".join(map(self.spelled.__getitem__, ids.tolist())), together.encode()
+        wide = np.r_[0, (1 + wider(codes)).cumsum(dtype=np.int64)][np.r_[0, sizes.cumsum()]]
+        read = np.r_[0, self.spelled_size[ids].cumsum()][np.r_[0, n_ids.cumsum()]]
+        if spelled == plain:
+            whole = (wide[:-1] == read[:-1]) & (wide[1:] == read[1:])
+        else:
+            whole = np.array([spelled[r:r_] == plain[w:w_] for r, r_, w, w_ in zip(read[:-1].tolist(), read[1:].tolist(), wide[:-1].tolist(), wide[1:].tolist(), strict=True)], bool)
+        self._append("whole", whole)
+        self._append("ids", ids)
+        self._append("ids_from", self.ids_from[-1] + n_ids.cumsum())
         self._append("start", node + sizes.cumsum() - sizes)
         self._append("first", self.first[-1] + per.cumsum())
         self._append("cum", np.minimum(within, 1.0))
@@ -224,59 +285,86 @@ class Lattices:
         self._append("piece", piece)
         self._append("to", np.where(last, -1, b + node))
 
-    def add(self, texts: list[str]) -> np.ndarray:
-        """The places of chunks, learning those not seen before."""
+    def add(self, distinct: list[str]) -> np.ndarray:
+        """The places of distinct chunks, learning those not seen before."""
         if self.base and len(self.cum) > REMEMBERED:
             self._trim()
         elif not self.base and len(self.cum) > REMEMBERED // 2:
-            self.base = len(self.ids), len(self.first) - 1, len(self.cum)
-        at = np.fromiter(map(self.at.get, texts, repeat(-1)), np.int64, len(texts))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            fresh = list(dict.fromkeys(texts[i] for i in missing))
-            for i in range(0, len(fresh), LEARNED):
-                self.learn(fresh[i : i + LEARNED])
-            at[missing] = [self.at[texts[i]] for i in missing]
+            self.base = len(self.whole), len(self.first) - 1, len(self.cum)
+        at = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        n = len(self.whole)
+        fresh = [distinct[i] for i in missing.tolist()]
+        for i in range(0, len(fresh), LEARNED):
+            self.learn(fresh[i : i + LEARNED])
+        at[missing] = np.arange(n, n + len(fresh))
+        self.at.update(zip(fresh, range(n, n + len(fresh)), strict=True))
         return at
 
-    def spell(self, edges: np.ndarray) -> np.ndarray:
-        ids = self.piece[edges]
+    def encoding(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (sizes[i] of the chunk places in flat), one after the other, and where each text's begin and end."""
+        begin = self.ids_from[flat]
+        n = self.ids_from[flat + 1] - begin
+        ends = np.r_[0, n.cumsum()]
+        return self.ids[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])].astype("<u4"), ends[np.r_[0, sizes.cumsum()]]
+
+    def spell(self, ways: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of ways (arrays of edges)."""
+        ends = np.r_[0, np.fromiter(map(len, ways), np.int64, len(ways)).cumsum()]
+        ids = self.piece[np.concatenate(ways)] if ways else self.piece[:0]
         outside = np.flatnonzero(ids < 0)
         if len(outside):
             kinds, kind = np.unique(-1 - ids[outside], return_inverse=True)
             spelled = [self.spelled_in_bytes(c) for c in kinds.tolist()]
             size = np.ones(len(ids), np.int64)
             size[outside] = np.array([len(x) for x in spelled])[kind]
-            starts = size.cumsum() - size
+            ends, starts = np.r_[0, size.cumsum()][ends], size.cumsum() - size
             ids = np.repeat(ids, size)
-            for i, x in enumerate(spelled):
-                for j, piece in enumerate(x):
-                    ids[starts[outside[kind == i]] + j] = piece
-        return ids.astype("<u4")
+            letters, begin = np.array(list(chain.from_iterable(spelled))), np.r_[0, np.cumsum([len(x) for x in spelled])][kind]
+            for j in range(max(map(len, spelled))):
+                on = outside[size[outside] > j]
+                ids[starts[on] + j] = letters[begin[size[outside] > j] + j]
+        ids = ids.astype("<u4")
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def ways_on(self, node: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draw a way to the end for each walker: (number of edges of each, edges by walker and step)."""
+        walkers, rows, taken = np.flatnonzero(node >= 0), [], np.zeros(len(node), np.int64)
+        node, base = node.take(walkers), (base + depth.astype(U64)).take(walkers)
+        while len(walkers):
+            goal = uniform(base, len(rows))
+            edge = self.first.take(node)
+            behind = np.flatnonzero(self.cum.take(edge) <= goal)
+            at, most = edge.take(behind), goal.take(behind)
+            while len(behind):  # few edges leave a node, and the likely ones are near
+                at += 1
+                edge[behind] = at
+                on = self.cum.take(at) <= most
+                behind, at, most = behind.compress(on), at.compress(on), most.compress(on)
+            rows.append((walkers, edge))
+            node = self.to.take(edge)
+            on = node >= 0
+            taken[walkers.compress(~on)] = len(rows)
+            walkers, node, base = walkers.compress(on), node.compress(on), base.compress(on)
+        first = taken.cumsum() - taken
+        edges = np.empty(taken.sum(), np.int64)
+        for i, (walkers, edge) in enumerate(rows):  # a walker that is there in a round has been in all before
+            edges[first.take(walkers) + i] = edge
+        return taken, edges
+
+    def steps(self, node: np.ndarray, depth: np.ndarray, taken: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The walker, step and node of each edge of walkers' whole ways."""
+        first = taken.cumsum() - taken
+        begins = first[taken > 0]
+        nodes = np.empty(len(edges), np.int64)
+        nodes[1:] = self.to[edges[:-1]]
+        nodes[begins] = node[taken > 0]
+        return np.repeat(np.arange(len(depth)), taken), np.arange(len(edges)) - np.repeat(first - depth, taken), nodes
 
     def walk(self, node: np.ndarray, base: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Draw a way to the end for each walker: (walker, step, node, edge), sorted by walker and step."""
-        walkers, rows, taken = np.arange(len(node)), [], np.zeros(len(node), np.int64)
-        on = node >= 0
-        walkers, node, step, base = walkers[on], node[on], depth[on], base[on]
-        while len(walkers):
-            goal = uniform(base, step)
-            edge = self.first[node]
-            behind = np.flatnonzero(self.cum[edge] <= goal)
-            while len(behind):  # few edges leave a node, and the likely ones are near
-                edge[behind] += 1
-                behind = behind[self.cum[edge[behind]] <= goal[behind]]
-            rows.append((walkers, node, edge))
-            taken[walkers] = len(rows)
-            node = self.to[edge]
-            on = np.flatnonzero(node >= 0)
-            walkers, node, step, base = walkers[on], node[on], step[on] + 1, base[on]
-        n, first = taken.sum(), taken.cumsum() - taken
-        nodes, edges = np.empty(n, np.int64), np.empty(n, np.int64)
-        for i, (walkers, node, edge) in enumerate(rows):  # a walker that is there in a round has been in all before
-            place = first[walkers] + i
-            nodes[place], edges[place] = node, edge
-        return np.repeat(np.arange(len(depth)), taken), np.arange(n) - np.repeat(first - depth, taken), nodes, edges
+        taken, edges = self.ways_on(node, base, depth)
+        return *self.steps(node, depth, taken, edges), edges
 
 
 def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -291,45 +379,62 @@ def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int]
 
     def emit(docs, prefixes, values, draw, first_word, depth, node):
         """Finish one segmentation in each of docs from a prefix (edges, log-mass, words done), and open what it passes by."""
-        at = np.concatenate([np.arange(base[d] + w, base[d + 1]) for d, w in zip(docs, first_word, strict=True)]) if docs else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(len(docs)), [base[d + 1] - base[d] - w for d, w in zip(docs, first_word, strict=True)]) if docs else at
+        if not docs:
+            return
+        low = base[:-1][docs] + first_word
+        n = base[1:][docs] - low
+        which = np.repeat(np.arange(len(docs)), n)
+        at = np.arange(len(which)) + (low - n.cumsum() + n)[which]
         begin, steps = held.start[flat[at]], np.zeros(len(at), np.int64)
-        lead = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(at) else at
-        for i in lead:
-            begin[i], steps[i] = node[which[i]] if node[which[i]] != -2 else begin[i], depth[which[i]]
+        lead, node = (n.cumsum() - n)[n > 0], np.array(node, np.int64)[n > 0]
+        begin[lead] = np.where(node == -2, begin[lead], node)
+        steps[lead] = np.array(depth, np.int64)[n > 0]
         word = at - base[doc_of[at]]
-        walker, step, node_of, edge = held.walk(begin, mixed(BEGIN, seed[doc_of[at]], draw, word), steps)
-        log_p = held.log_p[edge]
-        sums = log_p.cumsum()
-        counts = np.bincount(which[walker], minlength=len(docs))
-        ends = counts.cumsum()
+        taken, edge = held.ways_on(begin, mixed(BEGIN, seed[doc_of[at]], draw, word), steps)
+        log_p = held.log_p.take(edge)
+        ends = np.r_[0, taken.cumsum()]  # of walkers, in edges
+        bounds = np.r_[0, n.cumsum()]  # of texts, in walkers
         lead_mass, value = np.array([p[1] for p in prefixes]), np.array(values)
-        mass = sums - log_p + np.repeat(lead_mass - np.r_[0.0, sums][np.r_[0, ends[:-1]]], counts)
-        open_ = np.full(len(edge), -np.inf)
-
-        def perturb(r: np.ndarray) -> None:
-            r = r[held.first[node_of[r] + 1] - held.first[node_of[r]] > 1]
-            rest = np.log(np.maximum(-np.expm1(log_p[r]), 1e-300))
-            of = walker[r]
-            open_[r] = below(value[which[of]], mass[r] + rest, uniform(BEGIN, seed[doc_of[at[of]]], draw + 1000, word[of], step[r]))
-
+        # A text's mass before each of its walkers.
+        before = np.r_[0.0, log_p.cumsum()][ends]
+        before += np.r_[np.repeat(lead_mass - before[bounds[:-1]], n), 0.0]
         # A Gumbel value is less than its log-mass + FAR, and mass only falls along a way: what is further off can't be best.
-        near = mass > -2 * FAR
-        perturb(np.flatnonzero(near))
-        enough = np.bincount(which[walker[open_ > -FAR]], minlength=len(docs)) > k
-        if not enough.all():
-            perturb(np.flatnonzero(~near & ~np.repeat(enough, counts)))
-        starts = np.r_[0, ends[:-1]]
+        near = bounds[:-1] + np.bincount(which[before[:-1] > -2 * FAR], minlength=len(docs))
+        full = [None] * len(docs)
+
+        def perturb(some: np.ndarray, until: np.ndarray) -> np.ndarray:
+            """Note what some texts open along their walkers up to one; which of them have enough."""
+            size = until - bounds[some]
+            walker = np.arange(size.sum()) + np.repeat(bounds[some] - size.cumsum() + size, size)
+            long = taken[walker]
+            r = np.arange(long.sum()) + np.repeat(ends[walker] - long.cumsum() + long, long)
+            own, step, node_of = held.steps(begin[walker], steps[walker], long, edge[r])
+            of = np.repeat(np.arange(len(some)), size)[own]
+            walker, lost = walker[own], log_p[r]
+            sums = lost.cumsum() - lost
+            mass = before[walker] + sums - sums[long.cumsum() - long][own] if len(r) else sums
+            ways = np.flatnonzero(held.first[node_of + 1] - held.first[node_of] > 1)
+            rest = np.log(np.maximum(-np.expm1(lost[ways]), 1e-300))
+            open_ = np.full(len(r), -np.inf)
+            open_[ways] = below(value[which[walker[ways]]], mass[ways] + rest, uniform(BEGIN, seed[doc_of[at[walker[ways]]]], draw + 1000, word[walker[ways]], step[ways]))
+            stops = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+            for i, a, b in zip(some.tolist(), stops[:-1], stops[1:], strict=True):
+                best = open_[a:b]
+                chosen = a + (np.argpartition(-best, k)[: k + 1] if b - a > k + 1 else np.arange(b - a))
+                full[i] = [(-open_[j], int(r[j] - ends[bounds[i]]), int(node_of[j]), (int(edge[r[j]]),), float(mass[j]), int(word[walker[j]]), int(step[j])) for j in chosen.tolist() if open_[j] > -np.inf]
+            return np.bincount(of[open_ > -FAR], minlength=len(some)) > k
+
+        some = np.arange(len(docs))
+        more = np.flatnonzero(~perturb(some, near) & (near < bounds[1:]))
+        if len(more):
+            perturb(more, bounds[1:][more])
+        stops = ends[bounds].tolist()
         for i, d in enumerate(docs):
-            a, b = starts[i], ends[i]
+            a, b = stops[i], stops[i + 1]
             total = prefixes[i][1] + log_p[a:b].sum()
             found[d].append((np.concatenate([prefixes[i][0], edge[a:b]]), float(total), value[i]))
-            best = open_[a:b]
-            top_ = np.argpartition(-best, k)[: k + 1] if b - a > k + 1 else np.arange(b - a)
-            for j in top_.tolist():
-                if best[j] > -np.inf:
-                    r = a + j
-                    heapq.heappush(heaps[d], (-best[j], next(tick), len(found[d]) - 1, len(prefixes[i][0]) + j, int(node_of[r]), (int(edge[r]),), float(mass[r]), int(word[walker[r]]), int(step[r])))
+            for opened, j, *rest in full[i]:
+                heapq.heappush(heaps[d], (opened, next(tick), len(found[d]) - 1, len(prefixes[i][0]) + j, *rest))
 
     emit(list(range(n_docs)), [(np.zeros(0, np.int64), 0.0)] * n_docs, top.tolist(), 1, [0] * n_docs, [0] * n_docs, [-2] * n_docs)
     for draw in range(2, k + 1):
@@ -363,23 +468,44 @@ def sample(held: Lattices, flat: np.ndarray, sizes: np.ndarray, seeds: list[int]
     return out
 
 
-def key_seed(key) -> int:
-    return xxhash.xxh64_intdigest(str(key).encode(), 8)
+def wider(codes: np.ndarray) -> np.ndarray:
+    """The bytes that letters take in UTF-8 beyond the first."""
+    return (codes > 0x7F).view(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)
+
 
+def merges_alone(model: bytes) -> bool:
+    """Whether a vocabulary's processor merges pairs of a text as it stands, with a space before it and bytes for the rest."""
+    try:
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
+    except ImportError:
+        return False
+    proto = ModelProto.FromString(model)
+    normal, trained = proto.normalizer_spec, proto.trainer_spec
+    kept = normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces and not normal.precompiled_charsmap
+    usual = all(p.type in (p.NORMAL, p.UNKNOWN, p.CONTROL, p.BYTE) for p in proto.pieces)
+    return kept and usual and trained.model_type == trained.BPE and trained.byte_fallback and not trained.treat_whitespace_as_suffix
 
-def text_chunks(text: str) -> list[str]:
-    """What a text is cut into, spaces as U+2581, each without the one in front of it (the vocabulary puts one before every text)."""
-    if not text:
-        return []
-    if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-        return text.split(" ")
-    return [c[1:] for c in CHUNK.findall(SPACE + text.replace(" ", SPACE))]
+
+def key_seed(key) -> int:
+    return xxhash.xxh64_intdigest(str(key).encode(), 8)
 
 
 def _prepared(held: Lattices, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all texts' chunks, one after the other, and how many each text has."""
-    cut = [text_chunks(t) for t in texts]
-    return held.add(list(chain.from_iterable(cut))), np.fromiter(map(len, cut), np.int64, len(cut))
+    """The places of all texts' chunks, one after the other, and how many each text has. The vocabulary puts a space before every text."""
+    spaced = [" " + t if t else "" for t in texts]
+    together = "".join(spaced)
+    ends = np.fromiter(map(len, spaced), np.int64, len(spaced)).cumsum()
+    if not together:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    data, codes = together.encode(), np.frombuffer(together.encode("utf-32-le"), "<u4")
+    begins = np.r_[True, held.cut(np.where(codes == ord(" "), np.uint32(ord(SPACE)), codes))]
+    begins[ends[:-1][ends[:-1] < len(codes)]] = True
+    at = np.flatnonzero(begins)
+    sizes = np.diff(np.searchsorted(at, np.r_[0, ends]))
+    if len(data) > len(codes):
+        at[1:] += wider(codes).cumsum(dtype=np.int64)[at[1:] - 1]  # in bytes from here on
+    found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(data)]), pa.py_buffer(data)).dictionary_encode()
+    return held.add(found.dictionary.to_pylist())[found.indices.to_numpy()], sizes
 
 
 SCHEMA = "ids array<int>, whole boolean, samples array<struct<ids:array<int>,log_p:double,log_inclusion:double>>"
@@ -396,22 +522,27 @@ def encode(df: DataFrame, key: str, text: str, model: bytes, k: int = SAMPLES, a
     def run(batches):
         held = once_per_worker(name, lambda: Lattices(sent.value, alpha))
         for whole in batches:
-            for batch in chunks(whole, text, SAMPLED_BYTES):
+            for batch in chunks(whole, text, CUT_BYTES):
                 texts = [t or "" for t in batch.column(text).to_pylist()]
-                keys = batch.column(key).to_pylist()
+                seeds = [key_seed(x) for x in batch.column(key).to_pylist()]
                 flat, sizes = _prepared(held, texts)
-                ends, places = sizes.cumsum().tolist(), flat.tolist()
-                places = [places[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
-                ids = [b"".join(map(held.ids.__getitem__, p)) for p in places]
-                unlike = np.r_[0, (~held.whole[flat]).cumsum()][np.r_[0, sizes.cumsum()]]
+                ids, at = held.encoding(flat, sizes)
+                ids = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                part_at = np.r_[0, sizes.cumsum()]
+                unlike = np.r_[0, (~held.whole[flat]).cumsum()][part_at]
                 read_back = [a == b and SPACE not in t for a, b, t in zip(unlike[:-1].tolist(), unlike[1:].tolist(), texts, strict=True)]
-                drawn = sample(held, flat, sizes, [key_seed(x) for x in keys], k)
-                spelled = [[(held.spell(edges), p, q) for edges, p, q in x] for x in drawn]
+                block = np.fromiter(map(len, texts), np.int64, len(texts)).cumsum() // SAMPLED_BYTES
+                cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(texts)]
+                spelled = []
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    drawn = sample(held, flat[part_at[i] : part_at[j]], sizes[i:j], seeds[i:j], k)
+                    ways = iter(held.spell([edges for x in drawn for edges, *_ in x]))
+                    spelled += [[(next(ways), p, q) for _, p, q in x] for x in drawn]
                 if lists:
-                    columns = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(read_back, pa.bool_()), pa.array([[{"ids": s.astype(np.int32), "log_p": p, "log_inclusion": q} for s, p, q in x] for x in spelled], pa.list_(one))]
+                    columns = [pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())), pa.array(read_back, pa.bool_()), pa.array([[{"ids": s.astype(np.int32), "log_p": p, "log_inclusion": q} for s, p, q in x] for x in spelled], pa.list_(one))]
                     names = ["ids", "whole", "samples"]
                 else:
-                    columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(read_back, pa.bool_()), pa.array([[{"n_pieces": len(s), "ids_crc32": zlib.crc32(s.tobytes()), "log_p": p, "log_inclusion": q} for s, p, q in x] for x in spelled], pa.list_(one))]
+                    columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(read_back, pa.bool_()), pa.array([[{"n_pieces": len(s), "ids_crc32": zlib.crc32(s), "log_p": p, "log_inclusion": q} for s, p, q in x] for x in spelled], pa.list_(one))]
                     names = ["n_pieces", "ids_crc32", "whole", "samples"]
                 yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, *names])
 
