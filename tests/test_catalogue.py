@@ -46,6 +46,17 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_modes_of_halves_and_ties_are_those_of_sql(spark, tmp_path):
+    """By day: a half that decides the mode, by either rounding another; then equally frequent values at one time, in either order."""
+    days = [(h, h + 0.4, h - 0.3) for h in (0.5, 1.5, 2.5, -2.5, 6.5, 1e9 + 0.5, 0.49999999999999994)] + [[float((i + 3 * k) % 7) for k in range(5)] for i in range(20)]
+    made = [f"('a', TIMESTAMP '2024-01-01' + to_days({day}), {v!r}::DOUBLE)" for day, x in enumerate(days) for v in x]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {', '.join(made)}) x(event_type, ts, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted((r.location, r.day, r.mode) for r in catalogue.QUERIES["nanmode"](spark, str(tmp_path)).collect())
+    assert len(got) == 27 and got == sorted(con.execute(catalogue.ORACLE_SQL["nanmode"]).fetchall())
+
+
 def test_model_forecast_is_least_squares_over_its_features(spark):
     import numpy as np
 

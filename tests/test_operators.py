@@ -93,6 +93,12 @@ def test_mode_and_impute_sum(spark):
     assert sums["ties"][0] == 36 and sums["twice"][0] == pytest.approx(18) and sums["late"] == (30, 30) and sums["nothing"] == (None, 7.5)
 
 
+def test_mode_of_values_seen_at_once(spark):
+    rows = [(str(i), dt.datetime(2024, 1, 1), float((i + 3 * k) % 7)) for i in range(20) for k in range(5)]
+    modes = {r.location: r.mode for r in agg.first_mode(spark.createDataFrame(rows, "location string, date_time timestamp_ntz, value double"), "value", ["location"]).collect()}
+    assert modes == {str(i): min(v for p, _, v in rows if p == str(i)) for i in range(20)}
+
+
 def test_hour_functions_on_short_days(spark):
     df = frame(spark, {"x": range(23)})
     r = df.groupBy("location").agg(agg.hour_pick("value", 5).alias("a"), agg.hour_pick("value", 0).alias("b"), agg.hour_sum("value", 1, 2).alias("c")).first()

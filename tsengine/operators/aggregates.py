@@ -65,9 +65,9 @@ def impute_sum(v: Column, expected: int | None = None, fill: float | None = None
 
 
 def first_mode(df: DataFrame, value: str, keys: list[str], order: str = "date_time", name: str = "mode") -> DataFrame:
-    """The most frequent value per group; of equally frequent ones the first seen. Two levels, so that no group is collected."""
+    """The most frequent value per group; of equally frequent ones the first seen, of those seen at once the smallest. Two levels, so that no group is collected."""
     counts = df.groupBy(*keys, value).agg(F.count(value).alias("__n"), F.min(order).alias("__first"))
-    best = F.min_by(value, F.struct(-F.col("__n"), F.col("__first")))
+    best = F.min_by(value, F.struct(-F.col("__n"), F.col("__first"), F.col(value)))
     return counts.groupBy(*keys).agg(best.alias(name))
 
 

@@ -409,7 +409,7 @@ def hour_functions(spark, d):
 SELECT location, day, value AS mode FROM (SELECT *, row_number() OVER (PARTITION BY location, day ORDER BY n DESC, t, value) AS i FROM v) WHERE i = 1""")
 def nanmode(spark, d):
     raw = series.from_table(table(spark, d, "events"), "event_type", "ts", {"value": "value"})
-    days = raw.withColumn("day", agg.bucket(F.col("date_time"), "day")).withColumn("value", F.rint("value"))
+    days = raw.withColumn("day", agg.bucket(F.col("date_time"), "day")).withColumn("value", F.round("value"))  # halves away from zero, as in the SQL
     return agg.first_mode(days, "value", ["location", "day"])
 
 
